@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+DEFAULT_BROADCAST_LIMIT_ROWS = 100_000
 
 
 def build_session(master: str | None = None, app_name: str = "logloom", **conf: str) -> SparkSession:
@@ -51,17 +52,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def plan_size_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a plan; scans report file sizes, so it is an upper-level guard."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    """Optimizer's size estimate of a plan, which for scans is the size of the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the plan is estimated below the limit.
+def broadcast_if_small(
+    df: DataFrame,
+    limit_bytes: int = DEFAULT_BROADCAST_LIMIT_BYTES,
+    limit_rows: int = DEFAULT_BROADCAST_LIMIT_ROWS,
+) -> DataFrame:
+    """Broadcast hint only when the plan's estimate and a real, bounded row count are small.
 
-    Beyond it the join stays a shuffled one and adaptive execution splits skewed keys.
+    Beyond either limit the join stays a shuffled one and adaptive execution splits skewed
+    partitions.
     """
-    return F.broadcast(df) if plan_size_bytes(df) <= limit_bytes else df
+    if plan_size_bytes(df) > limit_bytes or df.limit(limit_rows + 1).count() > limit_rows:
+        return df
+    return F.broadcast(df)
 
 
 def quoted(name: str) -> Column:
