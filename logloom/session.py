@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, partition_by: str) -> DataFrame:
+    """Materialise in the shared checkpoint folder, laid out so that readers prune partitions."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.partitionBy(partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan, which for scans is the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
