@@ -161,12 +161,14 @@ def read_logs(
     delimiter: str | None = None,
     max_fields: int = MAX_FIELDS,
     check_tabular: bool = False,
+    unique_names: bool = True,
 ) -> DataFrame:
     """Records of one or many files of a common format; ``_source_file`` holds the base name."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     paths = as_paths(paths)
-    _reject_repeated_names(paths)
+    if unique_names:
+        _reject_repeated_names(paths)
     if fmt == "csv":
         return _tidy(read_delimited(spark, paths, delimiter, check_tabular))
     if fmt == "tsv":
