@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUP_SEPARATOR = "\x01"
@@ -29,13 +29,10 @@ def capture_groups(text: Column, regex: str, numbers: Sequence[int]) -> Column:
     ).otherwise(F.split(F.regexp_replace(text, regex, template), GROUP_SEPARATOR, -1))
 
 
-def last_wins_map(keys: Column, values: Column) -> Column:
-    """Map of two parallel arrays; a repeated key keeps its first place and its last value."""
-    unique = F.array_distinct(keys)
-    from_end = F.reverse(keys)
-    latest = F.transform(
-        unique, lambda key: F.element_at(values, (F.size(keys) + 1 - F.array_position(from_end, key)).cast("int"))
-    )
-    return F.when(F.size(unique) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
-        F.map_from_arrays(unique, latest)
-    )
+def with_parsed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters cannot push down and evaluate again.
+
+    A filter on a plain projected column is rewritten over the parsing expression itself,
+    once per reference; it does not move through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.binding import bind, capture_groups, last_wins_map
+from logloom.functions.binding import bind, capture_groups
 from logloom.functions.literals import strip
 
 WIDE_GAP = r"\s{2,}"
@@ -21,46 +21,65 @@ SYSLOG_5424_FIELDS = (
 SYSLOG_3164_FIELDS = ("priority", "timestamp", "hostname", "app_name", "message")
 
 
-def _after_first(text: Column, mark: str) -> Column:
-    return text.substr(F.instr(text, mark) + 1, F.length(text))
+# Marks put around the pairs found in a line (and removed from it beforehand).
+_PAIR_MARK, _VALUE_MARK = "\x02", "\x01"
+_LTSV_CELL = r"(?<=^|\t)([^:\t]*):([^\t]*)"
+_PADDED_MARK = r"(?U)\s*([\x01\x02])\s*"
+_LOGFMT_GROUPS = r"""(?U)([\p{L}\p{N}_]+)=(?:"([^"]*)"|'([^']*)'|(\S+))"""
 
 
-def ltsv_map(line: Column) -> Column:
-    """label:value pairs; null for a line without any pair."""
+def _pair_arrays(marked: Column, empty_is_null: bool) -> Column:
+    """Parallel arrays of the marked pairs, last pair first; null when there is none."""
 
-    def pairs_to_map(pairs: Column) -> Column:
-        keys = F.transform(pairs, lambda pair: strip(F.substring_index(pair, ":", 1)))
-        values = F.transform(pairs, lambda pair: strip(_after_first(pair, ":")))
-        return F.when(F.size(pairs) > 0, bind(F.struct(keys.alias("k"), values.alias("v")), _struct_to_map))
+    def value_of(pair: Column) -> Column:
+        value = F.substring_index(pair, _VALUE_MARK, -1)
+        return F.nullif(value, F.lit("")) if empty_is_null else value
 
-    def split_pairs(text: Column) -> Column:
-        cells = F.when(text.contains("\t"), F.split(text, "\t", -1)).otherwise(F.split(text, WIDE_GAP, -1))
-        return F.filter(cells, lambda cell: cell.contains(":"))
+    def to_arrays(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda pair: F.substring_index(pair, _VALUE_MARK, 1))
+        return F.when(F.size(pairs) > 0, F.struct(keys.alias("keys"), F.transform(pairs, value_of).alias("values")))
 
-    return bind(split_pairs(strip(line)), pairs_to_map)
+    pairs = F.filter(F.split(marked, _PAIR_MARK, -1), lambda part: part.contains(_VALUE_MARK))
+    return bind(F.reverse(pairs), to_arrays)
 
 
-def _struct_to_map(arrays: Column) -> Column:
-    return last_wins_map(arrays["k"], arrays["v"])
+def pair_value(pairs: Column, key: str) -> Column:
+    """Last value of a key, null when it is missing."""
+    at = F.array_position(pairs["keys"], F.lit(key))
+    return F.when(at > 0, F.get(pairs["values"], (at - 1).cast("int")))
 
 
-def _unquoted(value: Column) -> Column:
-    """Value without its quotes; '' is null."""
-    double = value.startswith('"') & value.endswith('"') & (F.length(value) >= 2)
-    single = value.startswith("'") & value.endswith("'") & (F.length(value) >= 2)
-    inner = value.substr(F.lit(2), F.length(value) - 2)
-    return F.nullif(F.when(double | single, inner).otherwise(value), F.lit(""))
+def pairs_to_map(pairs: Column) -> Column:
+    """Map with keys in order of first appearance and their last values."""
 
+    def to_map(arrays: Column) -> Column:
+        keys = F.array_distinct(F.reverse(arrays["keys"]))
+        latest = F.transform(
+            keys, lambda key: F.get(arrays["values"], (F.array_position(arrays["keys"], key) - 1).cast("int"))
+        )
+        simple = F.map_from_arrays(F.reverse(arrays["keys"]), F.reverse(arrays["values"]))
+        return F.when(F.size(keys) == F.size(arrays["keys"]), simple).otherwise(F.map_from_arrays(keys, latest))
+
+    return F.when(pairs.isNotNull(), bind(pairs, to_map))
 
-def logfmt_map(line: Column) -> Column:
-    """key=value pairs, values bare or quoted; null for a line without any pair."""
 
-    def pairs_to_map(pairs: Column) -> Column:
-        keys = F.transform(pairs, lambda pair: F.substring_index(pair, "=", 1))
-        values = F.transform(pairs, lambda pair: _unquoted(_after_first(pair, "=")))
-        return F.when(F.size(pairs) > 0, bind(F.struct(keys.alias("k"), values.alias("v")), _struct_to_map))
+def _mark(line: Column, regex: str, groups: str) -> Column:
+    return F.regexp_replace(
+        F.translate(line, _PAIR_MARK + _VALUE_MARK, ""), regex, f"{_PAIR_MARK}$1{_VALUE_MARK}{groups}{_PAIR_MARK}"
+    )
 
-    return bind(F.regexp_extract_all(line, F.lit("(?U)" + LOGFMT_PAIR), F.lit(0)), pairs_to_map)
+
+def ltsv_pairs(line: Column) -> Column:
+    """label:value pairs; null for a line without any pair."""
+    text = strip(line)
+    tabbed = F.when(text.contains("\t"), text).otherwise(F.regexp_replace(text, WIDE_GAP, "\t"))
+    trimmed = F.regexp_replace(_mark(tabbed, _LTSV_CELL, "$2"), _PADDED_MARK, "$1")
+    return _pair_arrays(trimmed, empty_is_null=False)
+
+
+def logfmt_pairs(line: Column) -> Column:
+    """key=value pairs, values bare or quoted; null for a line without any pair."""
+    return _pair_arrays(_mark(line, _LOGFMT_GROUPS, "$2$3$4"), empty_is_null=True)
 
 
 def syslog_record(line: Column) -> Column:

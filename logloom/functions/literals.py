@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logloom.functions.binding import bind
+
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _PAD = r"[\s\x1c-\x1f\x85\p{Z}]*"
 # The characters that count as white space around a value.
@@ -18,6 +20,8 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 INTEGER_TEXT = rf"^{_PAD}[+-]?{_DIGITS}{_PAD}$"
+# The common spellings, which the engine's own cast reads as they are.
+PLAIN_NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 FLOAT_TEXT = (
     rf"(?i)^{_PAD}[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
     rf"|inf(?:inity)?|nan){_PAD}$"
@@ -37,17 +41,20 @@ def is_float_text(text: Column) -> Column:
     return text.rlike(FLOAT_TEXT)
 
 
-def float_from_text(text: Column) -> Column:
-    """Double value of numeric text, null for anything outside the grammar."""
-    plain = F.regexp_replace(F.lower(strip(text)), "_", "")
-    unsigned = F.regexp_replace(plain, r"^[+-]", "")
-    infinity = F.when(plain.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    value = (
-        F.when(unsigned.startswith("inf"), infinity)
-        .when(unsigned == "nan", F.lit(float("nan")))
+def _loose_float(plain: Column) -> Column:
+    """Value of lower-case text without padding and underscores."""
+    negative = plain.startswith("-")
+    return (
+        F.when(plain.contains("inf"), F.when(negative, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        .when(plain.contains("nan"), F.lit(float("nan")))
         .otherwise(plain.try_cast("double"))
     )
-    return F.when(is_float_text(text), value)
+
+
+def float_from_text(text: Column) -> Column:
+    """Double value of numeric text, null for anything outside the grammar."""
+    loose = bind(F.lower(F.replace(strip(text), F.lit("_"), F.lit(""))), _loose_float)
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).when(is_float_text(text), loose)
 
 
 def text_type(text: Column) -> Column:

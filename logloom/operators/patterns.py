@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.binding import capture_groups
+from logloom.functions.binding import capture_groups, with_parsed
 from logloom.functions.regexes import CompiledPattern
 from logloom.session import quoted
 
@@ -52,7 +52,7 @@ def extract_fields(
         matched = F.col("_found").isNotNull()
     else:
         numbers = [number for _, number in pattern.fields]
-        found = lines.withColumn("_groups", capture_groups(line, pattern.spanning, numbers))
+        found = with_parsed(lines, "_groups", capture_groups(line, pattern.spanning, numbers))
         matched = F.coalesce(F.size("_groups") > 1, F.lit(False))
         columns = {}
         for at, name in enumerate(pattern.field_names, start=1):

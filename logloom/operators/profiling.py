@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.binding import bind
 from logloom.functions.line_formats import LOGFMT_PAIR, WIDE_GAP
 from logloom.functions.literals import strip, text_type
 from logloom.session import broadcast_if_small, quoted
@@ -240,27 +237,33 @@ def collect_fields(profile: DataFrame, max_fields: int = MAX_FIELDS) -> list[tup
 # ---------------------------------------------------------------- field counts
 
 
-def _leaves(item: object) -> int:
-    return sum(_leaves(v) if isinstance(v, dict) else 1 for v in item.values()) if isinstance(item, dict) else 0
+def json_field_count(text: Column) -> Column:
+    """Leaf fields of JSON object text: nested objects count their leaves, an array counts 1.
+
+    With strings taken out and arrays skipped, every colon is a field and every brace but the
+    outermost belongs to a field that is not a leaf.
+    """
+    marks = F.regexp_replace(F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{:]", "")
 
+    def outside_arrays(structure: Column) -> Column:
+        def step(state: Column, mark: Column) -> Column:
+            depth = state["depth"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
+            counted = F.when(state["depth"] > 0, 0).when(mark == ":", 1).when(mark == "{", -1).otherwise(0)
+            return F.struct(depth.alias("depth"), (state["n"] + counted).alias("n"))
 
-@F.pandas_udf(T.IntegerType())
-def _json_leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series([None if text is None else _leaves(json.loads(text)) for text in batch], dtype="Int32")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
+        walked = F.aggregate(F.split(structure, "(?!^)"), start, step, lambda state: state["n"])
+        fields = F.length(F.replace(structure, F.lit("{"), F.lit("")))
+        plain = 1 + fields - (F.length(structure) - fields)
+        return F.when(structure.contains("["), walked).otherwise(plain)
 
+    return F.when(text.startswith("{"), bind(marks, outside_arrays))
 
-def json_field_count(text: Column, up_to: int | None = None) -> Column:
-    """Leaf fields of JSON object text: nested objects count their leaves, an array counts 1.
 
-    Every field needs a colon, so with ``up_to`` only texts with more colons than that are
-    handed to Python; the others get their colon count, which is within the limit anyway.
-    """
-    valid = F.when(F.try_parse_json(text).isNotNull(), text)
-    if up_to is None:
-        return _json_leaves(valid)
+def too_many_fields(text: Column, limit: int) -> Column:
+    """True beyond the limit. Every field needs a colon, so most texts are cleared by counting those."""
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
-    return F.coalesce(_json_leaves(F.when(colons > up_to, valid)), F.least(colons, F.lit(up_to)).cast("int"))
+    return F.when(colons > limit, json_field_count(text) > limit).otherwise(False)
 
 
 def struct_field_count(schema: T.StructType, parent: Column | None = None) -> Column:

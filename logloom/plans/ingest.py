@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from logloom.functions.regexes import CompiledPattern, compile_pattern
 from logloom.operators.mapping import DEFAULT_FILENAME_FIELD, map_fields
-from logloom.operators.profiling import MAX_FIELDS, detect_formats, format_agreement, json_field_count
+from logloom.operators.profiling import MAX_FIELDS, detect_formats, format_agreement
 from logloom.plans.control import CANCELLED, COMMITTED, COMPLETED, FAILED, IN_PROGRESS, WITH_ERRORS, Warehouse, utc_now
 from logloom.session import broadcast_if_small, quoted
 from logloom.sources.lines import as_paths, read_lines
@@ -31,7 +31,7 @@ FORBIDDEN_CHARACTERS = ("\\", "/", "*", "?", '"', "<", ">", "|", " ", ",", "#",
 MAX_NAME_LENGTH = 255
 
 OUTCOME, OK, DEAD = "outcome", "ok", "dead"
-RECORD = "_record"
+RECORD, ORIGINAL = "_record", "_original"
 INTERNAL = (SOURCE, ERROR, RECORD, OUTCOME, "run_id")
 
 
@@ -110,16 +110,6 @@ def guard_target(warehouse: Warehouse, full_name: str) -> bool:
 # ---------------------------------------------------------------- validation
 
 
-def _wide_record_error(records: DataFrame, max_fields: int) -> Column | None:
-    """Only nested values can hold more fields than there are columns."""
-    names = data_columns(records)
-    nested = any(isinstance(records.schema[name].dataType, (T.VariantType, T.StructType, T.MapType)) for name in names)
-    if max_fields <= 0 or (not nested and len(names) <= max_fields):
-        return None
-    count = json_field_count(F.to_json(F.struct(*[quoted(name) for name in names])), up_to=max_fields)
-    return F.when(count > max_fields, F.concat(F.lit("field count above the limit of "), F.lit(str(max_fields))))
-
-
 def _conform(records: DataFrame, names: Sequence[str], known: T.StructType | None) -> tuple[dict[str, Column], list[Column]]:
     """Cast columns to the types the target already has; values that do not fit are errors."""
     columns, errors = {}, []
@@ -149,7 +139,6 @@ def split_outcomes(
     records: DataFrame,
     mapping: FieldPlan = FieldPlan(),
     rules: Mapping[str, Column] | None = None,
-    max_fields: int = MAX_FIELDS,
     known: T.StructType | None = None,
 ) -> DataFrame:
     """Mapped records with ``outcome``, ``_error`` and, for rejected ones, the original ``_record``.
@@ -158,19 +147,15 @@ def split_outcomes(
     """
     names = data_columns(records)
     reasons = [F.col(ERROR)] if ERROR in records.columns else []
-    wide = _wide_record_error(records, max_fields)
-    if wide is not None:
-        reasons.append(wide)
     reasons += [F.when(condition, F.lit(text)) for text, condition in (rules or {}).items()]
     reason = F.coalesce(*reasons, F.lit(None).cast("string"))
-    original = F.to_json(F.struct(*[quoted(name) for name in names]))
-    if RECORD in records.columns:
-        original = F.coalesce(F.col(RECORD), original)
+    raw_text = F.col(RECORD) if RECORD in records.columns else F.lit(None).cast("string")
     flagged = records.select(
         *[quoted(name) for name in names],
         *([F.col(SOURCE)] if SOURCE in records.columns else [F.lit(None).cast("string").alias(SOURCE)]),
         reason.alias(ERROR),
-        original.alias(RECORD),
+        raw_text.alias(RECORD),
+        F.struct(*[quoted(name) for name in names]).alias(ORIGINAL),
     )
     mapped = map_fields(
         flagged,
@@ -180,17 +165,23 @@ def split_outcomes(
         mapping.field_types,
         mapping.filename_field,
         F.col(SOURCE),
-        passthrough=(SOURCE, ERROR, RECORD),
+        passthrough=(SOURCE, ERROR, RECORD, ORIGINAL),
         default_year=mapping.default_year,
     )
-    kept = [name for name in mapped.columns if name not in (SOURCE, ERROR, RECORD)]
+    kept = [name for name in mapped.columns if name not in (SOURCE, ERROR, RECORD, ORIGINAL)]
     columns, misfits = _conform(mapped, kept, known)
     error = F.coalesce(F.col(ERROR), *misfits, F.lit(None).cast("string"))
     judged = mapped.select(
-        *[value.alias(name) for name, value in columns.items()], SOURCE, error.alias(ERROR), RECORD
+        *[value.alias(name) for name, value in columns.items()], SOURCE, error.alias(ERROR), RECORD, ORIGINAL
     )
-    return judged.withColumn(RECORD, F.when(F.col(ERROR).isNotNull(), F.col(RECORD))).withColumn(
-        OUTCOME, F.when(F.col(ERROR).isNull(), OK).otherwise(DEAD)
+    # the text of a record is only made for rejected ones
+    text = F.when(F.col(ERROR).isNotNull(), F.coalesce(F.col(RECORD), F.to_json(ORIGINAL)))
+    return judged.select(
+        *[quoted(name) for name in columns],
+        SOURCE,
+        ERROR,
+        text.alias(RECORD),
+        F.when(F.col(ERROR).isNull(), OK).otherwise(DEAD).alias(OUTCOME),
     )
 
 
@@ -246,7 +237,6 @@ def ingest_records(
     target: str,
     mapping: FieldPlan = FieldPlan(),
     rules: Mapping[str, Column] | None = None,
-    max_fields: int = MAX_FIELDS,
     run_id: str | None = None,
     user: str | None = None,
     details: Mapping[str, object] | None = None,
@@ -285,7 +275,7 @@ def ingest_records(
     spark.addTag(run_id)
     try:
         known = known_schema(warehouse, full_name)
-        outcomes = split_outcomes(records, mapping, rules, max_fields, known)
+        outcomes = split_outcomes(records, mapping, rules, known)
         counts = Observation()
         observed = outcomes.observe(
             counts, F.count(F.lit(1)).alias("processed"), F.count_if(F.col(OUTCOME) == DEAD).alias("failed")
@@ -404,7 +394,7 @@ def ingest(
         "multiline_start": multiline_start,
         "multiline_max_lines": multiline_max_lines if multiline_start else None,
     }
-    return ingest_records(warehouse, records, target, mapping, rules, max_fields, run_id, user, details)
+    return ingest_records(warehouse, records, target, mapping, rules, run_id, user, details)
 
 
 def cancel(warehouse: Warehouse, run_id: str) -> None:

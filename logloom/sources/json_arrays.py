@@ -25,8 +25,8 @@ def _count(text: Column, mark: str) -> Column:
 
 
 def _depth_change(structure: Column) -> Column:
-    opened = F.length(F.regexp_replace(structure, r"[^\[{]", ""))
-    closed = F.length(F.regexp_replace(structure, r"[^\]}]", ""))
+    opened = F.length(structure) - F.length(F.translate(structure, "[{", ""))
+    closed = F.length(structure) - F.length(F.translate(structure, "]}", ""))
     return opened - closed
 
 

@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.line_formats import SYSLOG_5424_FIELDS, logfmt_map, ltsv_map, syslog_record
+from logloom.functions.binding import with_parsed
+from logloom.functions.line_formats import SYSLOG_5424_FIELDS, logfmt_pairs, ltsv_pairs, pair_value, pairs_to_map, syslog_record
 from logloom.functions.literals import strip
 from logloom.functions.regexes import CompiledPattern
 from logloom.operators.multiline import merge_lines
 from logloom.operators.patterns import RAW_FIELD, extract_fields
-from logloom.operators.profiling import MAX_FIELDS, collect_fields, field_profile, map_entries
+from logloom.operators.profiling import (
+    MAX_FIELDS,
+    collect_fields,
+    field_profile,
+    map_entries,
+    too_many_fields,
+)
 from logloom.session import quoted
 from logloom.sources.delimited import read_delimited, read_tsv, spaced_records
 from logloom.sources.json_arrays import read_array_elements
@@ -40,20 +47,39 @@ def _filled(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- key/value formats
 
 
+_PAIR_PARSERS = {"ltsv": ltsv_pairs, "logfmt": logfmt_pairs}
+
+
 def key_value_records(lines: DataFrame, fmt: str, keep_unparsed: bool = False) -> DataFrame:
     """Lines to a ``record`` map. Lines without any pair are dropped, or kept whole as raw text."""
-    record = {"ltsv": ltsv_map, "logfmt": logfmt_map}[fmt](F.col("value"))
+    record = pairs_to_map(F.col("_pairs"))
     if keep_unparsed:
         record = F.coalesce(record, F.create_map(F.lit(RAW_FIELD), F.col("value")))
-    parsed = lines.select(*_provenance(lines), record.alias("record"))
-    return parsed.filter(F.col("record").isNotNull())
+    parsed = with_parsed(lines, "_pairs", _PAIR_PARSERS[fmt](F.col("value")))
+    if not keep_unparsed:
+        parsed = parsed.filter(F.col("_pairs").isNotNull())
+    return parsed.select(*_provenance(lines), record.alias("record"))
+
+
+def key_value_columns(
+    lines: DataFrame, fmt: str, fields: Sequence[str], keep_unparsed: bool = False
+) -> DataFrame:
+    """The same records with known fields, straight to columns."""
+    parsed = with_parsed(lines, "_pairs", _PAIR_PARSERS[fmt](F.col("value")))
+    columns = {name: pair_value(F.col("_pairs"), name) for name in fields}
+    if not keep_unparsed:
+        parsed = parsed.filter(F.col("_pairs").isNotNull())
+    elif RAW_FIELD in columns:
+        columns[RAW_FIELD] = F.when(F.col("_pairs").isNull(), F.col("value")).otherwise(columns[RAW_FIELD])
+    return parsed.select(*_provenance(lines), *[value.alias(name) for name, value in columns.items()])
 
 
 def json_records(lines: DataFrame) -> DataFrame:
     """JSON object texts to a ``record`` map of variants, for profiling; bad texts are left out."""
     record = F.from_json(strip(F.col("value")), "map<string,variant>")
     objects = _filled(lines).filter(strip(F.col("value")).startswith("{"))
-    return objects.select(*_provenance(lines), record.alias("record")).filter(F.col("record").isNotNull())
+    parsed = with_parsed(objects, "record", record)
+    return parsed.filter(F.col("record").isNotNull()).select(*_provenance(lines), "record")
 
 
 def flatten_map(records: DataFrame, fields: Sequence[str], record: str = "record") -> DataFrame:
@@ -66,7 +92,7 @@ def flatten_map(records: DataFrame, fields: Sequence[str], record: str = "record
 _VARIANT_TYPES = {"boolean": "boolean", "bigint": "bigint", "double": "double", "string": "string"}
 
 
-def json_columns(lines: DataFrame, fields: Sequence[Field]) -> DataFrame:
+def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MAX_FIELDS) -> DataFrame:
     """JSON object texts to typed columns plus an error column.
 
     Values are read as variants first, so a value that does not fit its column is reported
@@ -78,11 +104,8 @@ def json_columns(lines: DataFrame, fields: Sequence[Field]) -> DataFrame:
         "`_bad` VARIANT", "`_bad` STRING"
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = (
-        _filled(lines)
-        .withColumn("_is_object", text.startswith("{"))
-        .withColumn("_row", F.from_json(F.when(F.col("_is_object"), text), schema, options))
-    )
+    objects = _filled(lines).withColumn("_is_object", text.startswith("{"))
+    parsed = with_parsed(objects, "_row", F.from_json(F.when(F.col("_is_object"), text), schema, options))
     columns, misfits = [], []
     for name, _, storage in fields:
         value = F.col("_row")[name]
@@ -99,6 +122,7 @@ def json_columns(lines: DataFrame, fields: Sequence[Field]) -> DataFrame:
     error = F.coalesce(
         F.when(~F.col("_is_object"), "record is not an object"),
         F.when(F.col("_row")["_bad"].isNotNull(), "malformed JSON"),
+        *([F.when(too_many_fields(text, max_fields), f"more than {max_fields} fields")] if max_fields > 0 else []),
         *misfits,
         F.lit(None).cast("string"),
     )
@@ -132,7 +156,7 @@ def parse_lines(
     if fmt == "raw":
         return lines.select(*_provenance(lines), F.col("value").alias(RAW_FIELD))
     if fmt == "syslog":
-        parsed = _filled(lines).select(*_provenance(lines), syslog_record(F.col("value")).alias("_r"))
+        parsed = with_parsed(_filled(lines), "_r", syslog_record(F.col("value")))
         return parsed.select(*_provenance(lines), *[F.col("_r")[name].alias(name) for name in SYSLOG_5424_FIELDS])
     if fmt == "custom":
         kept = lines if merged else lines.filter("value != ''")
@@ -140,14 +164,16 @@ def parse_lines(
     if fmt == "ndjson":
         if fields is None:
             fields = collect_fields(field_profile(map_entries(json_records(lines))), max_fields)
-        return json_columns(lines, fields)
+        return json_columns(lines, fields, max_fields)
     if fmt == "tsv":
         records = spaced_records(lines)
-    else:
-        records = key_value_records(lines, fmt, keep_unparsed=merged)
+        if fields is None:
+            fields = collect_fields(field_profile(map_entries(records)), max_fields)
+        return flatten_map(records, [name for name, _, _ in fields])
     if fields is None:
+        records = key_value_records(lines, fmt, keep_unparsed=merged)
         fields = collect_fields(field_profile(map_entries(records)), max_fields)
-    return flatten_map(records, [name for name, _, _ in fields])
+    return key_value_columns(lines, fmt, [name for name, _, _ in fields], keep_unparsed=merged)
 
 
 def read_logs(

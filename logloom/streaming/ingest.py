@@ -71,7 +71,7 @@ def start_ingest(
             "file_format": chosen,
             "upload_method": "stream",
         }
-        ingest_records(warehouse, records, target, mapping, rules, max_fields, f"{name}-{number}", user, details)
+        ingest_records(warehouse, records, target, mapping, rules, f"{name}-{number}", user, details)
 
     writer = files.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(run)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.binding import with_parsed
 from logloom.functions.coercion import coerce
 from logloom.functions.control import filename_display, filename_list, list_column, mapping_column
 from logloom.functions.timestamps import format_utc, parse_timestamp
@@ -12,7 +13,7 @@ from logloom.operators.mapping import map_fields
 from logloom.sources.delimited import parse_records, spaced_records
 from logloom.sources.json_arrays import split_elements
 from logloom.sources.lines import lines_from_column
-from logloom.sources.records import flatten_map, json_columns, key_value_records, parse_lines
+from logloom.sources.records import flatten_map, json_columns, key_value_columns, parse_lines
 from logloom.workloads import table, workload
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -20,12 +21,12 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 def as_lines(rows: DataFrame, text: Column, line_id: Column | str, file: Column | None = None) -> DataFrame:
     name = F.lit("table") if file is None else file.cast("string")
-    return rows.select(
+    return with_parsed(rows, "_text", text).select(
         name.alias("source_path"),
         name.alias("source_file"),
         F.lit(0).cast("bigint").alias("split_start"),
         (F.col(line_id) if isinstance(line_id, str) else line_id).cast("bigint").alias("line_id"),
-        text.alias("value"),
+        F.col("_text").alias("value"),
     )
 
 
@@ -150,10 +151,8 @@ def logfmt_records(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\" user='"), "user_id", F.lit("' kind=\""), "event_type", F.lit(' seen" value='),
         F.col("value").cast("string"), F.lit(' note=""'),
     )
-    records = key_value_records(as_lines(events, text, "event_id"), "logfmt")
-    flat = flatten_map(records, ["id", "at", "user", "kind", "value", "note"]).select(
-        "id", "at", "user", "kind", "value", "note"
-    )
+    fields = ["id", "at", "user", "kind", "value", "note"]
+    flat = key_value_columns(as_lines(events, text, "event_id"), "logfmt", fields).select(*fields)
     mapped = map_fields(
         flat,
         mappings={"id": "event_id", "user": "user_id"},
@@ -183,8 +182,8 @@ def ltsv_records(spark: SparkSession, folder: str) -> DataFrame:
         F.when(even, F.concat(gap, F.lit("prio:"), "o_orderpriority")).otherwise(F.lit("")),
     )
     text = F.when(F.col("o_orderkey") % 10 == 7, F.lit("no labels here")).otherwise(labelled)
-    records = key_value_records(as_lines(orders, text, "o_orderkey"), "ltsv")
-    flat = flatten_map(records, ["key", "cust", "status", "price", "day", "prio"])
+    fields = ["key", "cust", "status", "price", "day", "prio"]
+    flat = key_value_columns(as_lines(orders, text, "o_orderkey"), "ltsv", fields)
     return flat.select(
         F.col("key").cast("bigint").alias("o_orderkey"),
         F.col("cust").cast("bigint").alias("o_custkey"),
