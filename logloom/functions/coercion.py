@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.binding import bind
 from logloom.functions.literals import float_from_text, strip
 
 # The words accepted for booleans.
@@ -31,7 +32,12 @@ def _as_double(value: Column, data_type: T.DataType) -> Column:
 
 def to_integer(value: Column, data_type: T.DataType) -> Column:
     """Truncate towards zero; text goes through a float first, so '1.9' gives 1."""
-    return _as_double(value, data_type).try_cast("bigint")
+
+    def truncate(number: Column) -> Column:
+        # 2^63 itself would be saturated to the largest long
+        return F.when((number >= -(2.0**63)) & (number < 2.0**63), number.try_cast("bigint"))
+
+    return bind(_as_double(value, data_type), truncate)
 
 
 def to_float(value: Column, data_type: T.DataType) -> Column:
