@@ -174,7 +174,9 @@ def _replay(
     """``events`` has key, at (micros), id, failed; returns key, at, id, ok, first, second."""
     bucketed = events.withColumn("bucket", F.floor(F.col("at") / window_us).cast("bigint"))
     labels = _label_buckets(bucketed, counted, most_calm, slice_rows)
-    slices = (labels.agg(F.max("slice")).first()[0] or 0) + 1
+    slices = 1
+    if events.limit(slice_rows + 1).count() > slice_rows:
+        slices = (labels.agg(F.max("slice")).first()[0] or 0) + 1
     if slices > 1:
         labels = cut_lineage(labels)
     own = F.struct(F.col("stretch"), F.col("slice"), F.lit(LIVE_ROW).alias("role"))

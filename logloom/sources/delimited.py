@@ -6,13 +6,13 @@ import csv
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.line_formats import spaced_cells
 from logloom.functions.literals import strip
-from logloom.operators.multiline import BLOCK_KEY, earlier_blocks, merge_by_flag, with_blocks
+from logloom.operators.multiline import merge_by_nesting
 from logloom.session import broadcast_if_small, quoted
 from logloom.sources.lines import as_paths, leading_lines, read_lines
 
@@ -99,18 +99,9 @@ def _plain_read(
 
 def quote_balanced_records(lines: DataFrame) -> DataFrame:
     """Join lines that a quoted cell runs across; a record starts at even quote parity."""
-    counted = with_blocks(
-        lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
-    )
-    blocks = counted.groupBy(*BLOCK_KEY).agg(F.sum("quotes").alias("block_quotes"))
-    entered = blocks.withColumn("quotes_before", F.coalesce(F.sum("block_quotes").over(earlier_blocks()), F.lit(0)))
-    before_row = Window.partitionBy(*BLOCK_KEY).orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum("quotes").over(before_row), F.lit(0))
-    marked = counted.join(entered.drop("block_quotes"), BLOCK_KEY).withColumn(
-        "starts", F.pmod(F.col("quotes_before") + seen, F.lit(2)) == 0
-    )
-    pieces = marked.select("source_path", "source_file", "split_start", "line_id", "value", "starts")
-    return merge_by_flag(pieces, F.col("starts"), None)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    flat = F.lit(0)
+    return merge_by_nesting(lines, quotes, flat, flat, start_depth=0, separator="\n")
 
 
 def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> DataFrame:

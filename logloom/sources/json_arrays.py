@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.binding import bind, with_parsed
 from logloom.functions.literals import strip
-from logloom.operators.multiline import BLOCK_KEY, earlier_blocks, merge_by_flag, with_blocks
+from logloom.operators.multiline import merge_by_nesting
 from logloom.sources.lines import read_lines
 
 FRAGMENT_END = ","
@@ -24,61 +25,38 @@ def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def _depth_change(structure: Column) -> Column:
-    opened = F.length(structure) - F.length(F.translate(structure, "[{", ""))
-    closed = F.length(structure) - F.length(F.translate(structure, "]}", ""))
-    return opened - closed
+def _depth_change(plain: Column, quotation: str) -> Column:
+    """Opened minus closed brackets outside quotations; most fragments hold no bracket at all."""
+
+    def change(structure: Column) -> Column:
+        opened = F.length(structure) - F.length(F.translate(structure, "[{", ""))
+        closed = F.length(structure) - F.length(F.translate(structure, "]}", ""))
+        return opened - closed
+
+    bare = F.regexp_replace(plain, quotation, "")
+    return F.when(F.translate(plain, "[]{}", "") == plain, 0).otherwise(bind(bare, change))
+
+
+def _bare(value: Column, depth: Column, change: Column) -> Column:
+    """Cut the array's own brackets off the fragments that hold them."""
+    opened = F.when(depth == 0, F.regexp_replace(value, r"^[\s\ufeff]*\[", "")).otherwise(value)
+    return F.when(depth + change == 0, F.regexp_replace(opened, r"\]\s*$", "")).otherwise(opened)
 
 
 def split_elements(fragments: DataFrame) -> DataFrame:
     """Lines table of comma-ended fragments to a lines table of array elements."""
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    measured = with_blocks(
-        fragments.withColumn("_plain", plain)
-        .withColumn("quotes", _count(F.col("_plain"), '"'))
-        # structure seen when the fragment begins outside, respectively inside, a string
-        .withColumn("if_out", _depth_change(F.regexp_replace("_plain", r'"[^"]*(?:"|$)', "")))
-        .withColumn("if_in", _depth_change(F.regexp_replace("_plain", r'^[^"]*(?:"|$)|"[^"]*(?:"|$)', "")))
-        .drop("_plain")
-    )
-    within = Window.partitionBy(*BLOCK_KEY).orderBy("line_id")
-    before_row = within.rowsBetween(Window.unboundedPreceding, -1)
-    local = measured.withColumn("parity", F.pmod(F.coalesce(F.sum("quotes").over(before_row), F.lit(0)), F.lit(2)))
-    # depth change under both possible string states at the start of the block
-    straight = F.when(F.col("parity") == 0, F.col("if_out")).otherwise(F.col("if_in"))
-    flipped = F.when(F.col("parity") == 0, F.col("if_in")).otherwise(F.col("if_out"))
-    local = local.withColumn("straight", straight).withColumn("flipped", flipped)
-    blocks = local.groupBy(*BLOCK_KEY).agg(
-        F.sum("quotes").alias("block_quotes"),
-        F.sum("straight").alias("block_straight"),
-        F.sum("flipped").alias("block_flipped"),
-    )
-    parity = F.pmod(F.coalesce(F.sum("block_quotes").over(earlier_blocks()), F.lit(0)), F.lit(2))
-    entered = blocks.withColumn("block_parity", parity).withColumn(
-        "block_depth", F.when(F.col("block_parity") == 0, F.col("block_straight")).otherwise(F.col("block_flipped"))
-    )
-    entered = entered.withColumn(
-        "depth_before", F.coalesce(F.sum("block_depth").over(earlier_blocks()), F.lit(0))
-    ).select(*BLOCK_KEY, "block_parity", "depth_before")
-    placed = (
-        local.join(entered, BLOCK_KEY)
-        .withColumn("change", F.when(F.col("block_parity") == 0, F.col("straight")).otherwise(F.col("flipped")))
-        .withColumn("outside", F.col("parity") == F.col("block_parity"))
-        .withColumn("depth", F.col("depth_before") + F.coalesce(F.sum("change").over(before_row), F.lit(0)))
-    )
-    # the array's own brackets are cut off the fragments that hold them
-    opening = F.when(F.col("depth") == 0, F.regexp_replace("value", r"^[\s\ufeff]*\[", "")).otherwise(F.col("value"))
-    closes = F.col("depth") + F.col("change") == 0
-    bare = F.when(closes, F.regexp_replace(opening, r"\]\s*$", "")).otherwise(opening)
-    pieces = placed.select(
-        "source_path",
-        "source_file",
-        "split_start",
-        "line_id",
-        bare.alias("value"),
-        ((F.col("depth") == 1) & F.col("outside")).alias("starts"),
+    escaped = F.col("value").contains("\\")
+    plain = F.when(escaped, F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    quotation = r'"[^"]*(?:"|$)'
+    elements = merge_by_nesting(
+        with_parsed(fragments, "_plain", plain),
+        quotes=_count(F.col("_plain"), '"'),
+        if_outside=_depth_change(F.col("_plain"), quotation),
+        if_inside=_depth_change(F.col("_plain"), r'^[^"]*(?:"|$)|' + quotation),
+        start_depth=1,
+        separator=FRAGMENT_END,
+        rewrite=_bare,
     )
-    elements = merge_by_flag(pieces, F.col("starts"), None, FRAGMENT_END)
     return elements.withColumn("value", strip(F.col("value"))).filter(F.col("value") != "")
 
 
