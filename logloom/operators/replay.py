@@ -91,48 +91,52 @@ RULES: dict[str, Callable[[int, int], Admission | Lockout]] = {
     "lockout": lambda limit, window: Lockout(limit, window, deque()),
 }
 
-_OUT = "key string, stretch bigint, slice bigint, at bigint, id bigint, ok boolean, first int, second int, state array<bigint>"
+_OUT = "key string, stretch bigint, slice bigint, role int, at bigint, id bigint, ok boolean, first int, second int"
+_NAMES = ["key", "stretch", "slice", "role", "at", "id", "ok", "first", "second"]
 
 
 def _replay_sorted(rule: str, limit: int, window: int):
-    """Streams sorted batches; holds one key's state and one batch at a time."""
+    """Streams sorted batches; holds one key's state and one batch at a time.
+
+    Live events give a decision row; at the end of a stretch the counted times still in the
+    state leave as state rows, which can open the next slice of that stretch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, slice_no = None, None, 0
 
-        def closing() -> pd.DataFrame:
-            row = (current[0], current[1], slice_no, None, None, None, None, None, state.dump())
-            return pd.DataFrame([row], columns=names)
+        def state_rows() -> list[tuple]:
+            if current is None:
+                return []
+            return [(*current, slice_no, STATE_ROW, at, None, None, None, None) for at in state.dump()]
 
-        names = ["key", "stretch", "slice", "at", "id", "ok", "first", "second", "state"]
         for batch in batches:
             out = []
-            for key, stretch, piece, role, at, id_, failed, carried in zip(
-                batch["key"], batch["stretch"], batch["slice"], batch["role"], batch["at"], batch["id"],
-                batch["failed"], batch["state"],
+            for key, stretch, piece, role, at, id_, failed in zip(
+                batch["key"], batch["stretch"], batch["slice"], batch["role"], batch["at"], batch["id"], batch["failed"]
             ):
                 if (key, stretch) != current:
-                    if current is not None:
-                        out.append((current[0], current[1], slice_no, None, None, None, None, None, state.dump()))
+                    out += state_rows()
                     current, state = (key, stretch), RULES[rule](limit, window)
                 slice_no = piece
                 if role == STATE_ROW:
-                    state.restore([int(t) for t in carried])
+                    state.taken.append(at)
                     continue
                 ok, first, second = state.decide(at, failed)
                 if role == LIVE_ROW:
-                    out.append((key, stretch, piece, at, id_, ok, first, second, None))
+                    out.append((key, stretch, piece, role, at, id_, ok, first, second))
             if out:
-                yield _frame(out, names)
-        if current is not None:
-            yield closing()
+                yield _frame(out)
+        out = state_rows()
+        if out:
+            yield _frame(out)
 
     return run
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    for name, kind in (("at", "Int64"), ("id", "Int64"), ("first", "Int32"), ("second", "Int32"), ("ok", "boolean")):
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_NAMES)
+    for name, kind in (("id", "Int64"), ("first", "Int32"), ("second", "Int32"), ("ok", "boolean")):
         frame[name] = frame[name].astype(kind)
     return frame
 
@@ -183,11 +187,10 @@ def _replay(
     run_up = F.struct(
         (F.col("bucket") + 1).alias("stretch"), F.lit(0).cast("bigint").alias("slice"), F.lit(RUN_UP_ROW).alias("role")
     )
-    no_state = F.lit(None).cast("array<bigint>").alias("state")
     placed = bucketed.join(labels, ["key", "bucket"]).select(
         "key", "at", "id", "failed", F.inline(F.when(F.col("leads"), F.array(own, run_up)).otherwise(F.array(own)))
     )
-    rows = placed.select("key", "stretch", "slice", "role", "at", "id", "failed", no_state)
+    rows = placed.select("key", "stretch", "slice", "role", "at", "id", "failed")
     replay = _replay_sorted(rule, limit, window_us)
 
     def work(part: DataFrame) -> DataFrame:
@@ -207,17 +210,16 @@ def _replay(
                 )
             done = cut_lineage(work(part))
             decided = done if decided is None else decided.unionByName(done)
-            carried = done.filter(F.col("state").isNotNull()).select(
+            carried = done.filter(F.col("role") == STATE_ROW).select(
                 "key",
                 "stretch",
                 F.lit(number + 1).cast("bigint").alias("slice"),
-                F.lit(STATE_ROW).alias("role"),
-                F.lit(None).cast("bigint").alias("at"),
-                F.lit(None).cast("bigint").alias("id"),
-                F.lit(None).cast("boolean").alias("failed"),
-                "state",
+                "role",
+                "at",
+                F.lit(0).cast("bigint").alias("id"),
+                F.lit(False).alias("failed"),
             )
-    return decided.filter(F.col("state").isNull()).select("key", "at", "id", "ok", "first", "second")
+    return decided.filter(F.col("role") == LIVE_ROW).select("key", "at", "id", "ok", "first", "second")
 
 
 def _prepared(events: DataFrame, key: str, ts: str, id_: str, failed: Column) -> DataFrame:
