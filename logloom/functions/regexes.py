@@ -32,6 +32,8 @@ class CompiledPattern:
     ambiguous: frozenset[str] = frozenset()
     # Fields that always take part, so an empty string is a real empty match.
     always_present: frozenset[str] = frozenset()
+    # Text every match holds, '' when none is known: a cheap test before the regex runs.
+    required_text: str = ""
 
     @property
     def field_names(self) -> list[str]:
@@ -83,6 +85,7 @@ class _Group:
     parent: "_Group | None" = None
     has_choice: bool = False
     skippable: bool = False
+    looks_around: bool = False
     body: str = ""
 
 
@@ -90,6 +93,8 @@ class _Group:
 class _Translation:
     java: list[str] = field(default_factory=list)
     groups: dict[int, _Group] = field(default_factory=dict)
+    literals: list[tuple[_Group, str]] = field(default_factory=list)
+    flagged: bool = False
 
 
 def _translate(source: str, index_of: dict[str, int]) -> _Translation:
@@ -97,11 +102,32 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
     result = _Translation()
     java = result.java
     current = _Group(start=0)
-    count, i, in_class = 0, 0, False
+    count, i, in_class, run = 0, 0, False, ""
+
+    def end_run() -> None:
+        nonlocal run
+        if run:
+            result.literals.append((current, run))
+        run = ""
+
+    def literal(text: str, following: str) -> None:
+        """Extend the run of literal text unless a quantifier makes it optional."""
+        nonlocal run
+        if following[:1] in ("?", "*", "{"):
+            end_run()
+        else:
+            run += text
+            if following[:1] == "+":
+                end_run()
+
     while i < len(source):
         char, pair = source[i], source[i : i + 2]
         if char == "\\":
             code = source[i + 1]
+            if not in_class and not code.isalnum():
+                literal(code, source[i + 2 : i + 3])
+            else:
+                end_run()
             if code in _CLASSES:
                 java.append(_CLASSES[code] if in_class else f"[{_CLASSES[code]}]")
             elif code in "WDS":
@@ -124,6 +150,10 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
                 java.append("\\" + char if char in "[&" or (char == "]" and i == class_start) else char)
             i += 1
             continue
+        if char not in "[(){|^$.?*+":
+            literal(char, source[i + 1 : i + 2])
+        else:
+            end_run()
         if char == "[":
             in_class = True
             negated = source[i + 1 : i + 2] == "^"
@@ -131,6 +161,9 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
             java.append("[^" if negated else "[")
             i += 1 + negated
         elif char == "(":
+            if source.startswith("(?#", i):
+                i = source.index(")", i) + 1
+                continue
             opened = _Group(start=i, parent=current)
             named = re.match(r"\(\?P<(\w+)>", source[i:])
             back = re.match(r"\(\?P=(\w+)\)", source[i:])
@@ -140,6 +173,8 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
                 continue
             if re.match(r"\(\?\(", source[i:]):
                 raise PatternError("conditional groups are not supported")
+            opened.looks_around = bool(re.match(r"\(\?<?[=!]", source[i:]))
+            result.flagged |= bool(re.match(r"\(\?[aiLmsux-]", source[i:]))
             if named or source[i + 1 : i + 2] != "?":
                 count += 1
                 opened.number = count
@@ -147,8 +182,9 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
                 java.append("(")
                 i += named.end() if named else 1
             else:
-                java.append("(")
-                i += 1
+                prefix = re.match(r"\(\?(?:<?[=!]|[:>])", source[i:])
+                java.append(prefix[0] if prefix else "(")
+                i += prefix.end() if prefix else 1
             opened.start = i
             current = opened
         elif char == ")":
@@ -173,9 +209,25 @@ def _translate(source: str, index_of: dict[str, int]) -> _Translation:
         else:
             java.append(char)
             i += 1
+    end_run()
     return result
 
 
+def _required_text(translation: _Translation) -> str:
+    """Longest literal run outside choices, optional groups and look-arounds."""
+
+    def certain(group: _Group | None) -> bool:
+        while group is not None:
+            if group.skippable or group.has_choice or group.looks_around:
+                return False
+            group = group.parent
+        return True
+
+    if translation.flagged:
+        return ""
+    return max((text for group, text in translation.literals if certain(group)), key=len, default="")
+
+
 def _may_be_skipped(group: _Group) -> bool:
     node: _Group | None = group
     while node is not None:
@@ -219,4 +271,5 @@ def compile_pattern(
         fields=fields,
         ambiguous=frozenset(ambiguous),
         always_present=frozenset(present),
+        required_text=_required_text(translation),
     )

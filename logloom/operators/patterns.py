@@ -19,7 +19,12 @@ RAW_FIELD = "raw_message"
 
 def matches(line: Column, pattern: CompiledPattern) -> Column:
     """True where the pattern matches at the start of the line."""
-    return F.coalesce(line.rlike(pattern.anchored), F.lit(False))
+    return F.coalesce(_possible(line, pattern) & line.rlike(pattern.anchored), F.lit(False))
+
+
+def _possible(line: Column, pattern: CompiledPattern) -> Column:
+    """Cheap necessary condition for a match."""
+    return line.contains(pattern.required_text) if pattern.required_text else F.lit(True)
 
 
 def _python_fields(line: Column, pattern: CompiledPattern) -> Column:
@@ -52,7 +57,11 @@ def extract_fields(
         matched = F.col("_found").isNotNull()
     else:
         numbers = [number for _, number in pattern.fields]
-        found = with_parsed(lines, "_groups", capture_groups(line, pattern.spanning, numbers))
+        found = with_parsed(
+            lines,
+            "_groups",
+            F.when(_possible(line, pattern), capture_groups(line, pattern.spanning, numbers)),
+        )
         matched = F.coalesce(F.size("_groups") > 1, F.lit(False))
         columns = {}
         for at, name in enumerate(pattern.field_names, start=1):
