@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 DEFAULT_BROADCAST_LIMIT_ROWS = 100_000
+SMALL_SCAN_BYTES = 1024 * 1024
 
 
 def build_session(master: str | None = None, app_name: str = "logloom", **conf: str) -> SparkSession:
@@ -81,6 +82,18 @@ def broadcast_if_small(
     return F.broadcast(df)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a file scan that leaves most cores idle (few or unsplittable files).
+
+    A scan with at least half as many splits as there are cores, as any large input has, is
+    returned unchanged and costs no shuffle; so is a tiny one.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if plan_size_bytes(scan) < SMALL_SCAN_BYTES or 2 * scan.rdd.getNumPartitions() > cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def quoted(name: str) -> Column:
     """Column reference by exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

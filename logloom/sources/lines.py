@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.session import spread
+
 PROVENANCE = ("source_path", "source_file", "split_start", "line_id")
 
 # Accepted file suffixes.
@@ -28,7 +30,8 @@ def as_paths(paths: str | Sequence[str]) -> list[str]:
 def read_lines(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None) -> DataFrame:
     """Lines of all files. Undecodable bytes are replaced, as Spark's text source does."""
     options = {"lineSep": separator} if separator else {}
-    return number_lines(spark.read.text(as_paths(paths), **options).select(*located_text()))
+    lines = number_lines(spark.read.text(as_paths(paths), **options).select(*located_text()))
+    return spread(lines, "source_path", "line_id")
 
 
 def located_text() -> list[Column]:

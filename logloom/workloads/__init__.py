@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.session import spread
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table about to be parsed row by row, over all cores even when it is a single split."""
+    return spread(table(spark, folder, name), key)
+
+
 def load_all() -> dict[str, Workload]:
     from logloom.workloads import control, formats, guards, patterns, profiles  # noqa: F401
 

@@ -14,7 +14,7 @@ from logloom.sources.delimited import parse_records, spaced_records
 from logloom.sources.json_arrays import split_elements
 from logloom.sources.lines import lines_from_column
 from logloom.sources.records import flatten_map, json_columns, key_value_columns, parse_lines
-from logloom.workloads import table, workload
+from logloom.workloads import spread_table, table, workload
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -31,7 +31,7 @@ def as_lines(rows: DataFrame, text: Column, line_id: Column | str, file: Column
 
 
 def event_json_lines(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     body = F.struct(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
@@ -92,7 +92,7 @@ def errors_per_hour(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ndjson_records(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines with malformed and non-object lines among them."""
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     text = F.to_json(F.struct("user_id", "event_type"))
     spoiled = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"user_id": '), "event_id")).when(
         F.col("event_id") % 13 == 0, F.concat(F.lit("["), "event_id", F.lit("]"))
@@ -116,7 +116,7 @@ def ndjson_records(spark: SparkSession, folder: str) -> DataFrame:
 )
 def json_array_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one JSON array, split into its elements by structure."""
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents", "doc_id")
     first = F.to_json(F.struct("text", F.array(F.lit(1), F.lit(2)).alias("pair")))
     second = F.to_json(F.struct("lang", F.struct("source", "doc_id").alias("origin")))
     third = F.to_json(F.struct("n_chars"))
@@ -145,7 +145,7 @@ def json_array_elements(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def logfmt_records(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     text = F.concat(
         F.lit("kind=overwritten id="), "event_id", F.lit(' at="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
         F.lit("\" user='"), "user_id", F.lit("' kind=\""), "event_type", F.lit(' seen" value='),
@@ -172,7 +172,7 @@ def logfmt_records(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ltsv_records(spark: SparkSession, folder: str) -> DataFrame:
     """Tab- and blank-separated labelled lines; lines without a label are dropped."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders", "o_orderkey")
     even = F.col("o_orderkey") % 2 == 0
     gap = F.when(even, "\t").otherwise("   ")
     labelled = F.concat(
@@ -212,7 +212,7 @@ def ltsv_records(spark: SparkSession, folder: str) -> DataFrame:
 )
 def syslog_records(spark: SparkSession, folder: str) -> DataFrame:
     """Both syslog generations and plain lines in one log."""
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     pri = F.concat(F.lit("<"), F.col("event_id") % 192, F.lit(">"))
     host = F.concat(F.lit("host"), "user_id")
     kind = F.col("event_id") % 4
@@ -289,7 +289,7 @@ def spaced(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    records = parse_lines(lines_from_column(table(spark, folder, "documents"), "text", "doc_id"), "raw")
+    records = parse_lines(lines_from_column(spread_table(spark, folder, "documents", "doc_id"), "text", "doc_id"), "raw")
     return records.groupBy(F.col("source_path").cast("bigint").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("raw_message") == "").alias("blank"),
@@ -309,7 +309,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
 )
 def normalised_times(spark: SparkSession, folder: str) -> DataFrame:
     """One instant in nine renderings: ISO, epochs, web-server, mail, US and junk."""
-    events = table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    events = spread_table(spark, folder, "events", "event_id").withColumn("at", F.col("ts").cast("timestamp"))
     micros = F.unix_micros("at")
     east = F.date_format(F.col("at") + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss")
     text = F.element_at(
@@ -347,7 +347,7 @@ def normalised_times(spark: SparkSession, folder: str) -> DataFrame:
 )
 def coerced_values(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers, exponents, underscores, words, infinities and empty text against all target types."""
-    items = table(spark, folder, "lineitem").withColumn("form", (F.col("l_orderkey") + F.col("l_linenumber")) % 8)
+    items = spread_table(spark, folder, "lineitem", "l_orderkey").withColumn("form", (F.col("l_orderkey") + F.col("l_linenumber")) % 8)
     text = F.element_at(
         F.array(
             F.concat(F.lit(" "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")),
@@ -389,7 +389,7 @@ def mapped_orders(spark: SparkSession, folder: str) -> DataFrame:
 
     Two fields are renamed to ``order.state``; the later one wins.
     """
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders", "o_orderkey")
     shaped = orders.withColumn("done", F.when(F.col("o_orderstatus") == "F", "yes").otherwise("off")).select(
         "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey", "o_orderdate", "done"
     )
@@ -423,7 +423,7 @@ def mapped_orders(spark: SparkSession, folder: str) -> DataFrame:
 )
 def decoded_manifest_columns(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lists, plain names and broken JSON in control-table columns."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders", "o_orderkey")
     kind = F.col("o_orderkey") % 3
     name = (
         F.when(kind == 0, F.concat(F.lit('["a.json", "b'), "o_custkey", F.lit('.json"]')))

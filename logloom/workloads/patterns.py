@@ -10,7 +10,7 @@ from logloom.functions.regexes import compile_pattern
 from logloom.operators.multiline import merge_lines
 from logloom.operators.patterns import extract_fields, match_spans, pattern_coverage
 from logloom.sources.lines import lines_from_column
-from logloom.workloads import table, workload
+from logloom.workloads import spread_table, table, workload
 from logloom.workloads.formats import as_lines
 
 ACCESS_LINE = (
@@ -35,7 +35,7 @@ ACCESS_LINE = (
 )
 def grok_access_log(spark: SparkSession, folder: str) -> DataFrame:
     """Web-server lines with optional groups; lines that do not match are kept whole."""
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     good = F.concat(
         F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(" - user_"), "user_id",
         F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss '+0000'"), F.lit('] "GET /'), "event_type", F.lit("/"),
@@ -120,7 +120,7 @@ COVERAGE = {
 )
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines of all documents each pattern matches."""
-    lines = lines_from_column(table(spark, folder, "documents"), "text", "doc_id")
+    lines = lines_from_column(spread_table(spark, folder, "documents", "doc_id"), "text", "doc_id")
     return pattern_coverage(lines, {name: compile_pattern(text) for name, text in COVERAGE.items()})
 
 
@@ -160,7 +160,7 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
 )
 def multiline_records(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines merged into records of at most four lines that start with A to M."""
-    lines = lines_from_column(table(spark, folder, "documents"), "text", "doc_id")
+    lines = lines_from_column(spread_table(spark, folder, "documents", "doc_id"), "text", "doc_id")
     merged = merge_lines(lines, "[A-M]", max_lines=3)
     return merged.select(
         F.col("source_path").cast("bigint").alias("doc_id"),

@@ -9,7 +9,7 @@ from logloom.operators import profiling as P
 from logloom.sources.delimited import tabular_check
 from logloom.sources.lines import leading_lines, lines_from_column
 from logloom.sources.records import json_records
-from logloom.workloads import table, workload
+from logloom.workloads import spread_table, table, workload
 from logloom.workloads.formats import as_lines, event_json_lines
 
 
@@ -66,7 +66,7 @@ def column_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of eight kinds."""
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents", "doc_id")
     kind = F.col("doc_id") % 8
     one_line = F.regexp_replace("text", "\\s+", " ")
     pairs = F.array_join(
@@ -137,7 +137,7 @@ _COUNTS_SQL = """
 
 
 def _nested_counts(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    events = spread_table(spark, folder, "events", "event_id")
     inner = F.struct(F.lit(1).alias("a"), F.struct(F.lit("x:y").alias("b"), F.array(F.lit(1), F.lit(2)).alias("c")).alias("d"))
     body = F.struct(
         "event_id", "user_id", "event_type", "value",
@@ -171,7 +171,7 @@ def field_count_gate(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def tabular(spark: SparkSession, folder: str) -> DataFrame:
-    lines = leading_lines(lines_from_column(table(spark, folder, "documents"), "text", "doc_id"), 1)
+    lines = leading_lines(lines_from_column(spread_table(spark, folder, "documents", "doc_id"), "text", "doc_id"), 1)
     return tabular_check(lines).select(F.col("source_path").cast("bigint").alias("doc_id"), "tabular")
 
 
