@@ -19,13 +19,11 @@ _HEX_DIGITS = "0123456789abcdef"
 
 
 def _ipv4_number(text: Column) -> Column:
-    def number(octets: Column) -> Column:
-        total = F.lit(0).cast("bigint")
-        for at in range(4):
-            total = total * 256 + F.get(octets, F.lit(at)).try_cast("bigint")
-        return total
-
-    return bind(F.split(text, r"\.", -1), number)
+    total = F.lit(0).cast("bigint")
+    for octet in (1, 2, 3, 4):
+        part = F.substring_index(F.substring_index(text, ".", octet), ".", -1)
+        total = total * 256 + part.try_cast("bigint")
+    return total
 
 
 def _fixed_hex(number: Column, width: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.binding import with_parsed
 from logloom.functions.line_formats import spaced_cells
 from logloom.functions.literals import strip
 from logloom.operators.multiline import merge_by_nesting
@@ -22,6 +23,7 @@ SAMPLE_CHARS = 8192
 # Files up to this size are read whole by one task when cells may hold line breaks.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 MAX_HEADER_GROUPS = 64
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def vote_delimiter(sample: str) -> str:
@@ -59,7 +61,7 @@ def _head(spark: SparkSession, path: str, count: int) -> list[str]:
 
 
 def _sample(spark: SparkSession, path: str) -> str:
-    return "\n".join(line[:SAMPLE_CHARS] for line in _head(spark, path, 100)).removeprefix("﻿")
+    return "\n".join(line[:SAMPLE_CHARS] for line in _head(spark, path, 100)).removeprefix(BYTE_ORDER_MARK)
 
 
 def _header_names(header_line: str, delimiter: str) -> list[str]:
@@ -72,9 +74,12 @@ def _select_named(table: DataFrame, names: Sequence[str], cell: "dict[int, Colum
     return [F.nullif(cell[at], F.lit("")).alias(name) for name, at in last_at.items() if name != ""]
 
 
-def _listing(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int]]:
-    listed = spark.read.format("binaryFile").load(list(paths)).select("path", "length").orderBy("path")
-    return [(row["path"], row["length"]) for row in listed.collect()]
+def _file_facts(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int, list[str]]:
+    """(number of filled files, largest size, the first paths) without collecting the listing."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length").filter("length > 0")
+    count, largest = files.agg(F.count(F.lit(1)), F.max("length")).first()
+    some = files.orderBy("path").limit(MAX_HEADER_GROUPS).collect()
+    return count, largest or 0, [row["path"] for row in some]
 
 
 def _positional(names: Sequence[str]) -> T.StructType:
@@ -113,14 +118,17 @@ def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> D
     return parsed.select(*_select_named(parsed, names, cells), "source_path", "source_file")
 
 
+def _has_open_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether any line has an odd number of quote marks, so that cells may hold line breaks."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(list(paths)).filter(F.pmod(quotes, F.lit(2)) == 1).isEmpty()
+
+
 def _read_group(
     spark: SparkSession, paths: Sequence[str], names: Sequence[str], delimiter: str, whole_files: bool
 ) -> DataFrame:
-    if whole_files:
-        return _plain_read(spark, paths, names, delimiter, whole_files=True)
-    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
-    if spark.read.text(list(paths)).filter(odd).isEmpty():
-        return _plain_read(spark, paths, names, delimiter, whole_files=False)
+    if whole_files or not _has_open_quotes(spark, paths):
+        return _plain_read(spark, paths, names, delimiter, whole_files)
     return parse_records(quote_balanced_records(read_lines(spark, paths)), names, delimiter)
 
 
@@ -132,45 +140,73 @@ def read_delimited(
 ) -> DataFrame:
     """All cells as text; short rows end in nulls, surplus cells are dropped, '' is null.
 
-    Files are grouped by header so that differently laid out files are united by name, not
-    by position.  Small files with quoted line breaks are read whole; large ones stay
-    splittable through quote parity.
+    Differently laid out files are united by name, not by position.  Small files with quoted
+    line breaks are read whole; large ones stay splittable through quote parity.
     """
-    listing = _listing(spark, as_paths(paths))
-    filled = [(path, size) for path, size in listing if size > 0]
-    if not filled:
+    paths = as_paths(paths)
+    count, largest, some = _file_facts(spark, paths)
+    if not some:
         raise ValueError("no data to read")
     if delimiter is None:
-        delimiter = vote_delimiter(_sample(spark, filled[0][0]))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    if len(filled) <= MAX_HEADER_GROUPS:
-        for path, _ in filled:
-            first = (_head(spark, path, 1) or [""])[0].removeprefix("﻿")
-            groups.setdefault(tuple(_header_names(first, delimiter)), []).append(path)
+        delimiter = vote_delimiter(_sample(spark, some[0]))
+    whole_files = largest <= WHOLE_FILE_BYTES
+    if count > MAX_HEADER_GROUPS:
+        headers = _distinct_headers(spark, paths)
+        groups = {tuple(_header_names(text, delimiter)): paths for text in headers}
     else:
-        groups = _group_by_header(spark, [path for path, _ in filled], delimiter)
-    whole_files = max(size for _, size in filled) <= WHOLE_FILE_BYTES
+        headers, groups = [], {}
+        for path in some:
+            first = (_head(spark, path, 1) or [""])[0].removeprefix(BYTE_ORDER_MARK)
+            groups.setdefault(tuple(_header_names(first, delimiter)), []).append(path)
+    if check_tabular and not all(looks_tabular(names) for names in groups):
+        raise ValueError("single wordy column: not a table, try the raw or logfmt format")
+    if len(headers) > 1:
+        return _read_mixed(spark, paths, headers, delimiter)
     united = None
     for names, members in groups.items():
-        if check_tabular and not looks_tabular(names):
-            raise ValueError("single wordy column: not a table, try the raw or logfmt format")
-        table = _read_group(spark, members, names, delimiter, whole_files)
-        united = table if united is None else united.unionByName(table, allowMissingColumns=True)
+        part = _read_group(spark, members, names, delimiter, whole_files)
+        united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     return united
 
 
-def _group_by_header(spark: SparkSession, paths: Sequence[str], delimiter: str) -> dict[tuple[str, ...], list[str]]:
-    """Distinct headers of many files, found by a job over their first lines."""
-    firsts = leading_lines(read_lines(spark, paths).filter("split_start = 0"), 1)
-    grouped = firsts.groupBy("value").agg(F.collect_list("source_path").alias("paths"))
-    rows = grouped.limit(MAX_HEADER_GROUPS + 1).collect()
+def _first_lines(lines: DataFrame) -> DataFrame:
+    firsts = leading_lines(lines.filter("split_start = 0"), 1)
+    return firsts.select("source_path", F.ltrim("value", F.lit(BYTE_ORDER_MARK)).alias("header"))
+
+
+def _distinct_headers(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    rows = _first_lines(read_lines(spark, paths)).select("header").distinct().limit(MAX_HEADER_GROUPS + 1).collect()
     if len(rows) > MAX_HEADER_GROUPS:
         raise ValueError(f"more than {MAX_HEADER_GROUPS} different headers; read the files in separate sets")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in rows:
-        names = tuple(_header_names(row["value"].removeprefix("﻿"), delimiter))
-        groups.setdefault(names, []).extend(row["paths"])
-    return groups
+    return sorted(row["header"] for row in rows)
+
+
+def _read_mixed(spark: SparkSession, paths: Sequence[str], headers: Sequence[str], delimiter: str) -> DataFrame:
+    """Many files with a few different headers in one scan: cells are picked by each file's header."""
+    lines = read_lines(spark, paths)
+    layouts = [_header_names(text, delimiter) for text in headers]
+    number = F.array_position(F.array(*[F.lit(text) for text in headers]), F.col("header"))
+    by_file = broadcast_if_small(_first_lines(lines).select("source_path", number.alias("layout")))
+    records = quote_balanced_records(lines) if _has_open_quotes(spark, paths) else _without_first(lines)
+    records = records.filter((F.col("line_id") > 0) & (strip(F.col("value")) != "")).join(by_file, "source_path")
+    widest = max(layouts, key=len)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = with_parsed(records, "_row", F.from_csv("value", _positional(widest).simpleString(), options))
+    columns: dict[str, Column] = {}
+    for at, names in enumerate(layouts, start=1):
+        cells = {place: F.col("_row")[f"c{place}"] for place in range(len(names))}
+        for name, place in {name: place for place, name in enumerate(names) if name}.items():
+            cell = F.when(F.col("layout") == at, F.nullif(cells[place], F.lit("")))
+            columns[name] = F.coalesce(columns[name], cell) if name in columns else cell
+    return parsed.select(*[value.alias(name) for name, value in columns.items()], "source_path", "source_file")
+
+
+def _without_first(lines: DataFrame) -> DataFrame:
+    """Lines with every file's first one marked by ``line_id`` 0 and all others above it."""
+    firsts = lines.filter("split_start = 0").groupBy("source_path").agg(F.min("line_id").alias("first_id"))
+    marked = lines.join(broadcast_if_small(firsts), "source_path")
+    is_first = (F.col("split_start") == 0) & (F.col("line_id") == F.col("first_id"))
+    return marked.withColumn("line_id", F.when(is_first, 0).otherwise(F.col("line_id") + 1)).drop("first_id")
 
 
 def spaced_records(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.allowlist import check_allowlists
 from logloom.operators.replay import replay_admission, replay_lockout, trailing_counts
-from logloom.workloads import table, workload
+from logloom.workloads import spread_table, table, workload
 
 
 @workload(
@@ -24,7 +24,7 @@ from logloom.workloads import table, workload
 )
 def address_allowlist(spark: SparkSession, folder: str) -> DataFrame:
     """Access log of events against one allowlist per nation."""
-    access = table(spark, folder, "events").select(
+    access = spread_table(spark, folder, "events", "event_id").select(
         "event_id",
         (F.col("user_id") % 25).alias("key"),
         F.when(F.col("event_id") % 10 == 0, "unknown")

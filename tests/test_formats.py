@@ -92,6 +92,23 @@ def test_csv_files_with_different_headers_are_united_by_name(spark, put):
     assert rows == [{"a": "1", "b": "2"}, {"a": "4", "b": "3", "c": "5"}]
 
 
+@pytest.mark.parametrize("open_quotes", [False, True])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_csv_many_files(spark, put, monkeypatch, mixed, open_quotes):
+    monkeypatch.setattr(delimited, "MAX_HEADER_GROUPS", 3)
+    note = '"two\nlines"' if open_quotes else "plain"
+    expected, paths = [], []
+    for number in range(6):
+        if mixed and number % 2:
+            paths.append(put(f"f{number}.csv", f"b,a,c\n{number},x,{note}\n\n"))
+            expected.append({"a": "x", "b": str(number), "c": note.strip('"')})
+        else:
+            paths.append(put(f"f{number}.csv", f"a,b\ny,{number}\nz,{note},surplus\n"))
+            expected += [{"a": "y", "b": str(number)}, {"a": "z", "b": note.strip('"')}]
+    rows, _ = records(spark, paths, "csv")
+    assert rows == sorted(expected, key=repr)
+
+
 def test_wordy_header_is_rejected_only_on_request(spark, put):
     path = put("log.csv", "this is just a plain log message\nanother one\n")
     assert read_logs(spark, path, "csv").count() == 1
