@@ -125,9 +125,7 @@ class Warehouse:
 
     def manifest(self) -> DataFrame:
         """Latest state of every run."""
-        log = self.manifest_log()
-        latest = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), F.struct("step", "recorded_at")).alias("row"))
-        return latest.select("row.*").filter(F.col("status") != DISCARDED)
+        return latest_states(self.manifest_log(), "id", "step", "recorded_at").filter(F.col("status") != DISCARDED)
 
     def record_run(self, state: Mapping[str, object]) -> None:
         schema = self.spark.createDataFrame([], MANIFEST_SCHEMA).schema
@@ -155,13 +153,8 @@ class Warehouse:
     # ------------------------------------------------------------ tracking
 
     def tracked_targets(self) -> DataFrame:
-        log = self._read("tracked_targets", TRACKED_SCHEMA)
-        latest = log.groupBy("target").agg(
-            F.max_by("action", "recorded_at").alias("action"),
-            F.max_by("created_by", "recorded_at").alias("created_by"),
-            F.max("recorded_at").alias("created_at"),
-        )
-        return latest.filter("action = 'track'").drop("action")
+        latest = latest_states(self._read("tracked_targets", TRACKED_SCHEMA), "target", "recorded_at")
+        return latest.filter("action = 'track'").select("target", "created_by", F.col("recorded_at").alias("created_at"))
 
     def is_tracked(self, full_name: str) -> bool:
         return not self.tracked_targets().filter(F.col("target") == full_name).isEmpty()
@@ -214,6 +207,12 @@ class Warehouse:
         return True
 
 
+def latest_states(log: DataFrame, key: str, *order: str) -> DataFrame:
+    """Last row per key of an append-only log; combined before the shuffle."""
+    row = F.max_by(F.struct(*log.columns), F.struct(*order)).alias("row")
+    return log.groupBy(F.col(key).alias("_key")).agg(row).select("row.*")
+
+
 def audit_events(
     source: DataFrame,
     event_type: str | Column,

@@ -40,7 +40,7 @@ def _provenance(lines: DataFrame) -> list[Column]:
     return [F.col(name) for name in PROVENANCE if name in lines.columns]
 
 
-def _filled(lines: DataFrame) -> DataFrame:
+def filled_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(strip(F.col("value")) != "")
 
 
@@ -77,7 +77,7 @@ def key_value_columns(
 def json_records(lines: DataFrame) -> DataFrame:
     """JSON object texts to a ``record`` map of variants, for profiling; bad texts are left out."""
     record = F.from_json(strip(F.col("value")), "map<string,variant>")
-    objects = _filled(lines).filter(strip(F.col("value")).startswith("{"))
+    objects = filled_lines(lines).filter(strip(F.col("value")).startswith("{"))
     parsed = with_parsed(objects, "record", record)
     return parsed.filter(F.col("record").isNotNull()).select(*_provenance(lines), "record")
 
@@ -104,7 +104,7 @@ def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MA
         "`_bad` VARIANT", "`_bad` STRING"
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    objects = _filled(lines).withColumn("_is_object", text.startswith("{"))
+    objects = filled_lines(lines).withColumn("_is_object", text.startswith("{"))
     parsed = with_parsed(objects, "_row", F.from_json(F.when(F.col("_is_object"), text), schema, options))
     columns, misfits = [], []
     for name, _, storage in fields:
@@ -141,10 +141,14 @@ def parse_lines(
     multiline_start: str | CompiledPattern | None = None,
     multiline_max_lines: int = 100,
     max_fields: int = MAX_FIELDS,
+    keep_unparsed: bool = False,
+    sample: int | None = None,
 ) -> DataFrame:
     """Records of a lines table: provenance columns, then one column per field.
 
-    ``fields`` saves the pass that finds the keys of key/value and JSON records.
+    ``fields`` saves the pass that finds the keys of key/value and JSON records; ``sample``
+    limits that pass to the first records found.  Merged lines without any pair are kept
+    whole, as are others with ``keep_unparsed``.
     """
     if fmt not in LINE_FORMATS and fmt != "tsv":
         raise ValueError(f"not a line format: {fmt}")
@@ -156,7 +160,7 @@ def parse_lines(
     if fmt == "raw":
         return lines.select(*_provenance(lines), F.col("value").alias(RAW_FIELD))
     if fmt == "syslog":
-        parsed = with_parsed(_filled(lines), "_r", syslog_record(F.col("value")))
+        parsed = with_parsed(filled_lines(lines), "_r", syslog_record(F.col("value")))
         return parsed.select(*_provenance(lines), *[F.col("_r")[name].alias(name) for name in SYSLOG_5424_FIELDS])
     if fmt == "custom":
         kept = lines if merged else lines.filter("value != ''")
@@ -170,10 +174,12 @@ def parse_lines(
         if fields is None:
             fields = collect_fields(field_profile(map_entries(records)), max_fields)
         return flatten_map(records, [name for name, _, _ in fields])
+    whole = merged or keep_unparsed
     if fields is None:
-        records = key_value_records(lines, fmt, keep_unparsed=merged)
+        records = key_value_records(lines, fmt, keep_unparsed=whole)
+        records = records.limit(sample) if sample else records
         fields = collect_fields(field_profile(map_entries(records)), max_fields)
-    return key_value_columns(lines, fmt, [name for name, _, _ in fields], keep_unparsed=merged)
+    return key_value_columns(lines, fmt, [name for name, _, _ in fields], keep_unparsed=whole)
 
 
 def read_logs(
@@ -196,17 +202,17 @@ def read_logs(
     if unique_names:
         _reject_repeated_names(paths)
     if fmt == "csv":
-        return _tidy(read_delimited(spark, paths, delimiter, check_tabular))
+        return tidy(read_delimited(spark, paths, delimiter, check_tabular))
     if fmt == "tsv":
         table = read_tsv(spark, paths, check_tabular)
         if table is not None:
-            return _tidy(table)
+            return tidy(table)
     if fmt == "json_array":
         lines, line_format = read_array_elements(spark, paths), "ndjson"
     else:
         lines, line_format = read_lines(spark, paths), fmt
     records = parse_lines(lines, line_format, pattern, fields, multiline_start, multiline_max_lines, max_fields)
-    return _tidy(records)
+    return tidy(records)
 
 
 def _reject_repeated_names(paths: Sequence[str]) -> None:
@@ -216,7 +222,7 @@ def _reject_repeated_names(paths: Sequence[str]) -> None:
         raise ValueError(f"repeated file names: {', '.join(repeated)}")
 
 
-def _tidy(records: DataFrame) -> DataFrame:
+def tidy(records: DataFrame) -> DataFrame:
     hidden = set(PROVENANCE)
     internal = (ERROR, "_record")
     data = [name for name in records.columns if name not in hidden and name not in internal]

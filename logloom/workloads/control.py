@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom.operators.replay import recent_counts
 from logloom.plans import ingest as I
 from logloom.plans import reports as R
-from logloom.plans.control import audit_events
+from logloom.plans.control import audit_events, latest_states
 from logloom.plans.retention import expired_rows, live_rows, retention_plan
 from logloom.sources.records import json_columns
 from logloom.streaming.progress import with_rates
@@ -365,3 +365,18 @@ def expired_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return summary(live_rows(sessions, "expires_at", now), "live").unionByName(
         summary(expired_rows(sessions, "expires_at", now), "expired")
     )
+
+
+@workload(
+    "latest_states",
+    """
+    SELECT user_id, event_id, event_type AS status, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
+    """,
+)
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Current state of every entity of an append-only state log."""
+    log = table(spark, folder, "events").select(
+        "user_id", "event_id", F.col("event_type").alias("status"), "value", "ts"
+    )
+    return latest_states(log, "user_id", "ts", "event_id").drop("ts")

@@ -8,11 +8,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.regexes import compile_pattern
 from logloom.operators.replay import replay_admission, replay_lockout
 from logloom.plans import ingest as I
 from logloom.plans import reports as R
 from logloom.plans import retention as K
 from logloom.plans.control import AUDIT_EVENTS, COMPLETED, FAILED, PENDING, WITH_ERRORS, Warehouse, utc_now
+from logloom.plans.preview import describe, preview_files
 from logloom.streaming.guards import stream_admission, stream_lockout
 from logloom.streaming.ingest import start_ingest
 from logloom.streaming.progress import progress_table, run_progress, with_rates
@@ -137,6 +139,40 @@ def test_file_results_and_totals(spark):
     assert totals == {"j": 3, "k": 1}
 
 
+# ---------------------------------------------------------------- preview
+
+
+def test_preview_of_one_file(spark, put):
+    path = put("large.json", json.dumps([{"id": i, "seen": "2024-01-01"} for i in range(200)]))
+    seen = preview_files(spark, path)
+    assert (seen.fmt, seen.fields) == ("json_array", [("id", "integer"), ("seen", "string")])
+    assert seen.records.count() == 100 and seen.timestamp_fields() == ["seen"]
+    assert preview_files(spark, path, limit=50).records.count() == 50
+
+
+def test_preview_of_several_files(spark, put):
+    paths = [put(f"f{i}.log", "\n".join(f"a={i} b={j} c{i}=x" for j in range(9))) for i in range(3)]
+    seen = preview_files(spark, paths)
+    assert seen.fmt == "logfmt" and seen.records.count() == 15
+    assert sorted(name for name, _ in seen.fields) == ["a", "b", "c0", "c1", "c2"]
+    assert [row["value"] for row in seen.raw_lines.collect()][0] == "a=0 b=0 c0=x"
+    assert preview_files(spark, paths, limit=10).records.count() == 10
+    with pytest.raises(ValueError, match="do not share"):
+        preview_files(spark, [*paths, put("x.json", "[1]")])
+
+
+def test_preview_again_under_another_reading(spark, put):
+    path = put("app.log", "2024 one\n  a\n  b\n2025 two k=v\n")
+    assert preview_files(spark, path).fmt == "csv"
+    again = preview_files(spark, path, fmt="raw", multiline_start=r"\d{4}", multiline_max_lines=5)
+    assert sorted(row["raw_message"] for row in again.records.collect()) == ["2024 one\n  a\n  b", "2025 two k=v"]
+    pairs = preview_files(spark, path, fmt="logfmt", multiline_start=r"\d{4}")
+    assert dict(pairs.fields) == {"raw_message": "string", "k": "string"}
+    grok = preview_files(spark, path, pattern=compile_pattern("%{YEAR:year} %{WORD:word}"))
+    assert grok.fields == [("year", "integer"), ("word", "string"), ("raw_message", "string")]
+    assert describe(grok)["records"] == 4
+
+
 # ---------------------------------------------------------------- control tables and retention
 
 
