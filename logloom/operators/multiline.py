@@ -94,6 +94,7 @@ def merge_by_nesting(
     start_depth: int,
     separator: str,
     rewrite: Callable[[Column, Column, Column], Column] = lambda value, depth, change: value,
+    max_lines: int | None = None,
 ) -> DataFrame:
     """Merge lines whose starts depend on all text before them.
 
@@ -101,7 +102,8 @@ def merge_by_nesting(
     at ``start_depth``.  ``if_outside`` and ``if_inside`` give the line's own change of depth
     should it begin outside or inside a quotation.  Blocks are first summed for both cases;
     which case holds follows from the totals of the earlier blocks.  ``rewrite`` may change a
-    line's text knowing its depth and change.
+    line's text knowing its depth and change.  Records longer than ``max_lines + 1`` lines
+    are cut, as in :func:`merge_lines`.
     """
     measured = with_blocks(
         lines.withColumn("quotes", quotes).withColumn("if_out", if_outside).withColumn("if_in", if_inside)
@@ -163,7 +165,7 @@ def merge_by_nesting(
         .withColumn("is_start", (F.col("depth") == start_depth) & (F.col("parity") == F.col("block_parity")))
         .withColumn("value", rewrite(F.col("value"), F.col("depth"), F.col("change")))
     )
-    return _assemble(_opened(placed), None, separator)
+    return _assemble(_opened(placed), max_lines, separator)
 
 
 def merge_lines(

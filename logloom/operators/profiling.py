@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from logloom.functions.binding import bind
 from logloom.functions.line_formats import LOGFMT_PAIR, WIDE_GAP
 from logloom.functions.literals import strip, text_type
-from logloom.session import broadcast_if_small, quoted
-from logloom.sources.lines import leading_lines
+from logloom.session import quoted
+from logloom.sources.lines import head_pool, leading_lines
 
 # Fixed values of the format test.
 LOGFMT_TEST_LINES = 20
@@ -42,15 +42,6 @@ def _first_line_format(line: Column) -> Column:
     )
 
 
-def _head_pool(filled: DataFrame, count: int) -> DataFrame:
-    """Lines that can be among the first ``count``: the first split of each file, and the
-    later splits only of files whose first split holds too few."""
-    first = filled.filter("split_start = 0")
-    short = first.groupBy("source_path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= count)
-    later = filled.filter("split_start > 0").join(broadcast_if_small(short.drop("n")), "source_path", "left_anti")
-    return first.unionByName(later)
-
-
 def detect_formats(lines: DataFrame) -> DataFrame:
     """(source_path, source_file, format) of every file, from its name and leading lines.
 
@@ -62,7 +53,7 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     filled = lines.select(
         "source_path", "source_file", "split_start", "line_id", strip(F.col("value")).alias("value")
     ).filter("value != ''")
-    ranked = leading_lines(_head_pool(filled, LOGFMT_TEST_LINES + 1), LOGFMT_TEST_LINES + 1)
+    ranked = leading_lines(head_pool(filled, LOGFMT_TEST_LINES + 1), LOGFMT_TEST_LINES + 1)
     pairs = F.regexp_count("value", F.lit(r"(?U)\b" + LOGFMT_PAIR))
     tested = ranked.groupBy("source_path", "source_file").agg(
         F.count(F.lit(1)).alias("tested"),
@@ -116,7 +107,7 @@ def preview(records: DataFrame, limit: int = 100) -> DataFrame:
 
 def preview_per_file(records: DataFrame, per_file: int = 5, total: int = 100) -> DataFrame:
     """First records of each file (needs the provenance columns), cut at ``total``."""
-    ranked = leading_lines(records, per_file)
+    ranked = leading_lines(head_pool(records, per_file), per_file)
     return ranked.orderBy("source_path", "line_no").limit(total).drop("line_no")
 
 

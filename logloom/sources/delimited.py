@@ -23,6 +23,8 @@ SAMPLE_CHARS = 8192
 # Files up to this size are read whole by one task when cells may hold line breaks.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 MAX_HEADER_GROUPS = 64
+# Fixed value: longest cell a CSV reader accepts, hence also the most line breaks in one.
+MAX_CELL_CHARS = 131072
 BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -103,10 +105,14 @@ def _plain_read(
 
 
 def quote_balanced_records(lines: DataFrame) -> DataFrame:
-    """Join lines that a quoted cell runs across; a record starts at even quote parity."""
+    """Join lines that a quoted cell runs across; a record starts at even quote parity.
+
+    No cell may be longer than ``MAX_CELL_CHARS``, so a quote that is never closed cannot pull
+    the rest of a file into one record.
+    """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     flat = F.lit(0)
-    return merge_by_nesting(lines, quotes, flat, flat, start_depth=0, separator="\n")
+    return merge_by_nesting(lines, quotes, flat, flat, start_depth=0, separator="\n", max_lines=MAX_CELL_CHARS)
 
 
 def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.session import spread
+from logloom.session import broadcast_if_small, spread
 
 PROVENANCE = ("source_path", "source_file", "split_start", "line_id")
 
@@ -76,6 +76,15 @@ def leading_lines(lines: DataFrame, count: int) -> DataFrame:
     return lines.withColumn("line_no", F.row_number().over(order)).filter(F.col("line_no") <= count)
 
 
+def head_pool(rows: DataFrame, count: int) -> DataFrame:
+    """Rows that can be among the first ``count`` of their file: those of its first split, and
+    those of later splits only where the first one holds too few."""
+    first = rows.filter("split_start = 0")
+    enough = first.groupBy("source_path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= count)
+    later = rows.filter("split_start > 0").join(broadcast_if_small(enough.drop("n")), "source_path", "left_anti")
+    return first.unionByName(later)
+
+
 def raw_sample(spark: SparkSession, paths: str | Sequence[str], limit: int = 10) -> DataFrame:
     """First lines of the first file."""
     return spark.read.text(as_paths(paths)[0]).limit(limit)
