@@ -70,7 +70,7 @@ def _header_names(header_line: str, delimiter: str) -> list[str]:
     return next(csv.reader([header_line], delimiter=delimiter), [])
 
 
-def _select_named(table: DataFrame, names: Sequence[str], cell: "dict[int, Column]") -> list[Column]:
+def _select_named(names: Sequence[str], cell: dict[int, Column]) -> list[Column]:
     """Last column of each name, in first-appearance order; unnamed columns are dropped."""
     last_at = {name: at for at, name in enumerate(names)}
     return [F.nullif(cell[at], F.lit("")).alias(name) for name, at in last_at.items() if name != ""]
@@ -88,10 +88,6 @@ def _positional(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f"c{at}", T.StringType()) for at in range(len(names))])
 
 
-def _with_source(table: DataFrame) -> tuple[Column, Column]:
-    return F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file")
-
-
 def _plain_read(
     spark: SparkSession, paths: Sequence[str], names: Sequence[str], delimiter: str, whole_files: bool
 ) -> DataFrame:
@@ -101,7 +97,11 @@ def _plain_read(
         .csv(list(paths))
     )
     cells = {at: F.col(f"c{at}") for at in range(len(names))}
-    return table.select(*_select_named(table, names, cells), *_with_source(table))
+    return table.select(
+        *_select_named(names, cells),
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_name").alias("source_file"),
+    )
 
 
 def quote_balanced_records(lines: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> D
     body = records.filter((F.col("line_id") > 0) & (strip(F.col("value")) != ""))
     parsed = body.withColumn("_row", F.from_csv("value", _positional(names).simpleString(), options))
     cells = {at: F.col("_row")[f"c{at}"] for at in range(len(names))}
-    return parsed.select(*_select_named(parsed, names, cells), "source_path", "source_file")
+    return parsed.select(*_select_named(names, cells), "source_path", "source_file")
 
 
 def _has_open_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
