@@ -53,11 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def written_table(df: DataFrame, partition_by: str) -> DataFrame:
     """Materialise in the shared checkpoint folder, laid out so that readers prune partitions."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.partitionBy(partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.operators.allowlist import check_allowlists
 from logloom.operators.replay import replay_admission, replay_lockout, trailing_counts
+from logloom.session import scratch_folder
+from logloom.streaming.guards import stream_admission, stream_lockout
 from logloom.workloads import spread_table, table, workload
 
 
@@ -60,9 +62,7 @@ def trailing_failures(spark: SparkSession, folder: str) -> DataFrame:
     return trailing_counts(failures, "user_id", "ts", 3 * 86400).select("event_id", "recent")
 
 
-@workload(
-    "admission_replay",
-    """
+_ADMISSION_SQL = """
     WITH RECURSIVE e AS (
       SELECT event_id, user_id, epoch_us(ts) AS t_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     r AS (
@@ -73,8 +73,10 @@ def trailing_failures(spark: SparkSession, folder: str) -> DataFrame:
       FROM (SELECT e.user_id, e.rn, e.event_id, e.t_us, list_filter(r.taken, lambda t: t > e.t_us - 172800000000) AS live
             FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
     SELECT event_id, allowed, CAST(retry_after AS INTEGER) AS retry_after, CAST(3 - len(taken) AS INTEGER) AS remaining FROM r
-    """,
-)
+    """
+
+
+@workload("admission_replay", _ADMISSION_SQL)
 def admission_replay(spark: SparkSession, folder: str) -> DataFrame:
     """At most three admitted events per user in any two days."""
     events = table(spark, folder, "events")
@@ -82,9 +84,7 @@ def admission_replay(spark: SparkSession, folder: str) -> DataFrame:
     return replayed.select("event_id", "allowed", "retry_after", "remaining")
 
 
-@workload(
-    "lockout_replay",
-    """
+_LOCKOUT_SQL = """
     WITH RECURSIVE e AS (
       SELECT event_id, user_id, epoch_us(ts) AS t_us, event_type = 'error' AS failed,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
@@ -97,8 +97,10 @@ def admission_replay(spark: SparkSession, folder: str) -> DataFrame:
       FROM (SELECT e.user_id, e.rn, e.event_id, e.t_us, e.failed, list_filter(r.taken, lambda t: t > e.t_us - 432000000000) AS live
             FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
     SELECT event_id, locked, CAST(len(taken) AS INTEGER) AS failures, NOT locked AND len(taken) = 2 AS locks FROM r
-    """,
-)
+    """
+
+
+@workload("lockout_replay", _LOCKOUT_SQL)
 def lockout_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Two errors within five days lock a user out; a signup clears the count."""
     logins = table(spark, folder, "events").filter(F.col("event_type").isin("error", "signup"))
@@ -106,3 +108,51 @@ def lockout_replay(spark: SparkSession, folder: str) -> DataFrame:
         logins, "user_id", "ts", "event_id", F.col("event_type") == "error", attempts=2, window_minutes=5 * 1440
     )
     return replayed.select("event_id", "locked", "failures", "locks")
+
+
+def _released(sql: str, watched: str = "TRUE") -> str:
+    """Rows a finished stream has decided: the watermark has millisecond precision, so events
+    after its last full millisecond are still held."""
+    return f"""
+    SELECT a.* FROM ({sql}) a JOIN events USING (event_id)
+    WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events WHERE {watched})
+    """
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def _run_to_end(decided: DataFrame) -> DataFrame:
+    spark = decided.sparkSession
+    place = scratch_folder(spark)
+    query = (
+        decided.writeStream.format("parquet")
+        .option("checkpointLocation", f"{place}/state")
+        .option("path", f"{place}/rows")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{place}/rows")
+
+
+@workload("admission_stream", _released(_ADMISSION_SQL))
+def admission_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rule on a stream of the events file; decisions come once the watermark has passed."""
+    events = _event_stream(spark, folder)
+    decided = stream_admission(
+        events, "user_id", "ts", "event_id", limit=3, window_seconds=2 * 86400, lateness="0 seconds"
+    )
+    return _run_to_end(decided).select("event_id", "allowed", "retry_after", "remaining")
+
+
+@workload("lockout_stream", _released(_LOCKOUT_SQL, "event_type IN ('error', 'signup')"))
+def lockout_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The lockout rule on a stream of login events."""
+    logins = _event_stream(spark, folder).filter(F.col("event_type").isin("error", "signup"))
+    decided = stream_lockout(
+        logins, "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 5 * 1440, lateness="0 seconds"
+    )
+    return _run_to_end(decided).select("event_id", "locked", "failures", "locks")
