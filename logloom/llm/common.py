@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, from task to task.
+
+    Functions are shipped by value, so a module's or class's own variables start anew in each task.
+    """
+    module = sys.modules.setdefault("logloom_worker_cache", types.ModuleType("logloom_worker_cache"))
+    return module.__dict__.setdefault(name, {})
+
+
 def map_slices(
     df: DataFrame, handle: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str
 ) -> DataFrame:

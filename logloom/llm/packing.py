@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import map_slices, stored
+from logloom.llm.common import map_slices, stored, worker_cache
 
 CACHE_CHUNKS = 1_000_000
 RUN_CHUNKS = 200_000
@@ -29,8 +29,6 @@ class ChunkTokenizer:
     starts anew when it is full, which bounds memory and changes no ids.
     """
 
-    held: dict[str, ChunkTokenizer] = {}
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -41,9 +39,10 @@ class ChunkTokenizer:
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
         """The tokenizer of this Python worker; workers live on from task to task."""
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
+        held = worker_cache("tokenizers")
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         texts = [piece.decode("utf-8") for piece in pieces]

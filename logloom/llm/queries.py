@@ -5,15 +5,21 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import stored
 from logloom.llm.line_dedup import dedup_lines
 from logloom.llm.mixing import mix, word_count
+from logloom.llm.neighbours import nearest
 from logloom.llm.packing import pack_documents
+from logloom.llm.quality import judge_quality
 from logloom.llm.sharding import LAW, shard_documents
 from logloom.llm.simhash import simhash_groups
+from logloom.llm.tool_calls import SCHEMA_COLUMNS, link_tool_calls
+from logloom.llm.toxicity import held_out, score_toxicity, train_toxicity
+
+TOXIC_FROM = 0.7
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +38,55 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"), width=4, radius=4)
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+TOOLS = [
+    ("lookup", "query", "string", True),
+    ("lookup", "limit", "integer", True),
+    ("search", "query", "string", True),
+    ("search", "page", "integer", True),
+    ("search", "limit", "number", False),
+    ("translate", "query", "string", True),
+    ("translate", "limit", "string", False),
+]
+
+
+def conversation_calls(conversations: DataFrame) -> DataFrame:
+    """The table `conversations` as messages with tool calls.
+
+    Every assistant turn calls a tool with its text as an argument and needs the call at half its
+    turn; every user turn answers the call of the turn before it.
+    """
+
+    def name_at(turn: Column) -> Column:
+        return F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    half = F.when(F.col("turn") >= 1, name_at(F.floor(F.col("turn") / 2)))
+    call = F.struct(
+        F.when(known, name_at(F.col("turn"))).alias("id"),
+        F.element_at(F.array(*[F.lit(name) for name in ("search", "lookup", "translate", "weigh")]), F.coalesce(F.col("turn") % 4, F.lit(0)).cast("int") + 1).alias("name"),
+        F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"))).alias("arguments"),
+        F.array(F.when(known, half)).alias("after"),
+    )
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
+        "text",
+        F.when(F.col("role") == "assistant", F.array(call)).alias("tool_calls"),
+        F.when((F.col("role") == "user") & known & (F.col("turn") >= 1), name_at(F.col("turn") - 1)).alias("tool_call_id"),
+    )
+
+
+def op3_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    schemas = spark.createDataFrame(TOOLS, SCHEMA_COLUMNS)
+    linked = link_tool_calls(conversation_calls(_table(spark, folder, "conversations")), schemas)
+    return linked.withColumn("errors", F.concat_ws(",", "errors"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), tokenizer_path())
 
@@ -49,6 +104,21 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    model = train_toxicity(documents, _table(spark, folder, "labels"), max_rows=6000)
+    return score_toxicity(documents, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -59,15 +129,79 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Build] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_tool_calls": op3_tool_calls,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 SQL: dict[str, str] = {
+    "op3_tool_calls": """
+WITH RECURSIVE base AS (
+    SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || '-' || turn END AS own FROM conversations
+),
+said AS (
+    SELECT conv_id, own AS id, count(*) AS n_calls, min({'turn': turn, 'text': text}) AS first
+    FROM base WHERE role = 'assistant' GROUP BY conv_id, own
+),
+calls AS (
+    SELECT conv_id, id, n_calls, first.turn AS turn, first.text AS text,
+           ['search', 'lookup', 'translate', 'weigh'][coalesce(first.turn % 4, 0) + 1] AS name,
+           CASE WHEN id IS NOT NULL AND first.turn >= 1 THEN conv_id || '-' || (first.turn // 2) END AS need
+    FROM said
+),
+answers AS (
+    SELECT conv_id, conv_id || '-' || (turn - 1) AS id, count(*) AS n_results, min({'turn': turn, 'text': text}) AS result
+    FROM base WHERE role = 'user' AND own IS NOT NULL AND turn >= 1 GROUP BY ALL
+),
+ranked AS (
+    SELECT conv_id, id, 0 AS level FROM calls c
+    WHERE need IS NULL OR NOT EXISTS (SELECT 1 FROM calls d WHERE d.id = c.need)
+    UNION ALL
+    SELECT c.conv_id, c.id, r.level + 1 FROM calls c JOIN ranked r ON c.need = r.id
+),
+linked AS (
+    SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.id, a.id) AS id, c.name, c.turn, c.text, r.level,
+           a.result.turn AS result_turn, a.result.text AS result_text, c.n_calls IS NULL AS no_call,
+           coalesce(c.n_calls, 0) AS n_calls, coalesce(a.n_results, 0) AS n_results, a.id IS NULL AS no_result,
+           CASE WHEN c.need IS NOT NULL AND d.id IS NULL THEN 'need:' || c.need END AS unmet
+    FROM calls c
+    LEFT JOIN calls d ON d.id = c.need
+    LEFT JOIN ranked r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.id IS NOT DISTINCT FROM c.id
+    FULL JOIN answers a ON a.conv_id = c.conv_id AND a.id = c.id
+),
+judged AS (
+    SELECT *, CASE WHEN no_call THEN 'orphan' WHEN level IS NULL THEN 'cycle' WHEN no_result THEN 'unanswered'
+                   WHEN coalesce(result_turn <= turn, false) THEN 'early' ELSE 'linked' END AS status,
+           list_sort([x FOR x IN [
+               unmet,
+               CASE WHEN name = 'weigh' THEN 'unknown_tool' END,
+               CASE WHEN name <> 'weigh' AND text IS NULL THEN 'missing:query' END,
+               CASE WHEN name = 'lookup' AND text IS NULL THEN 'missing:limit' END,
+               CASE WHEN name = 'search' THEN 'missing:page' END,
+               CASE WHEN name = 'translate' AND text IS NOT NULL THEN 'type:limit' END
+           ] IF x IS NOT NULL]) AS wrong
+    FROM linked
+)
+SELECT conv_id,
+       row_number() OVER (
+           PARTITION BY conv_id ORDER BY level IS NULL, coalesce(level, 0), coalesce(turn, result_turn) NULLS FIRST,
+           id NULLS FIRST) - 1 AS position,
+       id AS call_id, name, level, turn AS call_turn, result_turn, n_calls, n_results, status,
+       array_to_string(wrong, ',') AS errors,
+       '{"arguments":' || CASE WHEN no_call THEN 'null' WHEN text IS NULL THEN '{}'
+           ELSE '{"limit":' || length(text) || ',"query":' || to_json(text) || '}' END
+       || ',"call_id":' || coalesce(to_json(id), 'null') || ',"errors":' || to_json(wrong)
+       || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(result_text), 'null')
+       || ',"status":"' || status || '"}' AS json
+FROM judged
+""",
     "op7_mixing": f"""
 WITH sized AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM documents),
 keyed AS (
@@ -109,6 +243,24 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
         + least(d.size, greatest(0, b.budget - b.epochs * b.source_size - a.before) // a.n))::BIGINT AS taken
 FROM keyed d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
 JOIN alike a ON a.source IS NOT DISTINCT FROM d.source AND a.k = d.k AND a.size = d.size
+""",
+    "op9_nearest": """
+WITH good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+    FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id)::INTEGER AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op10_line_dedup": r"""
 WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
