@@ -13,37 +13,55 @@ from pyspark.sql import functions as F
 from logloom.llm.common import SLICE_ROWS, map_slices, stored
 
 GRAMS = (3, 4, 5)
-BUCKET_BITS = 18
+TIMES = (2, 3, 5)
+BUCKET_BITS = 20
+TOXIC_SHARE = 0.25
 BLOCK_CHARS = 1 << 20
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
+def bucket_of(value: np.ndarray) -> np.ndarray:
+    """The leading bits of mixed 64-bit values."""
+    value = (value ^ (value >> np.uint64(29))) * _FACTORS[1]
+    value = (value ^ (value >> np.uint64(32))) * _FACTORS[2]
+    return (value >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+
+
 def gram_buckets(text: str | None) -> np.ndarray:
-    """Sorted hash buckets of all character n-grams that the text holds.
+    """Sorted hash buckets of the character n-grams that a text holds at all, and `TIMES` times or more.
 
-    A-Z and other capitals are lower-cased, white space is one space, and the text stands between
-    spaces. The whole text is read, in blocks that overlap by the longest n-gram.
+    Capitals are lower-cased, white space is one space, and the text stands between spaces. The
+    whole text is read, in blocks that overlap by the longest n-gram.
     """
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint32)
     codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    found = []
+    grams, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
     for start in range(0, len(codes), BLOCK_CHARS):
-        block = codes[start : start + BLOCK_CHARS + max(GRAMS) - 1]
+        found = [grams]
         for n in GRAMS:
+            # starts in this block only; the last ones reach into the next block
+            block = codes[start : start + BLOCK_CHARS + n - 1]
             if len(block) < n:
                 continue
             value = np.full(len(block) - n + 1, n, dtype=np.uint64)
             for at in range(n):
                 value *= _FACTORS[0]
                 value += block[at : len(block) - n + 1 + at]
-            value ^= value >> np.uint64(29)
-            value *= _FACTORS[1]
-            value ^= value >> np.uint64(32)
-            value *= _FACTORS[2]
-            found.append((value >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
-    return np.unique(np.concatenate(found))
+            found.append(bucket_of(value))
+        once = np.concatenate(found)
+        weights = np.concatenate([counts, np.ones(len(once) - len(grams), dtype=np.int64)]) if start else None
+        if weights is None:
+            grams, counts = np.unique(once, return_counts=True)
+        else:
+            grams, place = np.unique(once, return_inverse=True)
+            counts = np.bincount(place, weights=weights).astype(np.int64)
+    levels = [grams]
+    for times in TIMES:
+        often = grams[counts >= times].astype(np.uint64)
+        levels.append(bucket_of((often + np.uint64(times << 32)) * _FACTORS[0]))
+    return np.unique(np.concatenate(levels))
 
 
 @dataclass(frozen=True)
@@ -59,50 +77,53 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -500.0, 500.0))))
 
 
-def log_count_ratios(buckets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, min_docs: int) -> np.ndarray:
-    """log of a bucket's share in label 1 over its share in label 0, add-one; 0 in rare buckets."""
-    size = 1 << BUCKET_BITS
-    shares = []
-    for label in (1, 0):
-        rows = [(own, weight) for own, weight, is_one in zip(buckets, weights, labels, strict=True) if is_one == label]
-        counts = np.ones(size)
-        for own, weight in rows:
-            counts[own] += weight
-        shares.append(counts / (sum(weight for _, weight in rows) + 2.0))
-    seen = np.zeros(size)
-    for own in buckets:
-        seen[own] += 1
-    return np.where(seen >= min_docs, np.log(shares[0] / shares[1]), 0.0)
+def log_count_ratios(buckets: list[np.ndarray], labels: np.ndarray, min_docs: int, errors: float) -> np.ndarray:
+    """Log of a bucket's share in label 1 over its share in label 0, drawn to 0 by `errors` standard errors.
+
+    Shares are smoothed by one; what chance alone explains, and buckets of few documents, get 0.
+    """
+    counts = np.zeros((2, 1 << BUCKET_BITS))
+    for own, label in zip(buckets, labels, strict=True):
+        counts[int(label)][own] += 1
+    documents = np.bincount(labels.astype(np.int64), minlength=2)
+    ratios = np.log((counts[1] + 1) / (documents[1] + 2)) - np.log((counts[0] + 1) / (documents[0] + 2))
+    spread = np.sqrt(1 / (counts[0] + 1) + 1 / (counts[1] + 1))
+    sure = np.sign(ratios) * np.maximum(0.0, np.abs(ratios) - errors * spread)
+    return np.where(counts.sum(axis=0) >= min_docs, sure, 0.0)
 
 
 def fit(
     buckets: list[np.ndarray],
     labels: np.ndarray,
-    weights: np.ndarray,
+    prior: float | None = None,
     epochs: int = 12,
-    rate: float = 0.1,
-    decay: float = 1e-4,
+    rate: float = 4.0,
     min_docs: int = 3,
+    errors: float = 1.5,
 ) -> ToxicityModel:
-    """Logistic regression on the scaled features by adaptive gradient steps in a fixed order."""
-    total, positive = float(weights.sum()), float(weights[labels == 1].sum())
-    bias = float(np.log((positive + 1.0) / (total - positive + 1.0)))
-    ratios = log_count_ratios(buckets, labels, weights, min_docs)
-    # a bucket counts for something only where it occurs often enough
-    buckets = [own[ratios[own] != 0.0] for own in buckets]
-    learned, spent, spent_bias = np.zeros(len(ratios)), np.full(len(ratios), 1e-2), 1e-2
+    """Logistic regression on features scaled by their log-count ratios.
+
+    Steps are divided by the squared length of the document's scaled features, so that long
+    documents don't outweigh short ones, and taken in a fixed random order. `prior` is the share of
+    label 1 among all labels; where the sample has another, the bias is moved to it at the end.
+    """
+    ratios = log_count_ratios(buckets, labels, min_docs, errors)
+    known = [own[ratios[own] != 0.0] for own in buckets]
+    lengths = [1.0 + float(ratios[own] @ ratios[own]) for own in known]
+    positive = float(labels.sum())
+    bias = float(np.log((positive + 1.0) / (len(labels) - positive + 1.0)))
+    learned = np.zeros(len(ratios))
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for at in order.permutation(len(buckets)):
-            own = buckets[at]
-            scale = ratios[own]
-            value = float(learned[own] @ scale) + bias
-            error = weights[at] * (1.0 / (1.0 + np.exp(-np.clip(value, -500.0, 500.0))) - labels[at])
-            step = error * scale + decay * learned[own]
-            spent[own] += step * step
-            learned[own] -= rate * step / np.sqrt(spent[own])
-            spent_bias += error * error
-            bias -= rate * error / np.sqrt(spent_bias)
+        for at in order.permutation(len(known)):
+            own = known[at]
+            value = float(learned[own] @ ratios[own]) + bias
+            error = 1.0 / (1.0 + np.exp(-np.clip(value, -500.0, 500.0))) - labels[at]
+            step = rate * error / lengths[at]
+            learned[own] -= step * ratios[own]
+            bias -= step
+    if prior is not None and 0 < positive < len(labels) and 0 < prior < 1:
+        bias += float(np.log(prior / (1 - prior)) - np.log(positive / (len(labels) - positive)))
     return ToxicityModel((learned * ratios).astype(np.float32), bias)
 
 
@@ -111,32 +132,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, toxic, weight, text): at most `max_rows` labelled documents, half of each class at most.
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFrame, float | None]:
+    """(doc_id, toxic, text) of at most `max_rows` labelled documents, and the share of label 1.
 
-    Rows are taken in hash order of their id; `weight` restores the classes' shares among all
-    labels. Ids without a label, null labels and held-out rows take no part; an id with both labels
-    counts as toxic; of different texts with one id the smallest is taken.
+    `TOXIC_SHARE` of the rows at most are toxic; each class is taken in hash order of its ids. Ids
+    without a label, null labels and held-out rows take no part; an id with both labels counts as
+    toxic; of different texts with one id the smallest is taken.
     """
     known = stored(
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    sizes = {row["toxic"]: row["count"] for row in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    half, chosen = max_rows // 2, None
-    for label in (0, 1):
-        weight = max(1.0, sizes.get(label, 0) / half)
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
-        part = part.withColumn("weight", F.lit(weight))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    ids = F.broadcast(stored(chosen))  # bounded by max_rows
-    return (
+    prior = known.agg(F.avg("toxic")).first()[0]
+    toxic_rows = int(max_rows * TOXIC_SHARE)
+    parts = [
+        known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        for label, rows in ((0, max_rows - toxic_rows), (1, toxic_rows))
+    ]
+    ids = F.broadcast(stored(parts[0].unionByName(parts[1])))  # bounded by max_rows
+    texts = (
         documents.select("doc_id", "text")
         .join(ids, "doc_id")
-        .groupBy("doc_id", "toxic", "weight")
+        .groupBy("doc_id", "toxic")
         .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )
+    return texts, prior
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, **options: float) -> ToxicityModel:
@@ -145,7 +166,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000
     `max_rows` bounds the sample and with it the task's memory (some 20 kB a document). Without
     any labels every score is one half.
     """
-    sample = labelled_sample(documents, labels, max_rows)
+    sample, prior = labelled_sample(documents, labels, max_rows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -153,29 +174,21 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS).to_pydict()
                 rows += [
-                    (doc_id, toxic, weight, gram_buckets(text))
-                    for doc_id, toxic, weight, text in zip(
-                        part["doc_id"], part["toxic"], part["weight"], part["text"], strict=True
-                    )
+                    (doc_id, toxic, gram_buckets(text))
+                    for doc_id, toxic, text in zip(part["doc_id"], part["toxic"], part["text"], strict=True)
                 ]
         rows.sort(key=lambda row: row[0])
-        mean = sum(row[2] for row in rows) / max(1, len(rows))
-        model = fit(
-            [row[3] for row in rows],
-            np.array([row[1] for row in rows], dtype=np.float64),
-            np.array([row[2] / max(mean, 1e-9) for row in rows], dtype=np.float64),
-            **options,
-        )
+        model = fit([row[2] for row in rows], np.array([row[1] for row in rows], dtype=np.float64), prior, **options)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    rows = sample.repartition(1).mapInArrow(train, "weights binary, bias double").collect()
+    rows = sample.repartition(1).mapInArrow(train, "weights binary, bias double").collect() if prior is not None else []
     if not rows:
         return ToxicityModel(np.zeros(1 << BUCKET_BITS, dtype=np.float32), 0.0)
     return ToxicityModel(np.frombuffer(bytes(rows[0]["weights"]), dtype=np.float32), rows[0]["bias"])
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score) of every row from its whole text; the model is a fixed megabyte."""
+    """(doc_id, score) of every row from its whole text; the model has a fixed size of 4 MB."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def handle(batch: pa.RecordBatch) -> dict[str, object]:
