@@ -16,6 +16,7 @@ from logloom.llm.packing import pack_documents
 from logloom.llm.quality import judge_quality
 from logloom.llm.sharding import LAW, shard_documents
 from logloom.llm.simhash import simhash_groups
+from logloom.llm.suffix_dedup import remove_repeats
 from logloom.llm.tool_calls import SCHEMA_COLUMNS, link_tool_calls
 from logloom.llm.toxicity import held_out, score_toxicity, train_toxicity
 
@@ -98,6 +99,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents"), length=400).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     sized = stored(documents.select("doc_id", "source", word_count("text").alias("size")))
@@ -133,6 +138,7 @@ QUERIES: dict[str, Build] = {
     "op3_tool_calls": op3_tool_calls,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
