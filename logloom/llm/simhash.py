@@ -33,29 +33,48 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return [joined[start:end] for start, end in zip(starts.tolist(), ends, strict=False)]
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The 64 bits that are set in over half of the shingles' hashes; 0 without words."""
-    pieces = shingles(text, width)
+def majority_bits(pieces: list[bytes], seed: int = SEED) -> int:
+    """The 64 bits that are set in over half of the pieces' hashes; 0 without pieces."""
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(pieces), BLOCK):
         block = pieces[start : start + BLOCK]
-        hashes = np.fromiter((digest(piece, SEED) for piece in block), np.uint64, len(block))
+        hashes = np.fromiter((digest(piece, seed) for piece in block), np.uint64, len(block))
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(pieces), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    return majority_bits(shingles(text, width))
+
+
 def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, row_hash, fp) for every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, fp) for every row; fp holds the 64 bits as a signed long."""
+
+    def handle(batch: pa.RecordBatch) -> dict[str, object]:
+        prints = np.array([fingerprint(text, width) for text in batch.column(1).to_pylist()], dtype=np.uint64)
+        return {"doc_id": batch.column(0), "fp": prints.view(np.int64)}
+
+    return map_slices(documents.select("doc_id", "text"), handle, "doc_id long, fp long")
+
+
+def word_fingerprints(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, fp_1, fp_2) for every row: two prints of its distinct words by two seeds."""
 
     def handle(batch: pa.RecordBatch) -> dict[str, object]:
-        prints = np.array([fingerprint(text, width) for text in batch.column(2).to_pylist()], dtype=np.uint64)
-        return {"doc_id": batch.column(0), "row_hash": batch.column(1), "fp": prints.view(np.int64)}
+        words = [list(set(shingles(text, 1))) for text in batch.column(2).to_pylist()]
+        prints = [np.array([majority_bits(own, seed) for own in words], dtype=np.uint64) for seed in (SEED, SEED + 1)]
+        return {
+            "doc_id": batch.column(0),
+            "row_hash": batch.column(1),
+            "fp_1": prints[0].view(np.int64),
+            "fp_2": prints[1].view(np.int64),
+        }
 
     row_hash = F.xxhash64(*[F.col(f"`{name}`") for name in documents.columns])
     narrow = documents.select("doc_id", row_hash.alias("row_hash"), "text")
-    return map_slices(narrow, handle, "doc_id long, row_hash long, fp long")
+    return map_slices(narrow, handle, "doc_id long, row_hash long, fp_1 long, fp_2 long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -179,15 +198,10 @@ def near_links(prints: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> D
     return links
 
 
-def _rooted(documents: DataFrame, width: int, radius: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """All rows with their prints, and every distinct print with the root of its group."""
-    printed = stored(fingerprints(documents, width))
-    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = connected_components(near_links(classes.select("fp"), radius, bucket_rows))
-    rooted = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
-    return printed, stored(rooted)
+def rooted_prints(prints: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, root) of all distinct prints; prints have one root if links within `radius` connect them."""
+    joined = connected_components(near_links(prints, radius, bucket_rows)).withColumnRenamed("node", "fp")
+    return prints.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
 def simhash_groups(documents: DataFrame, width: int = 4, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
@@ -198,7 +212,9 @@ def simhash_groups(documents: DataFrame, width: int = 4, radius: int = 4, bucket
     other. A row with a null id takes part and gets its group's smallest id, null if none has one.
     Equal fingerprints are one node, so copies are never compared. An empty table gives no rows.
     """
-    printed, rooted = _rooted(documents, width, radius, bucket_rows)
+    printed = stored(fingerprints(documents, width))
+    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rooted = stored(classes.join(rooted_prints(classes.select("fp"), radius, bucket_rows), "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return printed.join(named, "fp").select(
@@ -206,18 +222,32 @@ def simhash_groups(documents: DataFrame, width: int = 4, radius: int = 4, bucket
     )
 
 
-def keep_one(documents: DataFrame, width: int = 4, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
+def keep_one(documents: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, null ids last.
 
-    Of several rows with this id the one with the smallest row hash stays, and one of rows that
-    are equal throughout. Columns are those of `documents`.
+    Near copies differ in at most `radius` bits of at least one of two prints of their distinct
+    words. A five-word shingle similarity of 0.8 means that some 2 % of the words differ. That
+    moves 10 of 64 bits of a print of five-word shingles, out of reach of covering masks, but 4
+    bits of a print of words. Of several rows with the smallest id the one with the smallest row
+    hash stays, and one of rows that are equal throughout. All texts without words are one group.
+    Columns are those of `documents`.
     """
-    printed, rooted = _rooted(documents, width, radius, bucket_rows)
-    rows = printed.groupBy("fp", "doc_id", "row_hash").agg(F.count("*").alias("n"))
+    printed = stored(word_fingerprints(documents))
+    ends = printed.select("fp_1", "fp_2").distinct()
+    for at in (1, 2):
+        prints = stored(printed.select(F.col(f"fp_{at}").alias("fp")).distinct())
+        roots = stored(rooted_prints(prints, radius, bucket_rows))
+        # roots of the two prints are nodes of their own; a document connects its two
+        node = F.xxhash64(F.lit(at), "root").alias(f"node_{at}")
+        ends = ends.join(roots.select(F.col("fp").alias(f"fp_{at}"), node), f"fp_{at}")
+    ends = stored(ends)
+    groups = connected_components(ends.select(F.col("node_1").alias("a"), F.col("node_2").alias("b")).distinct())
+    grouped = ends.join(groups.select(F.col("node").alias("node_1"), F.col("component").alias("group")), "node_1")
+    rows = printed.groupBy("fp_1", "fp_2", "doc_id", "row_hash").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "n")).alias("best")
     keepers = stored(
-        rows.join(rooted.select("fp", "root"), "fp")
-        .groupBy("root")
+        rows.join(grouped.select("fp_1", "fp_2", "group"), ["fp_1", "fp_2"])
+        .groupBy("group")
         .agg(best)
         .select(
             F.col("best.doc_id").alias("__id"), F.col("best.row_hash").alias("__hash"), F.col("best.n").alias("__n")
