@@ -6,8 +6,8 @@ with time buckets as long as the window, a bucket is *calm* when it and the one
 too few events to ever reach the limit; decisions in it then do not depend on history.
 A stretch starts after a calm or an empty bucket and only needs that one bucket as run-up.
 
-Stretches of one key run in parallel.  A stretch that is still too long is worked off in
-slices of bounded size, the state of each being handed on through a checkpoint.
+Stretches of one key run in parallel.  A stretch is sequential by nature: one task streams it in
+time order (the sort spills) and holds the counted times of the window, at most ``limit`` of them.
 """
 
 from __future__ import annotations
@@ -20,10 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.session import cut_lineage, written_table
-
 MICROS = 1_000_000
-SLICE_ROWS = 2_000_000
 
 # Default limits of the rules.
 UPLOADS_PER_MINUTE = 10
@@ -32,7 +29,7 @@ ADMISSION_SECONDS = 60
 LOCKOUT_ATTEMPTS = 5
 LOCKOUT_MINUTES = 15
 
-STATE_ROW, RUN_UP_ROW, LIVE_ROW = 0, 1, 2
+RUN_UP_ROW, LIVE_ROW = 1, 2
 
 
 @dataclass
@@ -91,64 +88,36 @@ RULES: dict[str, Callable[[int, int], Admission | Lockout]] = {
     "lockout": lambda limit, window: Lockout(limit, window, deque()),
 }
 
-_OUT = "key string, stretch bigint, slice bigint, role int, at bigint, id bigint, ok boolean, first int, second int"
-_NAMES = ["key", "stretch", "slice", "role", "at", "id", "ok", "first", "second"]
+_OUT = "key string, at bigint, id bigint, ok boolean, first int, second int"
 
 
 def _replay_sorted(rule: str, limit: int, window: int):
-    """Streams sorted batches; holds one key's state and one batch at a time.
-
-    Live events give a decision row; at the end of a stretch the counted times still in the
-    state leave as state rows, which can open the next slice of that stretch.
-    """
+    """Streams sorted batches; holds one stretch's state and one batch at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, slice_no = None, None, 0
-
-        def state_rows() -> list[tuple]:
-            if current is None:
-                return []
-            return [(*current, slice_no, STATE_ROW, at, None, None, None, None) for at in state.dump()]
-
+        current, state = None, None
         for batch in batches:
             out = []
-            for key, stretch, piece, role, at, id_, failed in zip(
-                batch["key"], batch["stretch"], batch["slice"], batch["role"], batch["at"], batch["id"], batch["failed"]
+            for key, stretch, role, at, id_, failed in zip(
+                batch["key"], batch["stretch"], batch["role"], batch["at"], batch["id"], batch["failed"]
             ):
                 if (key, stretch) != current:
-                    out += state_rows()
                     current, state = (key, stretch), RULES[rule](limit, window)
-                slice_no = piece
-                if role == STATE_ROW:
-                    state.taken.append(at)
-                    continue
-                ok, first, second = state.decide(at, failed)
+                decision = state.decide(at, failed)
                 if role == LIVE_ROW:
-                    out.append((key, stretch, piece, role, at, id_, ok, first, second))
+                    out.append((key, at, id_, *decision))
             if out:
-                yield _frame(out)
-        out = state_rows()
-        if out:
-            yield _frame(out)
+                yield pd.DataFrame(out, columns=["key", "at", "id", "ok", "first", "second"])
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_NAMES)
-    for name, kind in (("id", "Int64"), ("first", "Int32"), ("second", "Int32"), ("ok", "boolean")):
-        frame[name] = frame[name].astype(kind)
-    return frame
-
-
-def _label_buckets(events: DataFrame, counted: Column, most_calm: int, slice_rows: int) -> DataFrame:
-    """Per (key, bucket): stretch, slice and whether the bucket is run-up of the next one.
+def _label_buckets(events: DataFrame, counted: Column, most_calm: int) -> DataFrame:
+    """Per (key, bucket): stretch and whether the bucket is run-up of the next one.
 
     Works on pre-aggregated bucket counts, whose number per key is bounded by time.
     """
-    buckets = events.groupBy("key", "bucket").agg(
-        F.count_if(counted).alias("n"), F.count(F.lit(1)).alias("rows")
-    )
+    buckets = events.groupBy("key", "bucket").agg(F.count_if(counted).alias("n"))
     by_time = Window.partitionBy("key").orderBy("bucket")
     adjacent = F.lag("bucket").over(by_time) == F.col("bucket") - 1
     before = F.when(adjacent, F.lag("n").over(by_time)).otherwise(0)
@@ -156,70 +125,30 @@ def _label_buckets(events: DataFrame, counted: Column, most_calm: int, slice_row
         "calm", F.col("n") + F.coalesce(before, F.lit(0)) <= most_calm
     )
     fresh = ~F.col("adjacent") | F.lag("calm").over(by_time)
-    cut = known.withColumn("stretch", F.max(F.when(fresh, F.col("bucket"))).over(by_time)).withColumn(
-        "leads", F.col("calm") & F.coalesce(F.lead("bucket").over(by_time) == F.col("bucket") + 1, F.lit(False))
-    )
-    in_stretch = Window.partitionBy("key", "stretch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("rows").over(in_stretch), F.lit(0))
-    return cut.select(
-        "key", "bucket", "stretch", "leads", F.floor(earlier / slice_rows).cast("bigint").alias("slice")
+    return known.select(
+        "key",
+        "bucket",
+        F.max(F.when(fresh, F.col("bucket"))).over(by_time).alias("stretch"),
+        (F.col("calm") & F.coalesce(F.lead("bucket").over(by_time) == F.col("bucket") + 1, F.lit(False))).alias(
+            "leads"
+        ),
     )
 
 
 def _replay(
-    events: DataFrame,
-    rule: str,
-    limit: int,
-    window_us: int,
-    most_calm: int,
-    counted: Column,
-    slice_rows: int,
+    events: DataFrame, rule: str, limit: int, window_us: int, most_calm: int, counted: Column
 ) -> DataFrame:
     """``events`` has key, at (micros), id, failed; returns key, at, id, ok, first, second."""
     bucketed = events.withColumn("bucket", F.floor(F.col("at") / window_us).cast("bigint"))
-    labels = _label_buckets(bucketed, counted, most_calm, slice_rows)
-    slices = 1
-    if events.limit(slice_rows + 1).count() > slice_rows:
-        slices = (labels.agg(F.max("slice")).first()[0] or 0) + 1
-    if slices > 1:
-        labels = cut_lineage(labels)
-    own = F.struct(F.col("stretch"), F.col("slice"), F.lit(LIVE_ROW).alias("role"))
-    run_up = F.struct(
-        (F.col("bucket") + 1).alias("stretch"), F.lit(0).cast("bigint").alias("slice"), F.lit(RUN_UP_ROW).alias("role")
-    )
+    labels = _label_buckets(bucketed, counted, most_calm)
+    own = F.struct(F.col("stretch"), F.lit(LIVE_ROW).alias("role"))
+    run_up = F.struct((F.col("bucket") + 1).alias("stretch"), F.lit(RUN_UP_ROW).alias("role"))
     placed = bucketed.join(labels, ["key", "bucket"]).select(
         "key", "at", "id", "failed", F.inline(F.when(F.col("leads"), F.array(own, run_up)).otherwise(F.array(own)))
     )
-    rows = placed.select("key", "stretch", "slice", "role", "at", "id", "failed")
-    replay = _replay_sorted(rule, limit, window_us)
-
-    def work(part: DataFrame) -> DataFrame:
-        ordered = part.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "role", "at", "id")
-        return ordered.mapInPandas(replay, _OUT)
-
-    if slices == 1:
-        decided = work(rows)
-    else:
-        rows = written_table(rows, "slice")
-        decided, carried = None, None
-        for number in range(slices):
-            part = rows.filter(F.col("slice") == number)
-            if carried is not None:
-                part = part.unionByName(
-                    carried.join(part.select("key", "stretch").distinct(), ["key", "stretch"], "left_semi")
-                )
-            done = cut_lineage(work(part))
-            decided = done if decided is None else decided.unionByName(done)
-            carried = done.filter(F.col("role") == STATE_ROW).select(
-                "key",
-                "stretch",
-                F.lit(number + 1).cast("bigint").alias("slice"),
-                "role",
-                "at",
-                F.lit(0).cast("bigint").alias("id"),
-                F.lit(False).alias("failed"),
-            )
-    return decided.filter(F.col("role") == LIVE_ROW).select("key", "at", "id", "ok", "first", "second")
+    ordered = placed.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "role", "at", "id")
+    rows = ordered.select("key", "stretch", "role", "at", "id", "failed")
+    return rows.mapInPandas(_replay_sorted(rule, limit, window_us), _OUT)
 
 
 def _prepared(events: DataFrame, key: str, ts: str, id_: str, failed: Column) -> DataFrame:
@@ -238,7 +167,6 @@ def replay_admission(
     id_: str,
     limit: int = UPLOADS_PER_MINUTE,
     window_seconds: int = ADMISSION_SECONDS,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(key, ts, id, allowed, retry_after, remaining) for every event.
 
@@ -251,7 +179,7 @@ def replay_admission(
             "key", "at", "id", F.lit(True).alias("ok"), F.lit(0).alias("first"), F.lit(-1).alias("second")
         )
     else:
-        decided = _replay(ready, "admission", limit, window_seconds * MICROS, limit, F.lit(True), slice_rows)
+        decided = _replay(ready, "admission", limit, window_seconds * MICROS, limit, F.lit(True))
     return decided.select(
         F.col("key").alias(key),
         F.timestamp_micros("at").alias(ts),
@@ -270,7 +198,6 @@ def replay_lockout(
     failed: Column,
     attempts: int = LOCKOUT_ATTEMPTS,
     window_minutes: int = LOCKOUT_MINUTES,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(account, ts, id, locked, failures, attempts_left, locks) for every login event.
 
@@ -279,7 +206,7 @@ def replay_lockout(
     """
     ready = _prepared(events, account, ts, id_, failed)
     window = window_minutes * 60 * MICROS
-    decided = _replay(ready, "lockout", attempts, window, attempts - 1, F.col("failed"), slice_rows)
+    decided = _replay(ready, "lockout", attempts, window, attempts - 1, F.col("failed"))
     return decided.select(
         F.col("key").alias(account),
         F.timestamp_micros("at").alias(ts),

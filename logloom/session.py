@@ -59,14 +59,6 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written_table(df: DataFrame, partition_by: str) -> DataFrame:
-    """Materialise in the shared checkpoint folder, laid out so that readers prune partitions."""
-    spark = df.sparkSession
-    path = scratch_folder(spark)
-    df.write.partitionBy(partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_size_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan, which for scans is the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,28 +1,33 @@
-"""CSV and TSV files: delimiter vote, header handling, splittable quoted line breaks."""
+"""CSV and TSV files: delimiter and header per file, splittable quoted line breaks.
+
+One grammar holds for any number and size of files: a quote opens a quoted part only at the start
+of a cell, and closes it unless it is doubled.  Each line either keeps, flips or sets whether the
+text is inside quotes; what holds before a line follows from the last line that sets it and the
+flips since, found per bounded block of lines and then shifted by the blocks before.
+"""
 
 from __future__ import annotations
 
 import csv
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.binding import with_parsed
 from logloom.functions.line_formats import spaced_cells
 from logloom.functions.literals import strip
-from logloom.operators.multiline import merge_by_nesting
+from logloom.operators.multiline import BLOCK_KEY, earlier_blocks, merge_by_flag, with_blocks
 from logloom.session import broadcast_if_small, quoted
 from logloom.sources.lines import as_paths, leading_lines, read_lines
 
 DELIMITERS = (",", ";", "\t", "|")
-# Fixed value: characters of the first file the delimiter vote looks at.
+# Fixed value: characters of a file the delimiter vote looks at.
 SAMPLE_CHARS = 8192
-# Files up to this size are read whole by one task when cells may hold line breaks.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-MAX_HEADER_GROUPS = 64
+SAMPLE_LINES = 100
 # Fixed value: longest cell a CSV reader accepts, hence also the most line breaks in one.
 MAX_CELL_CHARS = 131072
 BYTE_ORDER_MARK = "\ufeff"
@@ -58,14 +63,6 @@ def tabular_check(first_lines: DataFrame, delimiter: str = ",") -> DataFrame:
     return first_lines.select("source_path", (~wordy).alias("tabular"))
 
 
-def _head(spark: SparkSession, path: str, count: int) -> list[str]:
-    return [row["value"] for row in spark.read.text(path).limit(count).collect()]
-
-
-def _sample(spark: SparkSession, path: str) -> str:
-    return "\n".join(line[:SAMPLE_CHARS] for line in _head(spark, path, 100)).removeprefix(BYTE_ORDER_MARK)
-
-
 def _header_names(header_line: str, delimiter: str) -> list[str]:
     return next(csv.reader([header_line], delimiter=delimiter), [])
 
@@ -76,24 +73,15 @@ def _select_named(names: Sequence[str], cell: dict[int, Column]) -> list[Column]
     return [F.nullif(cell[at], F.lit("")).alias(name) for name, at in last_at.items() if name != ""]
 
 
-def _file_facts(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int, list[str]]:
-    """(number of filled files, largest size, the first paths) without collecting the listing."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length").filter("length > 0")
-    count, largest = files.agg(F.count(F.lit(1)), F.max("length")).first()
-    some = files.orderBy("path").limit(MAX_HEADER_GROUPS).collect()
-    return count, largest or 0, [row["path"] for row in some]
-
-
 def _positional(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f"c{at}", T.StringType()) for at in range(len(names))])
 
 
-def _plain_read(
-    spark: SparkSession, paths: Sequence[str], names: Sequence[str], delimiter: str, whole_files: bool
-) -> DataFrame:
+def _plain_read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], delimiter: str) -> DataFrame:
+    """Files in which every line is a record."""
     table = (
         spark.read.schema(_positional(names))
-        .options(header=True, sep=delimiter, quote='"', escape='"', multiLine=whole_files, mode="PERMISSIVE")
+        .options(header=True, sep=delimiter, quote='"', escape='"', mode="PERMISSIVE")
         .csv(list(paths))
     )
     cells = {at: F.col(f"c{at}") for at in range(len(names))}
@@ -104,15 +92,101 @@ def _plain_read(
     )
 
 
-def quote_balanced_records(lines: DataFrame) -> DataFrame:
-    """Join lines that a quoted cell runs across; a record starts at even quote parity.
+def file_layouts(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """(source_path, delimiter, header) of every file, the delimiter voted on its own first lines."""
+    head = leading_lines(lines.filter("split_start = 0"), SAMPLE_LINES if delimiter is None else 1)
+    sampled = head.select(
+        "source_path",
+        "line_no",
+        F.substring("value", 1, SAMPLE_CHARS).alias("text"),
+        F.when(F.col("line_no") == 1, F.col("value")).alias("header"),
+    )
+    heads = sampled.groupBy("source_path").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("texts"), F.max("header").alias("header")
+    )
+    joined = F.array_join(F.transform("texts", lambda line: line["text"]), "\n")
+
+    @F.pandas_udf("string")
+    def voted(samples: pd.Series) -> pd.Series:
+        return samples.map(vote_delimiter)
+
+    chosen = F.lit(delimiter) if delimiter is not None else voted(F.ltrim(joined, F.lit(BYTE_ORDER_MARK)))
+    return heads.select(
+        "source_path", chosen.alias("delimiter"), F.ltrim("header", F.lit(BYTE_ORDER_MARK)).alias("header")
+    )
+
+
+def _line_ends(delimiter: str) -> tuple[str, str]:
+    """Patterns of a line that ends outside quotes, when entered outside and inside them."""
+    sep = f"\\x{ord(delimiter):02x}"
+    closed = rf'[^"]*+(?:""[^"]*+)*+"[^{sep}]*+'
+    cell = rf'(?:"{closed}|(?!")[^{sep}]*+)'
+    more = rf"(?:{sep}{cell})*+\z"
+    return rf"\A{cell}{more}", rf"\A{closed}{more}"
+
+
+def _by_delimiter(delimiters: Sequence[str], build: Callable[[str], Column]) -> Column:
+    """The value that each line's own file asks for."""
+    value = build(delimiters[0])
+    for one in delimiters[1:]:
+        value = F.when(F.col("delimiter") == one, build(one)).otherwise(value)
+    return value
+
+
+def _ends_inside(delimiters: Sequence[str], entered_inside: bool) -> Column:
+    ends = _by_delimiter(delimiters, lambda one: F.col("value").rlike(_line_ends(one)[entered_inside]))
+    return F.when(F.col("value").contains('"'), ~ends).otherwise(F.lit(entered_inside))
+
+
+def _inside(entered: Column, flips: Column, last_set: Column) -> Column:
+    """Whether text is inside quotes: ``last_set`` is (flips until then, inside after it) or null."""
+    odd = F.pmod(flips - F.coalesce(last_set["flips"], F.lit(0)), F.lit(2)) == 1
+    return F.coalesce(last_set["inside"], entered) != odd
+
 
-    No cell may be longer than ``MAX_CELL_CHARS``, so a quote that is never closed cannot pull
-    the rest of a file into one record.
+def quoted_records(lines: DataFrame, delimiters: Sequence[str]) -> DataFrame:
+    """Join lines that a quoted cell runs across; ``lines`` has each file's ``delimiter``.
+
+    No cell may be longer than ``MAX_CELL_CHARS``, so a record of more lines is an error, as for
+    other CSV readers: its quote is never closed.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    flat = F.lit(0)
-    return merge_by_nesting(lines, quotes, flat, flat, start_depth=0, separator="\n", max_lines=MAX_CELL_CHARS)
+    measured = with_blocks(lines).withColumns(
+        {"to_out": _ends_inside(delimiters, False), "to_in": _ends_inside(delimiters, True)}
+    )
+    measured = measured.withColumn("flip", (F.col("to_out") & ~F.col("to_in")).cast("int"))
+    in_block = Window.partitionBy(*BLOCK_KEY).orderBy("line_id")
+    until = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    local = measured.withColumn("flips", F.sum("flip").over(until))
+    setting = F.struct(F.col("flips").alias("flips"), F.col("to_out").alias("inside"))
+    local = local.withColumn("setting", F.when(F.col("to_out") == F.col("to_in"), setting))
+    blocks = local.groupBy(*BLOCK_KEY).agg(
+        F.sum("flip").alias("flips"),
+        F.max_by("setting", F.when(F.col("setting").isNotNull(), F.col("line_id"))).alias("set"),
+    )
+    # a block with a setting line ends in a known state; any other flips it as often as its lines do
+    earlier = earlier_blocks()
+    flips_until = F.coalesce(F.sum("flips").over(earlier), F.lit(0)) + F.col("flips")
+    known = F.struct(flips_until.alias("flips"), _inside(F.lit(False), F.col("flips"), F.col("set")).alias("inside"))
+    ended = blocks.withColumn("ends", F.when(F.col("set").isNotNull(), known))
+    flips_before = F.coalesce(F.sum("flips").over(earlier), F.lit(0))
+    entered = ended.withColumn(
+        "entered", _inside(F.lit(False), flips_before, F.last("ends", ignorenulls=True).over(earlier))
+    ).select(*BLOCK_KEY, "entered")
+    placed = local.withColumns(
+        {
+            "flips_before": F.coalesce(F.sum("flip").over(before), F.lit(0)),
+            "last_set": F.last("setting", ignorenulls=True).over(before),
+        }
+    ).join(entered, BLOCK_KEY)
+    starts = placed.withColumn("starts", ~_inside(F.col("entered"), F.col("flips_before"), F.col("last_set")))
+    records = merge_by_flag(
+        starts.select("source_path", "source_file", "split_start", "line_id", "value", "starts"),
+        F.col("starts"),
+        MAX_CELL_CHARS,
+    )
+    too_long = F.raise_error(F.concat(F.lit("a quote is never closed in "), "source_path"))
+    return records.withColumn("value", F.when(F.col("n_lines") <= MAX_CELL_CHARS, F.col("value")).otherwise(too_long))
 
 
 def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> DataFrame:
@@ -124,18 +198,24 @@ def parse_records(records: DataFrame, names: Sequence[str], delimiter: str) -> D
     return parsed.select(*_select_named(names, cells), "source_path", "source_file")
 
 
-def _has_open_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """Whether any line has an odd number of quote marks, so that cells may hold line breaks."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(list(paths)).filter(F.pmod(quotes, F.lit(2)) == 1).isEmpty()
+def _parse_mixed(records: DataFrame, layouts: Sequence[tuple[str, str]], delimiters: Sequence[str]) -> DataFrame:
+    """The same where files differ in ``delimiter`` or ``header``: cells are picked by their file's header."""
+    body = records.filter((F.col("line_id") > 0) & (strip(F.col("value")) != ""))
+    names = {layout: _header_names(layout[1], layout[0]) for layout in layouts}
+    widest = max(names.values(), key=len)
 
+    def cells_of(delimiter: str) -> Column:
+        options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        return F.from_csv("value", _positional(widest).simpleString(), options)
 
-def _read_group(
-    spark: SparkSession, paths: Sequence[str], names: Sequence[str], delimiter: str, whole_files: bool
-) -> DataFrame:
-    if whole_files or not _has_open_quotes(spark, paths):
-        return _plain_read(spark, paths, names, delimiter, whole_files)
-    return parse_records(quote_balanced_records(read_lines(spark, paths)), names, delimiter)
+    parsed = with_parsed(body, "_row", _by_delimiter(delimiters, cells_of))
+    columns: dict[str, Column] = {}
+    for (delimiter, header), own in names.items():
+        mine = (F.col("delimiter") == delimiter) & (F.col("header") == header)
+        for name, at in {name: at for at, name in enumerate(own) if name}.items():
+            cell = F.when(mine, F.nullif(F.col("_row")[f"c{at}"], F.lit("")))
+            columns[name] = F.coalesce(columns[name], cell) if name in columns else cell
+    return parsed.select(*[value.alias(name) for name, value in columns.items()], "source_path", "source_file")
 
 
 def read_delimited(
@@ -146,65 +226,30 @@ def read_delimited(
 ) -> DataFrame:
     """All cells as text; short rows end in nulls, surplus cells are dropped, '' is null.
 
-    Differently laid out files are united by name, not by position.  Small files with quoted
-    line breaks are read whole; large ones stay splittable through quote parity.
+    Every file has its own header and, unless given, its own delimiter.  Differently laid out
+    files are united by name, not by position.  Files stay splittable whatever their size.
     """
     paths = as_paths(paths)
-    count, largest, some = _file_facts(spark, paths)
-    if not some:
+    lines = read_lines(spark, paths)
+    by_file = broadcast_if_small(file_layouts(lines, delimiter))
+    layouts = [tuple(row) for row in by_file.select("delimiter", "header").distinct().collect()]
+    layouts.sort(key=lambda layout: (layout[1], layout[0]))
+    if not layouts:
         raise ValueError("no data to read")
-    if delimiter is None:
-        delimiter = vote_delimiter(_sample(spark, some[0]))
-    whole_files = largest <= WHOLE_FILE_BYTES
-    if count > MAX_HEADER_GROUPS:
-        headers = _distinct_headers(spark, paths)
-        groups = {tuple(_header_names(text, delimiter)): paths for text in headers}
-    else:
-        headers, groups = [], {}
-        for path in some:
-            first = (_head(spark, path, 1) or [""])[0].removeprefix(BYTE_ORDER_MARK)
-            groups.setdefault(tuple(_header_names(first, delimiter)), []).append(path)
-    if check_tabular and not all(looks_tabular(names) for names in groups):
+    headers = [_header_names(header, one) for one, header in layouts]
+    if check_tabular and not all(looks_tabular(names) for names in headers):
         raise ValueError("single wordy column: not a table, try the raw or logfmt format")
-    if len(headers) > 1:
-        return _read_mixed(spark, paths, headers, delimiter)
-    united = None
-    for names, members in groups.items():
-        part = _read_group(spark, members, names, delimiter, whole_files)
-        united = part if united is None else united.unionByName(part, allowMissingColumns=True)
-    return united
-
-
-def _first_lines(lines: DataFrame) -> DataFrame:
-    firsts = leading_lines(lines.filter("split_start = 0"), 1)
-    return firsts.select("source_path", F.ltrim("value", F.lit(BYTE_ORDER_MARK)).alias("header"))
-
-
-def _distinct_headers(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    rows = _first_lines(read_lines(spark, paths)).select("header").distinct().limit(MAX_HEADER_GROUPS + 1).collect()
-    if len(rows) > MAX_HEADER_GROUPS:
-        raise ValueError(f"more than {MAX_HEADER_GROUPS} different headers; read the files in separate sets")
-    return sorted(row["header"] for row in rows)
-
-
-def _read_mixed(spark: SparkSession, paths: Sequence[str], headers: Sequence[str], delimiter: str) -> DataFrame:
-    """Many files with a few different headers in one scan: cells are picked by each file's header."""
-    lines = read_lines(spark, paths)
-    layouts = [_header_names(text, delimiter) for text in headers]
-    number = F.array_position(F.array(*[F.lit(text) for text in headers]), F.col("header"))
-    by_file = broadcast_if_small(_first_lines(lines).select("source_path", number.alias("layout")))
-    records = quote_balanced_records(lines) if _has_open_quotes(spark, paths) else _without_first(lines)
-    records = records.filter((F.col("line_id") > 0) & (strip(F.col("value")) != "")).join(by_file, "source_path")
-    widest = max(layouts, key=len)
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    parsed = with_parsed(records, "_row", F.from_csv("value", _positional(widest).simpleString(), options))
-    columns: dict[str, Column] = {}
-    for at, names in enumerate(layouts, start=1):
-        cells = {place: F.col("_row")[f"c{place}"] for place in range(len(names))}
-        for name, place in {name: place for place, name in enumerate(names) if name}.items():
-            cell = F.when(F.col("layout") == at, F.nullif(cells[place], F.lit("")))
-            columns[name] = F.coalesce(columns[name], cell) if name in columns else cell
-    return parsed.select(*[value.alias(name) for name, value in columns.items()], "source_path", "source_file")
+    delimiters = sorted({one for one, _ in layouts})
+    single = len(layouts) == 1
+    placed = lines.withColumn("delimiter", F.lit(delimiters[0])) if single else lines.join(by_file, "source_path")
+    if placed.filter(_ends_inside(delimiters, False)).isEmpty():
+        if single:
+            return _plain_read(spark, paths, headers[0], delimiters[0])
+        return _parse_mixed(_without_first(lines).join(by_file, "source_path"), layouts, delimiters)
+    records = quoted_records(placed, delimiters)
+    if single:
+        return parse_records(records, headers[0], delimiters[0])
+    return _parse_mixed(records.join(by_file, "source_path"), layouts, delimiters)
 
 
 def _without_first(lines: DataFrame) -> DataFrame:
@@ -238,7 +283,7 @@ def spaced_records(lines: DataFrame) -> DataFrame:
 
 def read_tsv(spark: SparkSession, paths: str | Sequence[str], check_tabular: bool = False) -> DataFrame | None:
     """Tab-separated files; None when the first line has no tab and columns are blank-separated."""
-    first = (_head(spark, as_paths(paths)[0], 1) or [""])[0]
+    first = (spark.read.text(as_paths(paths)[0]).first() or [""])[0]
     if "\t" in first:
         return read_delimited(spark, paths, "\t", check_tabular)
     if check_tabular and first and not looks_tabular([c for c in first.strip().split("  ") if c]):
