@@ -3,6 +3,11 @@
 Events of a key are held back until the watermark has passed them and are then decided in
 event-time order; later ones are dropped by the watermark.  State per key is the short list
 of counted times plus the events still held back.
+
+A stream that has come to its end still holds the events that its watermark has not passed;
+:func:`held_admission` and :func:`held_lockout` decide those from the query's last state.
+Bound the rows of a trigger at the source (``maxFilesPerTrigger``), so that a key holds back no
+more than what arrives within the lateness and one trigger.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,6 +30,7 @@ from logloom.operators.replay import (
 
 _STATE = "taken array<bigint>, held_at array<bigint>, held_id array<bigint>, held_failed array<boolean>"
 _OUT = "key string, at bigint, id bigint, ok boolean, first int, second int"
+_HELD = ("taken", "held_at", "held_id", "held_failed")
 _NAMES = ["key", "at", "id", "ok", "first", "second"]
 
 
@@ -75,6 +81,74 @@ def _decided(
     )
 
 
+def _held(spark: SparkSession, checkpoint: str, rule: str, limit: int, window: int) -> DataFrame:
+    """Decisions for the events that the last state of a finished query still holds."""
+    state = spark.read.format("statestore").load(checkpoint)
+    value = "value.groupState" if "groupState" in state.schema["value"].dataType.names else "value"
+    left = state.select(F.col("key.key").alias("key"), *[F.col(f"{value}.{name}").alias(name) for name in _HELD])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, taken, at, ids, failed in zip(*(batch[name] for name in ("key", *_HELD))):
+                own = RULES[rule](limit, window)
+                own.restore([int(t) for t in taken])
+                for event in sorted(zip(at, ids, failed)):
+                    rows.append((key, int(event[0]), int(event[1]), *own.decide(int(event[0]), bool(event[2]))))
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    return left.mapInPandas(decide, _OUT)
+
+
+def _as_admission(decided: DataFrame, key: str, ts: str, id_: str) -> DataFrame:
+    return decided.select(
+        F.col("key").alias(key),
+        F.timestamp_micros("at").alias(ts),
+        F.col("id").alias(id_),
+        F.col("ok").alias("allowed"),
+        F.col("first").alias("retry_after"),
+        F.col("second").alias("remaining"),
+    )
+
+
+def _as_lockout(decided: DataFrame, account: str, ts: str, id_: str) -> DataFrame:
+    return decided.select(
+        F.col("key").alias(account),
+        F.timestamp_micros("at").alias(ts),
+        F.col("id").alias(id_),
+        (~F.col("ok")).alias("locked"),
+        F.col("first").alias("failures"),
+        F.col("second").alias("attempts_left"),
+        (F.col("ok") & (F.col("second") == 0)).alias("locks"),
+    )
+
+
+def held_admission(
+    spark: SparkSession,
+    checkpoint: str,
+    key: str,
+    ts: str,
+    id_: str,
+    limit: int = UPLOADS_PER_MINUTE,
+    window_seconds: int = ADMISSION_SECONDS,
+) -> DataFrame:
+    """What :func:`stream_admission` has not decided when its query ended, from the query's checkpoint."""
+    return _as_admission(_held(spark, checkpoint, "admission", limit, window_seconds * MICROS), key, ts, id_)
+
+
+def held_lockout(
+    spark: SparkSession,
+    checkpoint: str,
+    account: str,
+    ts: str,
+    id_: str,
+    attempts: int = LOCKOUT_ATTEMPTS,
+    window_minutes: int = LOCKOUT_MINUTES,
+) -> DataFrame:
+    """What :func:`stream_lockout` has not decided when its query ended, from the query's checkpoint."""
+    return _as_lockout(_held(spark, checkpoint, "lockout", attempts, window_minutes * 60 * MICROS), account, ts, id_)
+
+
 def stream_admission(
     events: DataFrame,
     key: str,
@@ -88,14 +162,7 @@ def stream_admission(
     decided = _decided(
         events, "admission", key, ts, id_, F.lit(False), limit, window_seconds * MICROS, lateness
     )
-    return decided.select(
-        F.col("key").alias(key),
-        F.timestamp_micros("at").alias(ts),
-        F.col("id").alias(id_),
-        F.col("ok").alias("allowed"),
-        F.col("first").alias("retry_after"),
-        F.col("second").alias("remaining"),
-    )
+    return _as_admission(decided, key, ts, id_)
 
 
 def stream_lockout(
@@ -112,12 +179,4 @@ def stream_lockout(
     decided = _decided(
         events, "lockout", account, ts, id_, failed, attempts, window_minutes * 60 * MICROS, lateness
     )
-    return decided.select(
-        F.col("key").alias(account),
-        F.timestamp_micros("at").alias(ts),
-        F.col("id").alias(id_),
-        (~F.col("ok")).alias("locked"),
-        F.col("first").alias("failures"),
-        F.col("second").alias("attempts_left"),
-        (F.col("ok") & (F.col("second") == 0)).alias("locks"),
-    )
+    return _as_lockout(decided, account, ts, id_)

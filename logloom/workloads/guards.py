@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.allowlist import check_allowlists
 from logloom.operators.replay import replay_admission, replay_lockout, trailing_counts
 from logloom.session import scratch_folder
-from logloom.streaming.guards import stream_admission, stream_lockout
+from logloom.streaming.guards import held_admission, held_lockout, stream_admission, stream_lockout
 from logloom.workloads import spread_table, table, workload
 
 
@@ -110,21 +112,13 @@ def lockout_replay(spark: SparkSession, folder: str) -> DataFrame:
     return replayed.select("event_id", "locked", "failures", "locks")
 
 
-def _released(sql: str, watched: str = "TRUE") -> str:
-    """Rows a finished stream has decided: the watermark has millisecond precision, so events
-    after its last full millisecond are still held."""
-    return f"""
-    SELECT a.* FROM ({sql}) a JOIN events USING (event_id)
-    WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events WHERE {watched})
-    """
-
-
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-def _run_to_end(decided: DataFrame) -> DataFrame:
+def _run_to_end(decided: DataFrame, held: Callable[[str], DataFrame]) -> DataFrame:
+    """Rows of a finished stream: what it has decided, and what its last state still held."""
     spark = decided.sparkSession
     place = scratch_folder(spark)
     query = (
@@ -135,24 +129,25 @@ def _run_to_end(decided: DataFrame) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(decided.schema).parquet(f"{place}/rows")
+    return spark.read.schema(decided.schema).parquet(f"{place}/rows").unionByName(held(f"{place}/state"))
 
 
-@workload("admission_stream", _released(_ADMISSION_SQL))
+@workload("admission_stream", _ADMISSION_SQL)
 def admission_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same rule on a stream of the events file; decisions come once the watermark has passed."""
-    events = _event_stream(spark, folder)
-    decided = stream_admission(
-        events, "user_id", "ts", "event_id", limit=3, window_seconds=2 * 86400, lateness="0 seconds"
-    )
-    return _run_to_end(decided).select("event_id", "allowed", "retry_after", "remaining")
+    keys = ("user_id", "ts", "event_id")
+    rule = {"limit": 3, "window_seconds": 2 * 86400}
+    decided = stream_admission(_event_stream(spark, folder), *keys, **rule, lateness="0 seconds")
+    rows = _run_to_end(decided, lambda state: held_admission(spark, state, *keys, **rule))
+    return rows.select("event_id", "allowed", "retry_after", "remaining")
 
 
-@workload("lockout_stream", _released(_LOCKOUT_SQL, "event_type IN ('error', 'signup')"))
+@workload("lockout_stream", _LOCKOUT_SQL)
 def lockout_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The lockout rule on a stream of login events."""
+    keys = ("user_id", "ts", "event_id")
+    rule = {"attempts": 2, "window_minutes": 5 * 1440}
     logins = _event_stream(spark, folder).filter(F.col("event_type").isin("error", "signup"))
-    decided = stream_lockout(
-        logins, "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 5 * 1440, lateness="0 seconds"
-    )
-    return _run_to_end(decided).select("event_id", "locked", "failures", "locks")
+    decided = stream_lockout(logins, *keys, F.col("event_type") == "error", **rule, lateness="0 seconds")
+    rows = _run_to_end(decided, lambda state: held_lockout(spark, state, *keys, **rule))
+    return rows.select("event_id", "locked", "failures", "locks")
