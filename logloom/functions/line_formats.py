@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from logloom.functions.literals import strip
 WIDE_GAP = r"\s{2,}"
 
 # Line layouts of the two syslog generations and of logfmt pairs.
-SYSLOG_5424 = r"^<([0-9]+)>([0-9]+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:\[.*?\]\s*)?(.*)$"
-SYSLOG_3164 = r"^<([0-9]+)>(\w{3}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2})\s+(\S+)\s+(\S+?):\s*(.*)$"
+SYSLOG_5424 = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:\[.*?\]\s*)?(.*)$"
+SYSLOG_3164 = r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?):\s*(.*)$"
 LOGFMT_PAIR = r"""[\p{L}\p{N}_]+=(?:"[^"]*"|'[^']*'|\S+)"""
 
 SYSLOG_5424_FIELDS = (
@@ -21,7 +23,7 @@ SYSLOG_5424_FIELDS = (
 SYSLOG_3164_FIELDS = ("priority", "timestamp", "hostname", "app_name", "message")
 
 
-# Marks put around the pairs found in a line (and removed from it beforehand).
+# Marks put around the pairs found in a line; lines that hold one take the exact slower way.
 _PAIR_MARK, _VALUE_MARK = "\x02", "\x01"
 _LTSV_CELL = r"(?<=^|\t)([^:\t]*):([^\t]*)"
 _PADDED_MARK = r"(?U)\s*([\x01\x02])\s*"
@@ -64,9 +66,28 @@ def pairs_to_map(pairs: Column) -> Column:
 
 
 def _mark(line: Column, regex: str, groups: str) -> Column:
-    return F.regexp_replace(
-        F.translate(line, _PAIR_MARK + _VALUE_MARK, ""), regex, f"{_PAIR_MARK}$1{_VALUE_MARK}{groups}{_PAIR_MARK}"
-    )
+    return F.regexp_replace(line, regex, f"{_PAIR_MARK}$1{_VALUE_MARK}{groups}{_PAIR_MARK}")
+
+
+def _one_by_one(line: Column, regex: str, groups: Sequence[int], trim: bool, empty_is_null: bool) -> Column:
+    """The same arrays by one regex run per group, for lines that hold a mark themselves."""
+
+    def found(group: int) -> Column:
+        texts = F.regexp_extract_all(line, F.lit(regex), F.lit(group))
+        return F.reverse(F.transform(texts, strip) if trim else texts)
+
+    values = found(groups[0])
+    for group in groups[1:]:
+        # only one of the groups took part in a pair, the others are empty
+        values = F.zip_with(values, found(group), lambda one, other: F.concat(one, other))
+    if empty_is_null:
+        values = F.transform(values, lambda value: F.nullif(value, F.lit("")))
+    pairs = F.struct(found(1).alias("keys"), values.alias("values"))
+    return F.when(F.size(found(1)) > 0, pairs)
+
+
+def _marked(line: Column) -> Column:
+    return line.contains(_PAIR_MARK) | line.contains(_VALUE_MARK)
 
 
 def ltsv_pairs(line: Column) -> Column:
@@ -74,12 +95,16 @@ def ltsv_pairs(line: Column) -> Column:
     text = strip(line)
     tabbed = F.when(text.contains("\t"), text).otherwise(F.regexp_replace(text, WIDE_GAP, "\t"))
     trimmed = F.regexp_replace(_mark(tabbed, _LTSV_CELL, "$2"), _PADDED_MARK, "$1")
-    return _pair_arrays(trimmed, empty_is_null=False)
+    exact = _one_by_one(tabbed, _LTSV_CELL, [2], trim=True, empty_is_null=False)
+    return F.when(_marked(text), exact).otherwise(_pair_arrays(trimmed, empty_is_null=False))
 
 
 def logfmt_pairs(line: Column) -> Column:
     """key=value pairs, values bare or quoted; null for a line without any pair."""
-    return _pair_arrays(_mark(line, _LOGFMT_GROUPS, "$2$3$4"), empty_is_null=True)
+    exact = _one_by_one(line, _LOGFMT_GROUPS, [2, 3, 4], trim=False, empty_is_null=True)
+    return F.when(_marked(line), exact).otherwise(
+        _pair_arrays(_mark(line, _LOGFMT_GROUPS, "$2$3$4"), empty_is_null=True)
+    )
 
 
 def syslog_record(line: Column) -> Column:

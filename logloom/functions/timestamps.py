@@ -23,7 +23,7 @@ MIN_EPOCH, MAX_EPOCH = -62135596800, 253402300799
 
 OUTPUT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
-WEB_SERVER_PREFIX = r"^([0-9]{2}/\w{3}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4})"
+WEB_SERVER_PREFIX = r"^(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})"
 # Forms the engine's own cast reads; the common case stays one check and one cast.
 STRICT_ISO = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"

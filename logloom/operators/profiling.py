@@ -19,7 +19,7 @@ MAX_FIELDS = 1000
 
 # Hints that a column holds times.
 TIME_WORDS = ("time", "date", "created", "updated", "timestamp", "at", "when", "ts")
-TIME_TEXTS = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^[0-9]{2}/\w{3}/[0-9]{4}", r"^[0-9]{10,13}$", r"T[0-9]{2}:[0-9]{2}")
+TIME_TEXTS = (r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\w{3}/\d{4}", r"^\d{10,13}$", r"T\d{2}:\d{2}")
 
 
 # ---------------------------------------------------------------- formats of files

@@ -11,7 +11,7 @@ import datetime as dt
 import json
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,8 @@ class Warehouse:
     root: str
     prefix: str = "logs-"
     strict: bool = True
+    # runs whose cancellation has been asked for, by run id
+    cancel_requests: set[str] = field(default_factory=set, compare=False, repr=False)
 
     # ------------------------------------------------------------ paths
 
@@ -117,8 +119,9 @@ class Warehouse:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _append(self, table: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(self._control(table))
+    def _append(self, table: str, rows: DataFrame, few: bool = False) -> None:
+        """Append rows; ``few`` of them, built on the driver, go to one file."""
+        (rows.coalesce(1) if few else rows).write.mode("append").parquet(self._control(table))
 
     def manifest_log(self) -> DataFrame:
         return self._read("ingest_manifest", MANIFEST_SCHEMA)
@@ -130,7 +133,8 @@ class Warehouse:
     def record_run(self, state: Mapping[str, object]) -> None:
         schema = self.spark.createDataFrame([], MANIFEST_SCHEMA).schema
         row = {**{field.name: None for field in schema.fields}, **state, "recorded_at": utc_now()}
-        self._append("ingest_manifest", self.spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema))
+        values = tuple(row[f.name] for f in schema.fields)
+        self._append("ingest_manifest", self.spark.createDataFrame([values], schema), few=True)
 
     def discard_pending(self, run_id: str) -> bool:
         """Remove a run that never started; others are left alone."""
@@ -169,9 +173,8 @@ class Warehouse:
             self._log_tracking(full_name, None, "untrack")
 
     def _log_tracking(self, full_name: str, user: str | None, action: str) -> None:
-        self._append(
-            "tracked_targets", self.spark.createDataFrame([(full_name, user, action, utc_now())], TRACKED_SCHEMA)
-        )
+        row = self.spark.createDataFrame([(full_name, user, action, utc_now())], TRACKED_SCHEMA)
+        self._append("tracked_targets", row, few=True)
 
     # ------------------------------------------------------------ audit
 
@@ -190,7 +193,7 @@ class Warehouse:
     ) -> None:
         text = json.dumps(details) if details else None
         row = (uuid.uuid4().hex, event_type, actor_id, actor_name, target_type, target_id, text, ip_address, utc_now())
-        self.append_audit(self.spark.createDataFrame([row], AUDIT_SCHEMA))
+        self._append("audit_log", self.spark.createDataFrame([row], AUDIT_SCHEMA), few=True)
 
     def append_audit(self, events: DataFrame) -> None:
         self._append("audit_log", events)

@@ -284,19 +284,20 @@ def ingest_records(
             observed.write.mode("overwrite").partitionBy(OUTCOME).parquet(warehouse.run_path(full_name, run_id))
         processed, failed = counts.get["processed"], counts.get["failed"]
     except Exception as problem:
-        cancelled = "cancel" in str(problem).lower()
+        cancelled = run_id in warehouse.cancel_requests
         warehouse.record_run(
             {
                 **state,
                 "status": CANCELLED if cancelled else FAILED,
                 "completed_at": utc_now(),
-                "error_message": None if cancelled else str(problem)[:2000],
+                "error_message": None if cancelled else str(problem),
                 "step": 1,
             }
         )
         raise
     finally:
         spark.removeTag(run_id)
+        warehouse.cancel_requests.discard(run_id)
     if needs_tracking:
         warehouse.track(full_name, user)
         warehouse.audit("index_created", user, target_type="index", target_id=full_name)
@@ -398,6 +399,8 @@ def ingest(
 
 
 def cancel(warehouse: Warehouse, run_id: str) -> None:
+    """Stop a running ingest of this warehouse object; its run is recorded as cancelled."""
+    warehouse.cancel_requests.add(run_id)
     warehouse.spark.interruptTag(run_id)
 
 

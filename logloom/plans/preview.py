@@ -63,7 +63,7 @@ def _first_records(
     """First records of one file; reading stops once there are enough of them."""
     if fmt not in LINE_FORMATS:
         return read_logs(spark, path, fmt, pattern, max_fields=max_fields, check_tabular=True).limit(count)
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, in_order=True)
     if multiline_start and fmt in MULTILINE_FORMATS:
         # no record is longer than max_lines + 1 lines, so these hold the first records whole
         head = leading_lines(lines, count * (multiline_max_lines + 1) + 1).drop("line_no")
@@ -71,10 +71,12 @@ def _first_records(
         merged = merged.orderBy("line_id").limit(count)
         return tidy(parse_lines(merged, fmt, pattern, max_fields=max_fields, keep_unparsed=True))
     if fmt == "ndjson":
-        sample = filled_lines(lines).limit(count)
+        sample = spark.createDataFrame(filled_lines(lines).take(count), lines.schema)
         fields = collect_fields(field_profile(map_entries(json_records(sample))), max_fields)
         return tidy(parse_lines(sample, fmt, fields=fields, max_fields=max_fields))
-    return tidy(parse_lines(lines, fmt, pattern, max_fields=max_fields, sample=count)).limit(count)
+    first = tidy(parse_lines(lines, fmt, pattern, max_fields=max_fields, sample=count))
+    # take() reads partition by partition from the start of the file
+    return spark.createDataFrame(first.take(count), first.schema)
 
 
 def preview_files(

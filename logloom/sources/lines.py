@@ -27,11 +27,16 @@ def as_paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None) -> DataFrame:
-    """Lines of all files. Undecodable bytes are replaced, as Spark's text source does."""
+def read_lines(
+    spark: SparkSession, paths: str | Sequence[str], separator: str | None = None, in_order: bool = False
+) -> DataFrame:
+    """Lines of all files. Undecodable bytes are replaced, as Spark's text source does.
+
+    ``in_order`` keeps the scan's own partitions, so that taking the first rows reads no further.
+    """
     options = {"lineSep": separator} if separator else {}
     lines = number_lines(spark.read.text(as_paths(paths), **options).select(*located_text()))
-    return spread(lines, "source_path", "line_id")
+    return lines if in_order else spread(lines, "source_path", "line_id")
 
 
 def located_text() -> list[Column]:

@@ -340,8 +340,13 @@ def normalised_times(spark: SparkSession, folder: str) -> DataFrame:
                      WHEN 6 THEN CAST(l_partkey AS BIGINT) END AS as_integer,
            CASE form WHEN 0 THEN l_extendedprice WHEN 1 THEN l_quantity WHEN 2 THEN 1.0 WHEN 3 THEN l_quantity * 1000
                      WHEN 4 THEN NULL WHEN 5 THEN CAST('inf' AS DOUBLE) WHEN 6 THEN CAST(l_partkey AS DOUBLE) END AS as_float,
-           CASE form WHEN 2 THEN TRUE WHEN 4 THEN l_returnflag <> 'R' END AS as_boolean,
-           CASE form WHEN 4 THEN CASE WHEN l_returnflag = 'R' THEN 'No' ELSE ' Yes ' END WHEN 2 THEN '1' END AS as_text
+           CASE form WHEN 1 THEN CASE WHEN l_quantity = 1 THEN TRUE WHEN l_quantity = 0 THEN FALSE END
+                     WHEN 2 THEN TRUE WHEN 4 THEN l_returnflag <> 'R' END AS as_boolean,
+           CASE form WHEN 0 THEN ' ' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR)
+                     WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 2 THEN '1'
+                     WHEN 3 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'e3'
+                     WHEN 4 THEN CASE WHEN l_returnflag = 'R' THEN 'No' ELSE ' Yes ' END
+                     WHEN 5 THEN 'Infinity' WHEN 6 THEN '+0_' || CAST(l_partkey AS VARCHAR) END AS as_text
     FROM (SELECT *, (l_orderkey + l_linenumber) % 8 AS form FROM lineitem)
     """,
 )
@@ -363,15 +368,14 @@ def coerced_values(spark: SparkSession, folder: str) -> DataFrame:
     )
     rendered = items.select("l_orderkey", "l_linenumber", "form", text.alias("text"))
     kind = rendered.schema["text"].dataType
-    as_text = coerce(F.col("text"), kind, "string")[0]
     return rendered.select(
         "l_orderkey",
         "l_linenumber",
         "form",
         coerce(F.col("text"), kind, "integer")[0].alias("as_integer"),
         coerce(F.col("text"), kind, "float")[0].alias("as_float"),
-        F.when(F.col("form").isin(2, 4), coerce(F.col("text"), kind, "boolean")[0]).alias("as_boolean"),
-        F.when(F.col("form").isin(2, 4, 7), as_text).alias("as_text"),
+        coerce(F.col("text"), kind, "boolean")[0].alias("as_boolean"),
+        coerce(F.col("text"), kind, "string")[0].alias("as_text"),
     )
 
 

@@ -57,14 +57,15 @@ URL = r"%{URIPROTO:scheme}://%{IPORHOST:host}%{URIPATH:path}(?:%{URIPARAM:query}
     SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
            regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
            regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
-           nullif(regexp_extract(url, '(\?[^#]*)', 1), '') AS query
+           nullif(regexp_extract(url, '(\?[^#]*)', 1), '') AS query,
+           CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment
     FROM pages
     """,
 )
 def grok_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    found = extract_fields(pages.select("page_id", F.col("url").alias("value")), compile_pattern(URL), engine="jvm")
-    return found.select("page_id", "scheme", "host", "path", "query")
+    found = extract_fields(pages.select("page_id", F.col("url").alias("value")), compile_pattern(URL))
+    return found.select("page_id", "scheme", "host", "path", "query", "fragment")
 
 
 @workload(
@@ -131,15 +132,16 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
            CAST(strpos(substr(url, s + 1), sub) - 1 + s AS BIGINT) AS section_start,
            CAST(strpos(substr(url, s + 1), sub) - 1 + s + length(sub) AS BIGINT) AS section_end
     FROM (SELECT *, strpos(url, m) - 1 AS s FROM (
-      SELECT page_id, url, regexp_extract(url, '/([a-z]{2})/[0-9]+') AS m, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS sub
-      FROM pages WHERE regexp_matches(url, '/[a-z]{2}/[0-9]+')))
+      SELECT page_id, url, nullif(regexp_extract(url, '/([a-z]{2})/[0-9]*[02468]'), '') AS m,
+             nullif(regexp_extract(url, '/([a-z]{2})/[0-9]*[02468]', 1), '') AS sub
+      FROM pages))
     """,
 )
 def spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Where in the address the language section is found; the search is not anchored."""
+    """Where in the address the language section before an even digit is found, null where there is none."""
     pages = table(spark, folder, "pages").select("page_id", F.col("url").alias("value"))
-    found = match_spans(pages, compile_pattern(r"/(?P<section>[a-z]{2})/[0-9]+", "regex"))
-    return found.filter("match_start IS NOT NULL").select(
+    found = match_spans(pages, compile_pattern(r"/(?P<section>[a-z]{2})/[0-9]*[02468]", "regex"))
+    return found.select(
         "page_id",
         *[F.col(c).cast("bigint").alias(c) for c in ("match_start", "match_end", "section_start", "section_end")],
     )

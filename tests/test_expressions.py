@@ -269,3 +269,15 @@ def test_allowlists_agree_with_the_address_library(spark):
     for row in check_allowlists(access, keys, "key").collect():
         known = row["key"] < len(ALLOWLISTS)
         assert row["allowed"] == (known and python_allowed(row["ip"], ALLOWLISTS[row["key"]])), row
+
+
+def test_marks_inside_pairs_are_kept(spark):
+    """Values may hold the characters that mark pairs internally."""
+    from logloom.functions.line_formats import logfmt_pairs, ltsv_pairs, pair_value
+
+    frame = spark.createDataFrame([("a:x\x01y\x02z\tb: q \t:e", 'a=x\x01y b="\x02 z" c= d=""')], "ltsv string, logfmt string")
+    row = frame.select(
+        *[pair_value(ltsv_pairs(F.col("ltsv")), key).alias(f"l{key}") for key in ("a", "b")],
+        *[pair_value(logfmt_pairs(F.col("logfmt")), key).alias(f"f{key}") for key in ("a", "b", "d")],
+    ).first()
+    assert tuple(row) == ("x\x01y\x02z", "q", "x\x01y", "\x02 z", None)
