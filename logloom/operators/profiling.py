@@ -16,6 +16,8 @@ from logloom.sources.lines import head_pool, leading_lines
 LOGFMT_TEST_LINES = 20
 LIKENESS = 0.7
 MAX_FIELDS = 1000
+# Columns that all records of a corpus may have together; each record keeps to MAX_FIELDS.
+MAX_COLUMNS = 20_000
 
 # Hints that a column holds times.
 TIME_WORDS = ("time", "date", "created", "updated", "timestamp", "at", "when", "ts")
@@ -217,8 +219,8 @@ def field_profile(entries: DataFrame) -> DataFrame:
 
 
 def collect_fields(profile: DataFrame, max_fields: int = MAX_FIELDS) -> list[tuple[str, str, str]]:
-    """(name, type, storage) on the driver, where they become columns; bounded by the field limit."""
-    bound = max_fields if max_fields > 0 else 100_000
+    """(name, type, storage) on the driver, where they become columns; bounded by ``MAX_COLUMNS``."""
+    bound = max(max_fields, MAX_COLUMNS) if max_fields > 0 else 100_000
     rows = profile.select("name", "type", "storage").limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} different fields")

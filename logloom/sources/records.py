@@ -40,6 +40,21 @@ def _provenance(lines: DataFrame) -> list[Column]:
     return [F.col(name) for name in PROVENANCE if name in lines.columns]
 
 
+def column_names(fields: Sequence[str]) -> list[str]:
+    """Names of the fields' columns. Column names don't tell case apart, so of fields that differ
+    only in case the second one's column ends in ``_2``, and so on."""
+    taken: dict[str, int] = {}
+    names = []
+    for name in fields:
+        chosen = name
+        while chosen.lower() in taken:
+            taken[name.lower()] += 1
+            chosen = f"{name}_{taken[name.lower()]}"
+        taken[chosen.lower()] = 1
+        names.append(chosen)
+    return names
+
+
 def filled_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(strip(F.col("value")) != "")
 
@@ -66,7 +81,7 @@ def key_value_columns(
 ) -> DataFrame:
     """The same records with known fields, straight to columns."""
     parsed = with_parsed(lines, "_pairs", _PAIR_PARSERS[fmt](F.col("value")))
-    columns = {name: pair_value(F.col("_pairs"), name) for name in fields}
+    columns = {named: pair_value(F.col("_pairs"), name) for name, named in zip(fields, column_names(fields))}
     if not keep_unparsed:
         parsed = parsed.filter(F.col("_pairs").isNotNull())
     elif RAW_FIELD in columns:
@@ -84,7 +99,8 @@ def json_records(lines: DataFrame) -> DataFrame:
 
 def flatten_map(records: DataFrame, fields: Sequence[str], record: str = "record") -> DataFrame:
     kept = [quoted(name) for name in records.columns if name != record and name not in fields]
-    return records.select(*kept, *[F.try_element_at(record, F.lit(name)).alias(name) for name in fields])
+    values = [F.try_element_at(record, F.lit(name)).alias(named) for name, named in zip(fields, column_names(fields))]
+    return records.select(*kept, *values)
 
 
 # ---------------------------------------------------------------- JSON objects to columns
@@ -105,10 +121,13 @@ def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MA
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     objects = filled_lines(lines).withColumn("_is_object", text.startswith("{"))
-    parsed = with_parsed(objects, "_row", F.from_json(F.when(F.col("_is_object"), text), schema, options))
+    row = F.from_json(F.when(F.col("_is_object"), text), schema, options)
+    # by position, as names that differ only in case can't be told apart in a struct
+    placed = ", ".join([*[f"c{at}: variant" for at in range(len(names))], "bad: string"])
+    parsed = with_parsed(objects, "_row", row.cast(f"struct<{placed}>"))
     columns, misfits = [], []
-    for name, _, storage in fields:
-        value = F.col("_row")[name]
+    for at, ((name, _, storage), named) in enumerate(zip(fields, column_names(names))):
+        value = F.col("_row")[f"c{at}"]
         if storage in _VARIANT_TYPES:
             cast = F.try_variant_get(value, "$", _VARIANT_TYPES[storage])
             if storage != "string":
@@ -116,12 +135,12 @@ def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MA
                 misfits.append(
                     F.when(given & cast.isNull(), F.lit(f"field {name}: value does not fit type {storage}"))
                 )
-            columns.append(cast.alias(name))
+            columns.append(cast.alias(named))
         else:
-            columns.append(value.alias(name))
+            columns.append(value.alias(named))
     error = F.coalesce(
         F.when(~F.col("_is_object"), "record is not an object"),
-        F.when(F.col("_row")["_bad"].isNotNull(), "malformed JSON"),
+        F.when(F.col("_row")["bad"].isNotNull(), "malformed JSON"),
         *([F.when(too_many_fields(text, max_fields), f"more than {max_fields} fields")] if max_fields > 0 else []),
         *misfits,
         F.lit(None).cast("string"),

@@ -39,6 +39,6 @@ def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataF
 
 
 def load_all() -> dict[str, Workload]:
-    from logloom.workloads import control, formats, guards, patterns, profiles  # noqa: F401
+    from logloom.workloads import control, files, formats, guards, patterns, profiles  # noqa: F401
 
     return REGISTRY

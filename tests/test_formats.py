@@ -272,3 +272,19 @@ def test_split_files_keep_their_line_order(spark, put):
     texts = sorted((row["raw_message"] for row in rows), key=lambda text: int(text.split()[1]))
     assert texts[0] == "\n".join(["start 0", *[f" more {i}" for i in range(1, 7)]])
     assert len(texts) == 572
+
+
+def test_names_that_differ_in_case(spark, put):
+    path = put("case.ndjson", '{"User": 1, "user": "a"}\n{"user": "b", "USER": true}\n')
+    rows, frame = records(spark, path, "ndjson")
+    assert data_columns(frame) == ["User", "user_2", "USER_3"]
+    assert rows == sorted([{"User": 1, "user_2": "a"}, {"user_2": "b", "USER_3": True}], key=repr)
+    rows, _ = records(spark, put("case.log", "User=1 user=2\n"), "logfmt")
+    assert rows == [{"User": "1", "user_2": "2"}]
+
+
+def test_many_names_over_the_corpus(spark, put):
+    """Each record is small; together they have more names than one record may."""
+    path = put("wide.ndjson", "".join(json.dumps({f"k{at}": at, "id": at}) + "\n" for at in range(1100)))
+    rows, frame = records(spark, path, "ndjson")
+    assert len(data_columns(frame)) == 1101 and not [row for row in rows if "_error" in row]
