@@ -96,6 +96,11 @@ class Warehouse:
         system, location = self._file_system(path)
         return bool(system.exists(location) and system.delete(location, True))
 
+    def move(self, path: str, to: str) -> None:
+        system, location = self._file_system(path)
+        if not system.rename(location, self._file_system(to)[1]):
+            raise OSError(f"could not move {path} to {to}")
+
     def existing_targets(self) -> DataFrame:
         """(target, created_at) of the target folders under the prefix."""
         system, location = self._file_system(self.root)

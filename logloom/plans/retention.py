@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from logloom.plans.control import COMMITTED, Warehouse, utc_now
 from logloom.plans.ingest import DEAD, OUTCOME
-from logloom.session import cut_lineage
 
 KEEP, DELETE, SKIP = "keep", "delete", "skip"
 
@@ -70,11 +69,19 @@ def write_expiring(table: DataFrame, path: str, expires: str) -> None:
 
 
 def purge_expired(warehouse: Warehouse, path: str, expires: str, now: dt.datetime | None = None) -> int:
-    """Remove expired rows of such a table; only the current day's partition is rewritten."""
+    """Remove expired rows of such a table; only the current day's partition is rewritten.
+
+    Its live rows are written beside it and swapped in by two renames, under names that readers
+    skip. A purge that breaks off between them is put right by the next one.
+    """
     now = now or utc_now()
     spark: SparkSession = warehouse.spark
-    table = spark.read.option("basePath", path).parquet(path)
     today = now.date()
+    folder, aside = f"{path}/expires_on={today.isoformat()}", f"{path}/_aside-{today.isoformat()}"
+    if warehouse.exists(aside) and not warehouse.exists(folder):
+        warehouse.move(aside, folder)
+    warehouse.delete(aside)
+    table = spark.read.option("basePath", path).parquet(path)
     gone = expired_rows(table, expires, now)
     removed = gone.count()
     days = [r[0] for r in gone.filter(F.col("expires_on") < F.lit(today)).select("expires_on").distinct().collect()]
@@ -82,12 +89,11 @@ def purge_expired(warehouse: Warehouse, path: str, expires: str, now: dt.datetim
         warehouse.delete(f"{path}/expires_on={day.isoformat()}")
     edge = table.filter(F.col("expires_on") == F.lit(today))
     if not expired_rows(edge, expires, now).isEmpty():
-        kept = cut_lineage(live_rows(edge, expires, now))
-        folder = f"{path}/expires_on={today.isoformat()}"
-        if kept.isEmpty():
-            warehouse.delete(folder)
-        else:
-            kept.drop("expires_on").write.mode("overwrite").parquet(folder)
+        fresh = f"{path}/_fresh-{today.isoformat()}"
+        live_rows(edge, expires, now).drop("expires_on").write.mode("overwrite").parquet(fresh)
+        warehouse.move(folder, aside)
+        warehouse.move(fresh, folder)
+        warehouse.delete(aside)
     return removed
 
 

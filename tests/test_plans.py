@@ -233,6 +233,10 @@ def test_time_to_live_purges(spark, warehouse, put, tmp_path):
     assert K.purge_expired(warehouse, path, "expires_at", now) == 40 - len(kept)
     assert {row["id"] for row in spark.read.parquet(path).collect()} == kept
     assert K.purge_expired(warehouse, path, "expires_at", now) == 0
+    # a purge that broke off between its two renames has left the day's rows aside
+    warehouse.move(f"{path}/expires_on={now.date()}", f"{path}/_aside-{now.date()}")
+    assert K.purge_expired(warehouse, path, "expires_at", now) == 0
+    assert {row["id"] for row in spark.read.parquet(path).collect()} == kept
     result = I.ingest(warehouse, put("bad.ndjson", PEOPLE + "{x\n"), "t")
     assert K.purge_dead_letters(warehouse, 0) == []
     assert K.purge_dead_letters(warehouse, 24, utc_now() + dt.timedelta(hours=25)) == [result.run_id]
