@@ -103,11 +103,12 @@ def pattern_coverage(
 
 
 def sample_misses(
-    lines: DataFrame, pattern: CompiledPattern, value: str = "value", limit: int = 10
+    lines: DataFrame, pattern: CompiledPattern, value: str = "value", limit: int = 10, smallest: bool = False
 ) -> DataFrame:
-    """A few unmatched lines; stops reading once enough are found."""
+    """A few unmatched lines; stops reading once enough are found, unless the smallest are asked for."""
     line = quoted(value)
-    return lines.filter(~matches(line, pattern)).select(line.alias("line")).limit(limit)
+    missed = lines.filter(~matches(line, pattern)).select(line.alias("line"))
+    return (missed.orderBy("line") if smallest else missed).limit(limit)
 
 
 def match_spans(lines: DataFrame, pattern: CompiledPattern, value: str = "value") -> DataFrame:

@@ -23,7 +23,7 @@ from logloom.operators.mapping import DEFAULT_FILENAME_FIELD, map_fields
 from logloom.operators.profiling import MAX_FIELDS, detect_formats, format_agreement
 from logloom.plans.control import CANCELLED, COMMITTED, COMPLETED, FAILED, IN_PROGRESS, WITH_ERRORS, Warehouse, utc_now
 from logloom.session import broadcast_if_small, quoted
-from logloom.sources.lines import as_paths, read_lines
+from logloom.sources.lines import as_paths, check_suffixes, read_lines
 from logloom.sources.records import ERROR, SOURCE, data_columns, read_logs
 
 # Characters a target name may not hold, and its greatest length.
@@ -369,6 +369,7 @@ def ingest(
         raise TargetError(problem)
     guard_target(warehouse, warehouse.full_name(target))
     files = as_paths(paths)
+    check_suffixes(files)
     if isinstance(pattern, str):
         pattern = compile_pattern(pattern, pattern_kind, components)
     fmt = fmt or ("custom" if pattern is not None else agreed_format(warehouse, files))

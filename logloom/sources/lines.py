@@ -95,6 +95,14 @@ def raw_sample(spark: SparkSession, paths: str | Sequence[str], limit: int = 10)
     return spark.read.text(as_paths(paths)[0]).limit(limit)
 
 
+def check_suffixes(paths: str | Sequence[str]) -> None:
+    """Error for files of other kinds than ``ACCEPTED_SUFFIXES``; folders and globs are left alone."""
+    for path in as_paths(paths):
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if "." in name and not any(sign in name for sign in "*?[{") and not name.lower().endswith(ACCEPTED_SUFFIXES):
+            raise ValueError(f"file {name!r} is not of an accepted kind: {', '.join(ACCEPTED_SUFFIXES)}")
+
+
 def check_total_size(spark: SparkSession, paths: str | Sequence[str], limit_bytes: int) -> int:
     """Optional guard: total input size from the file listing alone, error beyond the limit."""
     files = spark.read.format("binaryFile").load(as_paths(paths)).select("length")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.grok_library import component_dictionary
 from logloom.functions.regexes import compile_pattern
 from logloom.operators.multiline import merge_lines
-from logloom.operators.patterns import extract_fields, match_spans, pattern_coverage
+from logloom.operators.patterns import extract_fields, match_spans, pattern_coverage, sample_misses
 from logloom.sources.lines import lines_from_column
 from logloom.workloads import spread_table, table, workload
 from logloom.workloads.formats import as_lines
@@ -125,6 +125,20 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_coverage(lines, {name: compile_pattern(text) for name, text in COVERAGE.items()})
 
 
+@workload(
+    "pattern_misses",
+    r"""
+    WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT line FROM l WHERE NOT regexp_matches(line, '^(?:TRACE|DEBUG|INFO|NOTICE|WARN|ERR|CRIT|FATAL|SEVERE|EMERG)')
+    ORDER BY line LIMIT 25
+    """,
+)
+def misses(spark: SparkSession, folder: str) -> DataFrame:
+    """The smallest lines that don't start with a level."""
+    lines = lines_from_column(spread_table(spark, folder, "documents", "doc_id"), "text", "doc_id")
+    return sample_misses(lines, compile_pattern(COVERAGE["level"]), limit=25, smallest=True)
+
+
 @workload(
     "match_spans",
     r"""

@@ -288,3 +288,9 @@ def test_many_names_over_the_corpus(spark, put):
     path = put("wide.ndjson", "".join(json.dumps({f"k{at}": at, "id": at}) + "\n" for at in range(1100)))
     rows, frame = records(spark, path, "ndjson")
     assert len(data_columns(frame)) == 1101 and not [row for row in rows if "_error" in row]
+
+
+def test_accepted_suffixes():
+    lines_module.check_suffixes(["/in/a.LOG", "/in/b.ndjson", "/in/folder", "/in/*.gz"])
+    with pytest.raises(ValueError, match="b.exe"):
+        lines_module.check_suffixes("/in/b.exe")
