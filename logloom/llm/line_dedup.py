@@ -152,7 +152,8 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
     than any other.
     """
     counted = lines.groupBy("high", "low").agg(
-        F.count(F.when(F.col("first"), 1)).alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(NO_DOCUMENT)).alias("last")
+        F.count(F.when(F.col("first"), 1)).alias("n_docs"),
+        F.coalesce(F.max("doc_id"), F.lit(NO_DOCUMENT)).alias("last"),
     )
     return (
         counted.withColumn("shard", F.pmod(F.col("high"), F.lit(shards)))

@@ -166,7 +166,9 @@ def nearest(
     the smallest of its vectors. No rows, no results.
     """
     good = stored(
-        vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("q"))
+        vectors.select(
+            F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("q")
+        )
         .where(F.col("vec_id").isNotNull() & usable("vector"))
         .select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "q")
     )

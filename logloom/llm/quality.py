@@ -182,7 +182,8 @@ def rule_cutoffs(stats: DataFrame, labels: DataFrame, false_rejection: float, er
         histograms = np.zeros((2, LEVELS + 1), dtype=np.int64)
         np.add.at(histograms, (group["quality"].to_numpy(np.int64), group["level"].to_numpy(np.int64)), group["count"])
         cutoff = chosen_cutoff(histograms[1], histograms[0], share, chance)
-        return pd.DataFrame({"stratum": [group["stratum"].iloc[0]], "rule": [group["rule"].iloc[0]], "cutoff": [cutoff]})
+        own = group.iloc[0]
+        return pd.DataFrame({"stratum": [own["stratum"]], "rule": [own["rule"]], "cutoff": [cutoff]})
 
     chosen = counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int")
     return chosen.groupBy("stratum").agg(

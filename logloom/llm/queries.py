@@ -66,19 +66,21 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
 
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     half = F.when(F.col("turn") >= 1, name_at(F.floor(F.col("turn") / 2)))
+    names = F.array(*[F.lit(name) for name in ("search", "lookup", "translate", "weigh")])
     call = F.struct(
         F.when(known, name_at(F.col("turn"))).alias("id"),
-        F.element_at(F.array(*[F.lit(name) for name in ("search", "lookup", "translate", "weigh")]), F.coalesce(F.col("turn") % 4, F.lit(0)).cast("int") + 1).alias("name"),
+        F.element_at(names, F.coalesce(F.col("turn") % 4, F.lit(0)).cast("int") + 1).alias("name"),
         F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"))).alias("arguments"),
         F.array(F.when(known, half)).alias("after"),
     )
+    answered = (F.col("role") == "user") & known & (F.col("turn") >= 1)
     return conversations.select(
         "conv_id",
         "turn",
         F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
         "text",
         F.when(F.col("role") == "assistant", F.array(call)).alias("tool_calls"),
-        F.when((F.col("role") == "user") & known & (F.col("turn") >= 1), name_at(F.col("turn") - 1)).alias("tool_call_id"),
+        F.when(answered, name_at(F.col("turn") - 1)).alias("tool_call_id"),
     )
 
 
@@ -150,7 +152,8 @@ _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 SQL: dict[str, str] = {
     "op3_tool_calls": """
 WITH RECURSIVE base AS (
-    SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || '-' || turn END AS own FROM conversations
+    SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || '-' || turn END AS own
+    FROM conversations
 ),
 said AS (
     SELECT conv_id, own AS id, count(*) AS n_calls, min({'turn': turn, 'text': text}) AS first
@@ -163,7 +166,8 @@ calls AS (
     FROM said
 ),
 answers AS (
-    SELECT conv_id, conv_id || '-' || (turn - 1) AS id, count(*) AS n_results, min({'turn': turn, 'text': text}) AS result
+    SELECT conv_id, conv_id || '-' || (turn - 1) AS id, count(*) AS n_results,
+           min({'turn': turn, 'text': text}) AS result
     FROM base WHERE role = 'user' AND own IS NOT NULL AND turn >= 1 GROUP BY ALL
 ),
 ranked AS (
@@ -285,7 +289,8 @@ often AS (
     GROUP BY key HAVING count(DISTINCT rid) >= 5
 ),
 marked AS (
-    SELECT k.*, o.key IS NOT NULL AND o.last IS DISTINCT FROM k.doc_id AS gone FROM keyed k LEFT JOIN often o USING (key)
+    SELECT k.*, o.key IS NOT NULL AND o.last IS DISTINCT FROM k.doc_id AS gone
+    FROM keyed k LEFT JOIN often o USING (key)
 )
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256

@@ -358,7 +358,10 @@ def repeated_spans(
     context = ["gram_hash", "high", "low"]
     place = F.struct("text_1", "text_2", "place")
     classes = found.groupBy(*context).agg(
-        F.count("*").alias("n"), F.min(place).alias("at"), F.first("before").alias("before"), F.first("after").alias("after")
+        F.count("*").alias("n"),
+        F.min(place).alias("at"),
+        F.first("before").alias("before"),
+        F.first("after").alias("after"),
     )
     # anchors that occur once, most of them, end here
     grams = classes.groupBy("gram_hash").agg(
@@ -375,7 +378,9 @@ def repeated_spans(
     asked = wanted.join(one_each, ["text_1", "text_2"])
     texts = keyed.join(
         asked.withColumnsRenamed({"text_1": "t1", "text_2": "t2"}),
-        (F.col("text_1") == F.col("t1")) & (F.col("text_2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("first")),
+        (F.col("text_1") == F.col("t1"))
+        & (F.col("text_2") == F.col("t2"))
+        & F.col("doc_id").eqNullSafe(F.col("first")),
     )
     contexts = stored(
         read_contexts(texts.select(data.alias("data"), "places"), length).join(
@@ -396,24 +401,28 @@ def repeated_spans(
         (F.col("place") - F.col("left")).alias("start"),
         (F.col("place") + F.col("right")).alias("end"),
     )
-    lists = ranges.groupBy("text_1", "text_2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
-    merged = F.aggregate(
-        "ranges",
-        F.array().cast("array<struct<start: bigint, end: bigint>>"),
-        lambda done, one: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= one["start"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], one["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(one))),
+    lists = ranges.groupBy("text_1", "text_2").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges")
     )
-    return lists.select("text_1", "text_2", merged.alias("spans")), keyed
+
+    def merge(batch: pa.RecordBatch) -> dict[str, object]:
+        merged = [united([(one["start"], one["end"]) for one in own]) for own in batch.column(2).to_pylist()]
+        spans = [[{"start": start, "end": end} for start, end in own] for own in merged]
+        return {"text_1": batch.column(0), "text_2": batch.column(1), "spans": spans}
+
+    schema = "text_1 long, text_2 long, spans array<struct<start: long, end: long>>"
+    return map_slices(lists, merge, schema), keyed
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges without overlaps and neighbours."""
+    out: list[tuple[int, int]] = []
+    for start, end in ranges:
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, **sizes: int) -> DataFrame:
@@ -435,11 +444,14 @@ def remove_repeats(documents: DataFrame, length: int = 400, **sizes: int) -> Dat
     affected = spans.join(one_each, ["text_1", "text_2"]).withColumnsRenamed({"text_1": "t1", "text_2": "t2"})
     cut = keyed.join(
         affected,
-        (F.col("text_1") == F.col("t1")) & (F.col("text_2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("first")),
+        (F.col("text_1") == F.col("t1"))
+        & (F.col("text_2") == F.col("t2"))
+        & F.col("doc_id").eqNullSafe(F.col("first")),
     ).select("text_1", "text_2", F.col("text").cast("binary").alias("data"), "spans")
 
     def handle(batch: pa.RecordBatch) -> dict[str, object]:
-        out: dict[str, list] = {name: [] for name in ("text_1", "text_2", "n_removed", "n_spans", "kept_sha256", "kept")}
+        names = ("text_1", "text_2", "n_removed", "n_spans", "kept_sha256", "kept")
+        out: dict[str, list] = {name: [] for name in names}
         for text_1, text_2, data, ranges in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             parts, done = [], 0
             for one in ranges:

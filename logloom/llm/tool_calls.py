@@ -81,7 +81,8 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     parsed = calls.withColumn("parsed", F.try_parse_json("arguments"))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    given = F.when(is_object, F.expr("transform_values(cast(parsed AS map<string, variant>), (k, v) -> schema_of_variant(v))"))
+    kinds = F.expr("transform_values(cast(parsed AS map<string, variant>), (k, v) -> schema_of_variant(v))")
+    given = F.when(is_object, kinds)
     joined = parsed.withColumn("given", given).join(broadcast_checked(stored(tools)), "name", "left")
 
     def labelled(kind: str, names: Column) -> Column:
@@ -96,7 +97,9 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         return F.transform(F.filter("rules", keep), lambda rule: rule["parameter"])
 
     known = F.transform("rules", lambda rule: rule["parameter"])
-    missing = names(lambda rule: F.coalesce(rule["required"], F.lit(False)) & ~F.map_contains_key("given", rule["parameter"]))
+    missing = names(
+        lambda rule: F.coalesce(rule["required"], F.lit(False)) & ~F.map_contains_key("given", rule["parameter"])
+    )
     errors = (
         F.when(F.col("given").isNull(), F.array(F.lit("malformed")))
         .when(F.col("rules").isNull(), F.array(F.lit("unknown_tool")))
@@ -164,7 +167,8 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     asked = calls.select("conv", "key", F.explode(F.array_distinct("after")).alias("after")).where("after IS NOT NULL")
     asked = asked.withColumn("need", F.concat(F.lit("i"), "after"))
     present = calls.select("conv", F.col("key").alias("need"))
-    needs = asked.join(present, ["conv", "need"]).select(F.col("conv").alias("conv_id"), F.col("key").alias("id"), "need")
+    met = asked.join(present, ["conv", "need"])
+    needs = met.select(F.col("conv").alias("conv_id"), F.col("key").alias("id"), "need")
     unmet = (
         asked.join(present, ["conv", "need"], "left_anti")
         .groupBy("conv", "key")
