@@ -19,6 +19,8 @@ from logloom.operators.multiline import merge_by_nesting
 from logloom.sources.lines import read_lines
 
 FRAGMENT_END = ","
+# Commas of one element at most; an array that never closes doesn't become one record.
+MAX_FRAGMENTS = 1 << 20
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -56,6 +58,7 @@ def split_elements(fragments: DataFrame) -> DataFrame:
         start_depth=1,
         separator=FRAGMENT_END,
         rewrite=_bare,
+        max_lines=MAX_FRAGMENTS,
     )
     return elements.withColumn("value", strip(F.col("value"))).filter(F.col("value") != "")
 
