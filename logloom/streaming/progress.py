@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections import deque
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,16 +72,25 @@ def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 
 class ProgressFeed(StreamingQueryListener):
-    """Keeps the latest progress rows of all queries; ``table`` turns them into a DataFrame."""
+    """Keeps the progress rows of all queries, every ``flush_rows`` of them as a file under ``path``."""
 
-    def __init__(self, keep: int = 10_000):
-        self._rows: deque[tuple] = deque(maxlen=keep)
+    def __init__(self, spark: SparkSession, path: str, flush_rows: int = 1000):
+        self._spark, self._path, self._flush_rows = spark, path, flush_rows
+        self._rows: list[tuple] = []
+        self._lock = Lock()
+        self._write([])
+
+    def _write(self, rows: list[tuple]) -> None:
+        self._spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self._path)
 
     def onQueryStarted(self, event: QueryStartedEvent) -> None:
         pass
 
     def onQueryProgress(self, event: QueryProgressEvent) -> None:
-        self._rows.append(_row(json.loads(event.progress.json)))
+        with self._lock:
+            self._rows.append(_row(json.loads(event.progress.json)))
+        if len(self._rows) >= self._flush_rows:
+            self.flush()
 
     def onQueryIdle(self, event: QueryIdleEvent) -> None:
         pass
@@ -89,5 +98,12 @@ class ProgressFeed(StreamingQueryListener):
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
         pass
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self._rows), PROGRESS_SCHEMA)
+    def flush(self) -> None:
+        with self._lock:
+            rows, self._rows = self._rows, []
+        if rows:
+            self._write(rows)
+
+    def table(self) -> DataFrame:
+        self.flush()
+        return self._spark.read.schema(PROGRESS_SCHEMA).parquet(self._path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import json
 
 import pytest
@@ -17,7 +18,7 @@ from logloom.plans.control import AUDIT_EVENTS, COMPLETED, FAILED, PENDING, WITH
 from logloom.plans.preview import describe, preview_files
 from logloom.streaming.guards import stream_admission, stream_lockout
 from logloom.streaming.ingest import start_ingest
-from logloom.streaming.progress import progress_table, run_progress, with_rates
+from logloom.streaming.progress import ProgressFeed, progress_table, run_progress, with_rates
 from tests.conftest import dicts
 
 PEOPLE = '{"name": "Alice", "age": 30}\n{"name": "Bob", "age": 25}\n{"name": "Charlie", "age": 35}\n'
@@ -360,3 +361,21 @@ def test_stream_guards_equal_the_replays(spark, tmp_path):
         lambda s: stream_lockout(s, "user_id", "ts", "event_id", F.col("failed"), 2, 2 * 1440, "1 hour"), "locked"
     )
     assert live.count() == 1000 and live.exceptAll(batch).count() == 0
+
+
+def test_progress_feed_keeps_every_row(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(40).repartition(4).write.parquet(folder)
+    feed = ProgressFeed(spark, str(tmp_path / "progress"), flush_rows=2)
+    spark.streams.addListener(feed)
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(folder)
+    query = stream.writeStream.queryName("fed").format("noop").option("checkpointLocation", str(tmp_path / "state"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    # events arrive on a thread of their own
+    for _ in range(60):
+        rows = feed.table().filter("input_rows > 0").collect()
+        if sum(row["input_rows"] for row in rows) == 40:
+            break
+        time.sleep(0.5)
+    spark.streams.removeListener(feed)
+    assert sum(row["input_rows"] for row in rows) == 40 and {row["query"] for row in rows} == {"fed"} and len(rows) >= 4
