@@ -153,8 +153,11 @@ def test_typed_columns_profile(spark):
     ]
 
 
-def test_field_limit_is_an_error(spark):
+def test_column_budget_is_an_error(spark, monkeypatch):
+    """More names over all records than the limit of one record are fine up to the column budget."""
     frame = spark.createDataFrame([tuple(range(5))], [f"c{i}" for i in range(5)])
+    assert len(P.collect_fields(P.field_profile(P.column_entries(frame)), 4)) == 5
+    monkeypatch.setattr(P, "MAX_COLUMNS", 4)
     with pytest.raises(ValueError, match="more than 4"):
         P.collect_fields(P.field_profile(P.column_entries(frame)), 4)
 
