@@ -10,29 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import BROADCAST_ROWS, broadcast_checked, map_slices, stored, words_of
+from logloom.llm.common import BROADCAST_ROWS, SEED, map_slices, shingles, stored
 from logloom.llm.components import connected_components
+from logloom.llm.near_copies import keep_one
+
+__all__ = ["keep_one", "fingerprint", "near_links", "simhash_groups"]
 
 BITS = 64
-SEED = 42
 BLOCK = 4096
 
 
-def shingles(text: str | None, width: int) -> list[bytes]:
-    """Runs of `width` words joined by spaces; all words if they are fewer; none without words.
-
-    A-Z is lower-cased (bytes.lower() touches nothing else).
-    """
-    words = [word.lower() for word in words_of(text)]
-    if len(words) <= width:
-        return [b" ".join(words)] if words else []
-    joined = b" ".join(words)
-    starts = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(word) + 1 for word in words], out=starts[1:])
-    ends = (starts[width:] - 1).tolist()
-    return [joined[start:end] for start, end in zip(starts.tolist(), ends, strict=False)]
-
-
 def majority_bits(pieces: list[bytes], seed: int = SEED) -> int:
     """The 64 bits that are set in over half of the pieces' hashes; 0 without pieces."""
     digest = xxhash.xxh64_intdigest
@@ -59,24 +46,6 @@ def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
     return map_slices(documents.select("doc_id", "text"), handle, "doc_id long, fp long")
 
 
-def word_fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, fp_1, fp_2) for every row: two prints of its distinct words by two seeds."""
-
-    def handle(batch: pa.RecordBatch) -> dict[str, object]:
-        words = [list(set(shingles(text, 1))) for text in batch.column(2).to_pylist()]
-        prints = [np.array([majority_bits(own, seed) for own in words], dtype=np.uint64) for seed in (SEED, SEED + 1)]
-        return {
-            "doc_id": batch.column(0),
-            "row_hash": batch.column(1),
-            "fp_1": prints[0].view(np.int64),
-            "fp_2": prints[1].view(np.int64),
-        }
-
-    row_hash = F.xxhash64(*[F.col(f"`{name}`") for name in documents.columns])
-    narrow = documents.select("doc_id", row_hash.alias("row_hash"), "text")
-    return map_slices(narrow, handle, "doc_id long, row_hash long, fp_1 long, fp_2 long")
-
-
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """2**(radius + 1) - 1 masks, one of which leaves out any `radius` given bits.
 
@@ -220,42 +189,3 @@ def simhash_groups(documents: DataFrame, width: int = 4, radius: int = 4, bucket
     return printed.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(documents: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest id, null ids last.
-
-    Near copies differ in at most `radius` bits of at least one of two prints of their distinct
-    words. A five-word shingle similarity of 0.8 means that some 2 % of the words differ. That
-    moves 10 of 64 bits of a print of five-word shingles, out of reach of covering masks, but 4
-    bits of a print of words. Of several rows with the smallest id the one with the smallest row
-    hash stays, and one of rows that are equal throughout. All texts without words are one group.
-    Columns are those of `documents`.
-    """
-    printed = stored(word_fingerprints(documents))
-    ends = printed.select("fp_1", "fp_2").distinct()
-    for at in (1, 2):
-        prints = stored(printed.select(F.col(f"fp_{at}").alias("fp")).distinct())
-        roots = stored(rooted_prints(prints, radius, bucket_rows))
-        # roots of the two prints are nodes of their own; a document connects its two
-        node = F.xxhash64(F.lit(at), "root").alias(f"node_{at}")
-        ends = ends.join(roots.select(F.col("fp").alias(f"fp_{at}"), node), f"fp_{at}")
-    ends = stored(ends)
-    groups = connected_components(ends.select(F.col("node_1").alias("a"), F.col("node_2").alias("b")).distinct())
-    grouped = ends.join(groups.select(F.col("node").alias("node_1"), F.col("component").alias("group")), "node_1")
-    rows = printed.groupBy("fp_1", "fp_2", "doc_id", "row_hash").agg(F.count("*").alias("n"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "n")).alias("best")
-    keepers = stored(
-        rows.join(grouped.select("fp_1", "fp_2", "group"), ["fp_1", "fp_2"])
-        .groupBy("group")
-        .agg(best)
-        .select(
-            F.col("best.doc_id").alias("__id"), F.col("best.row_hash").alias("__hash"), F.col("best.n").alias("__n")
-        )
-    )
-    names = [F.col(f"`{name}`") for name in documents.columns]
-    kept = documents.join(
-        keepers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(*names) == F.col("__hash"))
-    )
-    single = kept.where("__n = 1").select(*names)
-    return single.unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*names))
