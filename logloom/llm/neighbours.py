@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from logloom.llm.common import stored
 
 LEAF_ROWS = 256
-SLACK = 1e-9
 
 
 class VantageTree:
@@ -34,6 +33,7 @@ class VantageTree:
     def _measure(self) -> None:
         self.norms = np.linalg.norm(self.vectors, axis=1)
         self.units = self.vectors / self.norms[:, None]
+        self.slack = chord_slack(self.vectors.shape[1])
 
     def pack(self) -> bytes:
         """Ids, vectors in tree order, and nodes; norms and unit vectors are made anew."""
@@ -92,7 +92,7 @@ class VantageTree:
             for half, (low_row, high_row, low, high) in enumerate(halves):
                 own = nearer == (half == turn)
                 gap = np.maximum(np.maximum(low - apart[own], apart[own] - high), 0.0)
-                open_ = gap <= best.radius(some[own]) / factor + SLACK
+                open_ = gap <= best.radius(some[own]) / factor + self.slack
                 self._visit(low_row, high_row, some[own][open_], best, factor)
 
 
@@ -100,6 +100,16 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def chord_slack(width: int) -> float:
+    """What rounding may add to or take from a gap less a radius, of vectors with `width` components.
+
+    A cosine is off by less than 2 * width + 16 units of the last place, and the root of twice
+    that is the most a chord is off, as it is between equal vectors. Three chords are compared:
+    the query's, the half's bound and the radius.
+    """
+    return 3 * float(np.sqrt(2 * (2 * width + 16) * np.finfo(np.float64).eps))
+
+
 class Best:
     """The k best rows so far of every query: largest cosine, ties to the smaller id."""
 

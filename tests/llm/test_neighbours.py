@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm.neighbours import nearest
+from logloom.llm.neighbours import VantageTree, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard string, rank int"
 
@@ -77,3 +77,23 @@ def test_few_and_no_rows(spark):
     assert ask(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0])], k=5)[0][0] == (2, 1.0)
     repeated = ask(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], k=5)
     assert [one for one, _ in repeated[0]] == [1, 1]
+
+
+def test_smallest_ids_of_many_equal_vectors():
+    """A third of a shard's vectors are copies; queries among them get the copies with the smallest ids."""
+    missed = []
+    for seed in range(150):
+        state = np.random.default_rng(seed)
+        rows = state.normal(size=(3600, 64)).astype(np.float32).astype(np.float64)
+        copies = state.permutation(3600)[:1200]
+        rows[copies] = rows[copies[0]]
+        ids = np.arange(3600)
+        queries = np.concatenate([np.sort(copies)[-int(state.integers(1, 9)) :], [int(state.integers(0, 3600))]])
+        queries = queries[np.isin(queries, copies)]
+        tree = VantageTree(ids, rows)
+        found, _ = tree.search(queries, rows[queries], 5, 1.0)
+        for query, own in zip(queries, found, strict=True):
+            want = [at for at in np.sort(copies) if at != query][:5]
+            if tree.ids[own].tolist() != want:
+                missed.append((seed, query))
+    assert not missed
