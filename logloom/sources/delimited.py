@@ -231,11 +231,20 @@ def read_delimited(
     """
     paths = as_paths(paths)
     lines = read_lines(spark, paths)
-    by_file = broadcast_if_small(file_layouts(lines, delimiter))
+    table = _tabular(spark, paths, lines, broadcast_if_small(file_layouts(lines, delimiter)), check_tabular)
+    if table is None:
+        raise ValueError("no data to read")
+    return table
+
+
+def _tabular(
+    spark: SparkSession, paths: Sequence[str] | None, lines: DataFrame, by_file: DataFrame, check_tabular: bool
+) -> DataFrame | None:
+    """The table of all files in ``by_file``; ``paths`` are the files of ``lines``, None if these are a part."""
     layouts = [tuple(row) for row in by_file.select("delimiter", "header").distinct().collect()]
     layouts.sort(key=lambda layout: (layout[1], layout[0]))
     if not layouts:
-        raise ValueError("no data to read")
+        return None
     headers = [_header_names(header, one) for one, header in layouts]
     if check_tabular and not all(looks_tabular(names) for names in headers):
         raise ValueError("single wordy column: not a table, try the raw or logfmt format")
@@ -243,7 +252,7 @@ def read_delimited(
     single = len(layouts) == 1
     placed = lines.withColumn("delimiter", F.lit(delimiters[0])) if single else lines.join(by_file, "source_path")
     if placed.filter(_ends_inside(delimiters, False)).isEmpty():
-        if single:
+        if single and paths is not None:
             return _plain_read(spark, paths, headers[0], delimiters[0])
         return _parse_mixed(_without_first(lines).join(by_file, "source_path"), layouts, delimiters)
     records = quoted_records(placed, delimiters)
@@ -281,11 +290,26 @@ def spaced_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_tsv(spark: SparkSession, paths: str | Sequence[str], check_tabular: bool = False) -> DataFrame | None:
-    """Tab-separated files; None when the first line has no tab and columns are blank-separated."""
-    first = (spark.read.text(as_paths(paths)[0]).first() or [""])[0]
-    if "\t" in first:
-        return read_delimited(spark, paths, "\t", check_tabular)
-    if check_tabular and first and not looks_tabular([c for c in first.strip().split("  ") if c]):
-        raise ValueError("single wordy column: not a table, try the raw or logfmt format")
-    return None
+def read_tsv(
+    spark: SparkSession, paths: str | Sequence[str], check_tabular: bool = False
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """The table of the files with a tab in their first line, and the lines of the blank-separated others.
+
+    Each is None if there are no such files; no files at all are blank-separated ones.
+    """
+    paths = as_paths(paths)
+    lines = read_lines(spark, paths)
+    by_file = file_layouts(lines, "\t").withColumn("tabs", F.instr("header", "\t") > 0)
+    kinds = {row["tabs"] for row in by_file.select("tabs").distinct().collect()}
+    if kinds == {True}:
+        return read_delimited(spark, paths, "\t", check_tabular), None
+    if check_tabular:
+        headers = [row["header"] for row in by_file.filter("not tabs").select("header").distinct().collect()]
+        if not all(looks_tabular([c for c in header.strip().split("  ") if c]) for header in headers if header):
+            raise ValueError("single wordy column: not a table, try the raw or logfmt format")
+    if True not in kinds:
+        return None, lines
+    marked = broadcast_if_small(by_file.select("source_path", "tabs"))
+    tabbed, spaced = (lines.join(marked.filter(kind), "source_path", "left_semi") for kind in ("tabs", "not tabs"))
+    layouts = broadcast_if_small(by_file.filter("tabs").drop("tabs"))
+    return _tabular(spark, None, tabbed, layouts, check_tabular), spaced

@@ -223,9 +223,11 @@ def read_logs(
     if fmt == "csv":
         return tidy(read_delimited(spark, paths, delimiter, check_tabular))
     if fmt == "tsv":
-        table = read_tsv(spark, paths, check_tabular)
-        if table is not None:
+        table, lines = read_tsv(spark, paths, check_tabular)
+        if lines is None:
             return tidy(table)
+        records = tidy(parse_lines(lines, fmt, pattern, fields, multiline_start, multiline_max_lines, max_fields))
+        return records if table is None else _united(tidy(table), records)
     if fmt == "json_array":
         lines, line_format = read_array_elements(spark, paths), "ndjson"
     else:
@@ -241,6 +243,18 @@ def _reject_repeated_names(paths: Sequence[str]) -> None:
         raise ValueError(f"repeated file names: {', '.join(repeated)}")
 
 
+def _united(tables: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of both by name, data columns first; text where a column's types differ."""
+    types = dict(tables.dtypes)
+    alike = [
+        quoted(name).cast("string").alias(name) if types.get(name, kind) != kind else quoted(name)
+        for name, kind in records.dtypes
+    ]
+    both = tables.unionByName(records.select(*alike), allowMissingColumns=True)
+    last = [name for name in (SOURCE, ERROR, "_record") if name in both.columns]
+    return both.select(*[quoted(name) for name in both.columns if name not in last], *[F.col(name) for name in last])
+
+
 def tidy(records: DataFrame) -> DataFrame:
     hidden = set(PROVENANCE)
     internal = (ERROR, "_record")

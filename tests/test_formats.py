@@ -176,6 +176,25 @@ def test_tsv_spaces(spark, put):
     ]
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_tsv_tabs_and_spaces_in_one_set(spark, put, order):
+    """Each file is split by its own rule, whichever comes first."""
+    paths = [
+        put("tabs.tsv", "name\tage\nAnn Lee  Poe\t30\n\"a\nb\"\t31\n"),
+        put("more.tsv", "age\tcity\n32\tNew York\n"),
+        put("spaces.tsv", "name      age   zip\nBob Ray   25    x\nCy        26\n"),
+    ]
+    rows = read_logs(spark, paths[::order], "tsv").select("name", "age", "city", "zip", "_source_file").collect()
+    got = {tuple(value or None for value in row) for row in rows}
+    assert len(rows) == 5 and got == {
+        ("Ann Lee  Poe", "30", None, None, "tabs.tsv"),
+        ("a\nb", "31", None, None, "tabs.tsv"),
+        (None, "32", "New York", None, "more.tsv"),
+        ("Bob Ray", "25", None, "x", "spaces.tsv"),
+        ("Cy", "26", None, None, "spaces.tsv"),
+    }
+
+
 def test_ltsv(spark, put):
     text = "host:1.1.1.1\tmethod:GET\tpath:/a:b\nno label\na : 1   b:2  a:3\n"
     rows, _ = records(spark, put("l.ltsv", text), "ltsv")
