@@ -89,3 +89,58 @@ def map_slices(
                     )
 
     return df.mapInArrow(run, spark_schema)
+
+
+def shard_count(rows: DataFrame, shard_rows: int, least_rows: int = 1024) -> int:
+    """Shards of at most about `shard_rows`; of a small table as many as there are cores to use."""
+    count = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-count // shard_rows), min(2 * cores, count // least_rows))
+
+
+def probe_shards(
+    rows: DataFrame,
+    probes: DataFrame,
+    shards: int,
+    build: Callable[[list[pa.RecordBatch]], object],
+    probe: Callable[[object, pa.RecordBatch], dict[str, object]],
+    schema: str,
+) -> DataFrame:
+    """What the probes of each shard find in an index of the shard's rows.
+
+    Both tables have the same columns, `shard` among them. A task takes its shards one after the
+    other: it reads the rows of a shard, builds their index, and lets the probes stream through, so
+    it holds one shard and one batch of probes, however many probes there are. No row is copied
+    for another block of probes.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark_schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(spark_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, index = None, [], None
+        for batch in batches:
+            keys = 2 * batch["shard"].to_numpy().astype(np.int64) + batch["__probe"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                part, (shard, is_probe) = batch.slice(start, end - start), divmod(int(keys[start]), 2)
+                if shard != current:
+                    current, held, index = shard, [], None
+                if not is_probe:
+                    held.append(part)
+                    continue
+                if held:
+                    index, held = build(held), []
+                if index is not None:
+                    columns = probe(index, part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[field.name], type=field.type) for field in arrow], schema=arrow
+                    )
+
+    both = rows.withColumn("__probe", F.lit(0)).unionByName(probes.withColumn("__probe", F.lit(1)))
+    placed = both.repartition(shards, "shard").sortWithinPartitions("shard", "__probe")
+    return placed.mapInArrow(run, spark_schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from logloom.llm.common import map_slices, stored, worker_cache
 
 CACHE_CHUNKS = 1_000_000
-RUN_CHUNKS = 200_000
+RUN_CHUNKS = 100_000
+RUN_WORDS = 10_000
+SIGNS = string.punctuation.encode()
 END_ID = 1
 
 
@@ -24,9 +27,9 @@ class ChunkTokenizer:
     """Ids of texts by a public word tokenizer, with a cache over chunks between white space.
 
     The tokenizer's splitting never joins text across white space, so a text's ids are its chunks'
-    ids in a row. Full stops and commas that follow plain letters are split off likewise, since
-    letters and other signs never share a token. Ids are kept as little-endian bytes. The cache
-    starts anew when it is full, which bounds memory and changes no ids.
+    ids in a row. Signs that follow plain letters are split off likewise, since letters and other
+    signs never share a token. Ids are kept as little-endian bytes. The cache starts anew when it
+    is full, which bounds memory and changes no ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -35,46 +38,90 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
         """The tokenizer of this Python worker; workers live on from task to task."""
-        held = worker_cache("tokenizers")
+        held = worker_cache(cls.__name__)
         if path not in held:
             held[path] = cls(path)
         return held[path]
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [piece.decode("utf-8") for piece in pieces]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
-
-    def learn(self, chunks: list[bytes]) -> None:
-        split = {}
+        """Ids of each piece; words of plain letters are encoded as one text and parted where words end."""
+        out: dict[bytes, bytes] = {}
+        words = [piece for piece in pieces if plain_letters(piece)]
+        for start in range(0, len(words), RUN_WORDS):
+            run = words[start : start + RUN_WORDS]
+            text = b" ".join(run).decode("utf-8")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(run):
+                data, stops = ids.tobytes(), (4 * ends).tolist()
+                parts = map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))
+                out.update(zip(run, parts, strict=True))
+        others = [piece for piece in pieces if piece not in out]
+        found = self.tokenizer.encode_batch_fast([piece.decode("utf-8") for piece in others], add_special_tokens=False)
+        out.update((piece, np.array(one.ids, dtype="<u4").tobytes()) for piece, one in zip(others, found, strict=True))
+        return [out[piece] for piece in pieces]
+
+    def learn(self, chunks: Iterable[bytes]) -> None:
+        known, split = self.chunks, {}
         for chunk in chunks:
-            core = chunk.rstrip(b".,")
+            core = chunk.rstrip(SIGNS)
             split[chunk] = (core, chunk[len(core) :]) if len(core) < len(chunk) and plain_letters(core) else (chunk,)
-        known = self.chunks
         unknown = [part for part in {part for parts in split.values() for part in parts} if part not in known]
         known.update(zip(unknown, self.encode(unknown), strict=True))
-        known.update((chunk, b"".join(known[part] for part in parts)) for chunk, parts in split.items())
+        known.update((chunk, b"".join(known[part] for part in parts)) for chunk, parts in split.items() if len(parts) > 1)
 
-    def ids(self, text: str) -> bytes:
-        words, out = text.encode("utf-8").split(), []
-        for start in range(0, len(words), RUN_CHUNKS):
-            run = words[start : start + RUN_CHUNKS]
-            missing = [chunk for chunk in set(run) if chunk not in self.chunks]
+    def ids_of_run(self, run: list[bytes]) -> list[bytes]:
+        found = list(map(self.chunks.get, run))
+        if None in found:
+            missing = {chunk for chunk, ids in zip(run, found, strict=True) if ids is None}
             if len(self.chunks) + len(missing) > CACHE_CHUNKS:
                 self.chunks.clear()
-                missing = list(set(run))
-            if missing:
-                self.learn(missing)
-            out.append(b"".join(map(self.chunks.__getitem__, run)))
-        return b"".join(out)
+                missing = set(run)
+            self.learn(missing)
+            found = list(map(self.chunks.__getitem__, run))
+        return found
+
+    def ids_of(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of every text; chunks of several short texts are looked up together, long texts in runs."""
+        out: list[list[bytes]] = []
+        run: list[bytes] = []
+        spans: list[tuple[int, int]] = []
+
+        def settle() -> None:
+            found, at = self.ids_of_run(run), 0
+            for number, count in spans:
+                out[number].append(b"".join(found[at : at + count]))
+                at += count
+            run.clear()
+            spans.clear()
+
+        for number, text in enumerate(texts):
+            words = text.encode("utf-8").split()
+            out.append([])
+            for start in range(0, len(words), RUN_CHUNKS):
+                part = words[start : start + RUN_CHUNKS]
+                spans.append((number, len(part)))
+                run += part
+                if len(run) >= RUN_CHUNKS:
+                    settle()
+        settle()
+        return [b"".join(parts) for parts in out]
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
 
 
 def plain_letters(chunk: bytes) -> bool:
     """Letters of the Latin blocks whose lower case is a letter too."""
+    if chunk.isascii():
+        return chunk.isalpha()
     text = chunk.decode("utf-8")
     return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
 
@@ -97,8 +144,9 @@ def token_pieces(documents: DataFrame, tokenizer: str, most: int = 4096, with_id
     def handle(batch: pa.RecordBatch) -> dict[str, object]:
         encoder = ChunkTokenizer.of(tokenizer)
         out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for piece, start, ids in cut_ids(encoder.ids(text or "") + end, most):
+        texts = (text or "" for text in batch.column(1).to_pylist())
+        for doc_id, found in zip(batch.column(0).to_pylist(), encoder.ids_of(texts), strict=True):
+            for piece, start, ids in cut_ids(found + end, most):
                 row = (doc_id, piece, start, len(ids) // 4, zlib.crc32(ids))
                 for name, value in zip(out, row, strict=False):
                     out[name].append(value)

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm.bpe import round_trip_digests
 from logloom.llm.common import stored
+from logloom.llm.hard_negatives import mine_negatives
+from logloom.llm.lexical import rank_documents
 from logloom.llm.line_dedup import dedup_lines
 from logloom.llm.mixing import mix, word_count
 from logloom.llm.neighbours import nearest
@@ -134,6 +137,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip_digests(_table(spark, folder, "documents"), tokenizer_path())
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Build] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -145,8 +161,16 @@ QUERIES: dict[str, Build] = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "op11_bpe": op11_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical": op13_lexical,
 }
 
+_TERMS = (
+    r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+)
+
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 SQL: dict[str, str] = {
@@ -295,5 +319,54 @@ marked AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY rid
+""",
+    "op12_hard_negatives": """
+WITH good AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS alike,
+           list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM good a JOIN good c ON c.row <> a.row AND len(c.v) = len(a.v)
+    WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scored WHERE alike
+),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+    FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.alike
+    WHERE p.place <= 5 AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+""",
+    "op13_lexical": f"""
+WITH said AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_TERMS}) AS terms FROM benchmark),
+asked AS (SELECT item, item_id, unnest(terms) AS term FROM items),
+totals AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS n_docs, coalesce(sum(len(terms)), 0)::BIGINT AS n_terms FROM said
+),
+flat AS (SELECT rid, unnest(terms) AS term FROM said),
+uses AS (SELECT rid, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM uses, totals GROUP BY term
+),
+sized AS (SELECT rid, doc_id, 100 - 90 + ((90 * len(terms) * n_docs) // n_terms) AS m FROM said, totals WHERE len(terms) > 0),
+scored AS (
+    SELECT item, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN uses USING (term) JOIN weights USING (term) JOIN sized USING (rid) GROUP BY item, rid
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
