@@ -237,12 +237,15 @@ def best_fit(
 def pack(
     pieces: DataFrame,
     capacity: Capacity | None = None,
-    weights: Sequence[float] = (1.0, 0.0, 0.0),
+    weights: Sequence[float] = (1.0, 1.0, 1.0),
     rule: str = "norm",
     block_pieces: int = 8192,
 ) -> DataFrame:
     """All pieces with `sequence_id` and `offset`, packed by best fit under every capacity.
 
+    All three residuals weigh in the choice by default. With the default capacities only tokens can
+    run out, but of the sequences a piece fits, documents and attention cost help to choose.
+
     Pieces are dealt at random to blocks of about `block_pieces`, and each block is packed alone:
     a block leaves about one sequence part empty, so blocks of thousands of sequences cost next
     to nothing. Blocks follow the row's place in the stored table, so repeated rows spread out.

@@ -113,6 +113,39 @@ def test_every_capacity_holds(rule):
         best_fit(np.array([150]), capacity, (1.0, 0.0, 0.0), rule)
 
 
+def plain_best_fit(lengths, capacity, weights, rule):
+    """The choice rule looked up in every sequence ever opened."""
+    full = [capacity.tokens, capacity.documents, capacity.attention]
+    bins, out = [], [None] * len(lengths)
+    for at in sorted(range(len(lengths)), key=lambda at: -lengths[at]):
+        need = [lengths[at], 1, lengths[at] ** 2]
+        scored = []
+        for name, left in enumerate(bins):
+            if all(have >= own for have, own in zip(left, need)):
+                if rule == "dot":
+                    score = -sum(w * have / most * own / most for w, have, own, most in zip(weights, left, need, full))
+                else:
+                    score = sum(w * ((have - own) / most) ** 2 for w, have, own, most in zip(weights, left, need, full))
+                scored.append((round(score, 12), name))
+        if not scored:
+            scored.append((0, len(bins)))
+            bins.append(list(full))
+        name = min(scored)[1]
+        out[at] = name
+        bins[name] = [have - own for have, own in zip(bins[name], need)]
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), (1.0, 0.0, 0.0), (0.2, 3.0, 1.0)])
+def test_choice_rule(rule, weights):
+    random.seed(9)
+    for capacity in (Capacity(), Capacity(4096, 6, 9_000_000), Capacity(4096, 4096, 4096 * 4096 // 3)):
+        lengths = [random.choice([random.randint(1, 2300), random.randint(1, 300)]) for _ in range(400)]
+        got, _ = best_fit(np.array(lengths), capacity, weights, rule)
+        assert got.tolist() == plain_best_fit(lengths, capacity, weights, rule)
+
+
 def test_packed_ids_come_back(tokenizer, documents_of):
     rows = [(at, f"text number {at} with some words " * at) for at in range(1, 30)]
     frame = documents_of(rows)
