@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logloom.llm.queries import TOXIC_FROM
-from logloom.llm.simhash import majority_bits, shingles
 from logloom.llm.tool_calls import MESSAGE_COLUMNS, SCHEMA_COLUMNS, link_tool_calls
 from logloom.llm.toxicity import score_toxicity, train_toxicity
 from tests.llm.test_line_dedup import plain as plain_lines
+from tests.llm.test_near_copies import kept_by_brute_force
 from tests.llm.test_packing import check_packed
-from tests.llm.test_simhash import components
 
 TOOLS = [
     ("weather", "city", "string", True),
@@ -147,16 +146,9 @@ def test_pipeline_equals_brute_force(spark, documents_of, tmp_path):
     assert {at for at in range(150) if 10 + at not in {row[0] for row in clean}} == set(range(0, 150, 8))
     lines = {row[0]: row[3] for row in plain_lines([row[:2] for row in clean], 40, 5)}
     clean = [(doc_id, lines[doc_id], source) for doc_id, _, source in clean]
-    prints = [[majority_bits(list(set(shingles(text, 1))), seed) for _, text, _ in clean] for seed in (42, 43)]
-    roots = [components(own, 4) for own in prints]
-    group = list(range(len(clean)))
-    for _ in range(5):
-        for own in roots:
-            for name in set(own):
-                members = [at for at, root in enumerate(own) if root == name]
-                for at in members:
-                    group[at] = min(group[other] for other in members)
-    kept = [min((clean[at] for at in range(len(clean)) if group[at] == name), key=lambda row: row[0]) for name in set(group)]
+    kept_ids = kept_by_brute_force([(row[0], row[1] or "") for row in clean])
+    assert len(kept_ids) < len(clean)
+    kept = [row for row in clean if row[0] in kept_ids]
     sized = spark.createDataFrame(
         [(doc_id, source, len((text or "").split())) for doc_id, text, source in kept], "doc_id long, source string, size long"
     )
