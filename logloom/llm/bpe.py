@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import map_slices, worker_cache
-from logloom.llm.packing import ChunkTokenizer, plain_letters
+from logloom.llm.packing import ChunkTokenizer, byte_letters, plain_letters
 
 WORD_END = 256
 KNOWN_PAIRS = 1_000_000
@@ -149,7 +149,7 @@ class BacktrackTokenizer(ChunkTokenizer):
         self.encoder = BacktrackEncoder(strings, joined, base)
         self.added = {one["content"]: one["id"] for one in described["added_tokens"]}
         self.added_places = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
-        self.letters = str.maketrans({letter: chr(byte) for letter, byte in bytes_of.items()})
+        self.bytes_of = str.maketrans({letter: chr(byte) for letter, byte in bytes_of.items()})
 
     def word_ids(self, word: str) -> list[int]:
         return self.encoder.encode(word[:-1] + chr(WORD_END + ord(word[-1])))
@@ -172,20 +172,10 @@ class BacktrackTokenizer(ChunkTokenizer):
                 continue
             plain = self.tokenizer.normalizer.normalize_str(part)
             for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain):
-                ids += self.word_ids(word.translate(self.letters))
+                ids += self.word_ids(word.translate(self.bytes_of))
         return ids
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Printable bytes of Latin-1 stand for themselves, the others are numbered from 256 on.
-    """
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [byte for byte in range(256) if byte not in set(shown)]
-    return {chr(byte): byte for byte in shown} | {chr(256 + at): byte for at, byte in enumerate(hidden)}
-
-
 class OffsetDecoder:
     """Decoding by gathering: all tokens' UTF-8 bytes in one array, and where each token starts in it."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import string
+import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -18,7 +19,6 @@ from logloom.llm.common import map_slices, stored, worker_cache
 
 CACHE_CHUNKS = 1_000_000
 RUN_CHUNKS = 100_000
-RUN_WORDS = 10_000
 SIGNS = string.punctuation.encode()
 END_ID = 1
 
@@ -38,9 +38,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
@@ -51,19 +49,23 @@ class ChunkTokenizer:
         return held[path]
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece; words of plain letters are encoded as one text and parted where words end."""
-        out: dict[bytes, bytes] = {}
-        words = [piece for piece in pieces if plain_letters(piece)]
-        for start in range(0, len(words), RUN_WORDS):
-            run = words[start : start + RUN_WORDS]
-            text = b" ".join(run).decode("utf-8")
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(run):
-                data, stops = ids.tobytes(), (4 * ends).tolist()
-                parts = map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))
-                out.update(zip(run, parts, strict=True))
-        others = [piece for piece in pieces if piece not in out]
+        """Ids of each piece.
+
+        Normalising and splitting leave words of plain letters whole and only lower them, so these
+        go straight to the library's model, in the letters that stand for their bytes.
+        """
+        model, out = self.tokenizer.model, {}
+        others = []
+        for piece in pieces:
+            if not plain_letters(piece):
+                others.append(piece)
+                continue
+            if piece.isascii():
+                word = piece.lower().decode("ascii")
+            else:
+                word = piece.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = [token.id for token in model.tokenize(word)]
+            out[piece] = struct.pack(f"<{len(ids)}I", *ids)
         found = self.tokenizer.encode_batch_fast([piece.decode("utf-8") for piece in others], add_special_tokens=False)
         out.update((piece, np.array(one.ids, dtype="<u4").tobytes()) for piece, one in zip(others, found, strict=True))
         return [out[piece] for piece in pieces]
@@ -118,6 +120,16 @@ class ChunkTokenizer:
         return self.ids_of([text])[0]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves, the others are numbered from 256 on.
+    """
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [byte for byte in range(256) if byte not in set(shown)]
+    return {chr(byte): byte for byte in shown} | {chr(256 + at): byte for at, byte in enumerate(hidden)}
+
+
 def plain_letters(chunk: bytes) -> bool:
     """Letters of the Latin blocks whose lower case is a letter too."""
     if chunk.isascii():
