@@ -59,6 +59,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: lineage is cut and the size is known."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan, which for scans is the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logloom.operators import profiling as P
 from logloom.operators.mapping import map_fields
 from logloom.operators.multiline import merge_lines
+from logloom.operators import replay
 from logloom.operators.replay import recent_counts, replay_admission, replay_lockout, trailing_counts
 from logloom.sources import lines as lines_module
 from logloom.sources.delimited import tabular_check
@@ -347,6 +348,37 @@ def test_lockout_replay(spark, history):
     assert frame.filter("locks and (locked or attempts_left > 0)").count() == 0
 
 
+@pytest.mark.parametrize(("spread", "rounds"), [("random", 8), ("regular", 1)])
+def test_saturated_key_runs_in_blocks(spark, monkeypatch, spread, rounds):
+    """A key without any pause and a third of all rows: many tasks, same decisions as the plain machine."""
+    monkeypatch.setattr(replay, "ROUNDS", rounds)
+    random.seed(8)
+    history, at = [], 0.0
+    for _ in range(2000):
+        at += random.expovariate(1 / 2) if spread == "random" else 7
+        history.append(("hot", BEGIN + dt.timedelta(microseconds=int(at * 1e6)), random.random() < 0.9))
+    for number in range(4000):
+        moment = BEGIN + dt.timedelta(seconds=random.randrange(40_000))
+        history.append((f"calm{number % 400}", moment, random.random() < 0.9))
+    used = []
+    run_blocks = replay._run_blocks
+
+    def watched(rows, *options, **named):
+        if rows.filter("key = 'hot'").head(1):
+            used.append(rows.filter("key = 'hot'").select("block").distinct().count())
+        return run_blocks(rows, *options, **named)
+
+    monkeypatch.setattr(replay, "_run_blocks", watched)
+    events = events_of(spark, history)
+    frame = replay_admission(events, "k", "ts", "id", 3, 60, block_events=150)
+    got = {row["id"]: (row["retry_after"], row["remaining"], row["allowed"]) for row in frame.collect()}
+    assert got == one_by_one(history, 3, MINUTE, lockout=False)
+    assert used[0] >= 10
+    frame = replay_lockout(events, "k", "ts", "id", F.col("failed"), 4, 1, block_events=150)
+    got = {row["id"]: (row["failures"], row["attempts_left"], row["locked"]) for row in frame.collect()}
+    assert got == one_by_one(history, 4, MINUTE, lockout=True)
+
+
 def test_trailing_and_recent_counts(spark, history):
     times = defaultdict(list)
     for key, moment, _ in history:
