@@ -1,13 +1,17 @@
 """Admission and lockout on event streams.
 
-Events of a key are held back until the watermark has passed them and are then decided in
-event-time order; later ones are dropped by the watermark.  State per key is the short list
-of counted times plus the events still held back.
+Events of a key are held back until the watermark has passed their slot, a fraction of the rule's
+window, and are then decided in event-time order.  State per key is a list of the counted times
+(never more than the limit), a map of held events by slot, and one timer, at the end of the first
+slot held; what a trigger reads and writes is the slots it touches, however long the key's history
+is.  Later events are dropped by the watermark and counted, see :func:`late_events`.  A last timer
+clears the counted times once the window has left them, in event time; a TTL would go by the clock
+of the machines and forget counted times when an old log is replayed.
 
 A stream that has come to its end still holds the events that its watermark has not passed;
 :func:`held_admission` and :func:`held_lockout` decide those from the query's last state.
-Bound the rows of a trigger at the source (``maxFilesPerTrigger``), so that a key holds back no
-more than what arrives within the lateness and one trigger.
+Bound the rows of a trigger at the source (``maxFilesPerTrigger``): a key's rows of one trigger
+pass one task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from logloom.operators.replay import (
     ADMISSION_SECONDS,
@@ -28,76 +32,151 @@ from logloom.operators.replay import (
     UPLOADS_PER_MINUTE,
 )
 
-_STATE = "taken array<bigint>, held_at array<bigint>, held_id array<bigint>, held_failed array<boolean>"
 _OUT = "key string, at bigint, id bigint, ok boolean, first int, second int"
-_HELD = ("taken", "held_at", "held_id", "held_failed")
 _NAMES = ["key", "at", "id", "ok", "first", "second"]
+_EVENTS = "at array<bigint>, id array<bigint>, failed array<boolean>"
+# Slots of a window in which events are held together.
+SLOTS = 4
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _decider(name: str, limit: int, window: int):
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken, held = [], []
-        if state.exists:
-            taken, at, ids, failed = (list(part) for part in state.get)
-            held = list(zip(at, ids, failed))
-        for batch in batches:
-            held += zip(batch["at"], batch["id"], batch["failed"])
-        watermark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(event for event in held if event[0] <= watermark)
-        held = [event for event in held if event[0] > watermark]
-        rule = RULES[name](limit, window)
-        rule.restore([int(t) for t in taken])
-        rows = [(key[0], int(at), int(i), *rule.decide(int(at), bool(failed))) for at, i, failed in ready]
-        taken = [t for t in rule.dump() if t + window > watermark]
-        if held or taken:
-            state.update(
-                (taken, [int(e[0]) for e in held], [int(e[1]) for e in held], [bool(e[2]) for e in held])
-            )
-            wake = min(e[0] for e in held) if held else max(taken) + window
-            state.setTimeoutTimestamp(max(int(wake) // 1000 + 1, watermark // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=_NAMES)
-
-    return decide
+class GuardProcessor(StatefulProcessor):
+    """One rule over the events of each key, in event-time order."""
+
+    def __init__(self, rule: str, limit: int, window: int) -> None:
+        self.rule, self.limit, self.window = rule, limit, window
+        self.slot_ms = max(1, window // (SLOTS * 1000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getListState("taken", "at bigint")
+        self.held = handle.getMapState("held", "slot bigint", _EVENTS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        slots: dict[int, tuple[list, list, list]] = {}
+        for batch in rows:
+            for at, id_, failed in zip(batch["at"].tolist(), batch["id"].tolist(), batch["failed"].tolist()):
+                own = slots.setdefault(at // (self.slot_ms * 1000), ([], [], []))
+                for part, value in zip(own, (at, id_, bool(failed))):
+                    part.append(value)
+        known = {slot for (slot,) in self.held.keys()}
+        for slot, own in slots.items():
+            if slot in known:
+                own = tuple([*old, *new] for old, new in zip(self.held.getValue((slot,)), own))
+            self.held.updateValue((slot,), own)
+        self._wake((min(slots) + 1) * self.slot_ms)
+        return iter(())
+
+    def _wake(self, at_ms: int) -> None:
+        """Keep one timer, at the earliest moment asked for."""
+        timers = list(self.handle.listTimers())
+        if not timers or at_ms < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at_ms)
+
+    def _due(self, watermark_ms: int) -> tuple[list[tuple], int | None]:
+        """Events of all slots that the watermark has passed, taken out of the state, and the next slot."""
+        slots = sorted(slot for (slot,) in self.held.keys())
+        due = [slot for slot in slots if (slot + 1) * self.slot_ms <= watermark_ms]
+        if len(due) == len(slots):
+            found = [events for _, events in self.held.iterator()]
+            self.held.clear()
+        else:
+            found = [self.held.getValue((slot,)) for slot in due]
+            for slot in due:
+                self.held.removeKey((slot,))
+        later = slots[len(due)] if len(due) < len(slots) else None
+        return sorted(event for events in found for event in zip(*events)), later
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        events, later = self._due(watermark_ms)
+        rule = RULES[self.rule](self.limit, self.window)
+        rule.restore([int(row[0]) for row in self.taken.get()])
+        rows = [(key[0], int(at), int(id_), *rule.decide(int(at), bool(failed))) for at, id_, failed in events]
+        # events of the slot that the watermark is in may still come or be held
+        horizon = watermark_ms // self.slot_ms * self.slot_ms * 1000
+        left = [at for at in rule.dump() if at + self.window > horizon]
+        if left:
+            self.taken.put([(at,) for at in left])
+        else:
+            self.taken.clear()
+        if later is not None:
+            self.handle.registerTimer((later + 1) * self.slot_ms)
+        elif left:
+            # wake once more when the window has left them all
+            self.handle.registerTimer((left[-1] + self.window) // 1000 + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    def close(self) -> None:
+        pass
 
 
 def _decided(
     events: DataFrame, rule: str, key: str, ts: str, id_: str, failed: Column, limit: int, window: int, lateness: str
 ) -> DataFrame:
+    # processors with several states need this store; queries keep the store they were started with
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     ready = events.select(
         F.col(key).cast("string").alias("key"),
         F.col(ts).cast("timestamp").alias("ts"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
         F.col(id_).cast("bigint").alias("id"),
-        failed.alias("failed"),
+        F.coalesce(failed, F.lit(False)).alias("failed"),
     )
     return (
         ready.withWatermark("ts", lateness)
         .groupBy("key")
-        .applyInPandasWithState(
-            _decider(rule, limit, window), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(GuardProcessor(rule, limit, window), _OUT, "append", "eventTime")
     )
 
 
+def late_events(query: StreamingQuery) -> int:
+    """Events dropped because the watermark had passed them, over the query's recent triggers."""
+    return sum(
+        operator["numRowsDroppedByWatermark"] for step in query.recentProgress for operator in step["stateOperators"]
+    )
+
+
+def _read_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
 def _held(spark: SparkSession, checkpoint: str, rule: str, limit: int, window: int) -> DataFrame:
     """Decisions for the events that the last state of a finished query still holds."""
-    state = spark.read.format("statestore").load(checkpoint)
-    value = "value.groupState" if "groupState" in state.schema["value"].dataType.names else "value"
-    left = state.select(F.col("key.key").alias("key"), *[F.col(f"{value}.{name}").alias(name) for name in _HELD])
+    taken = (
+        _read_state(spark, checkpoint, "taken")
+        .groupBy(F.col("key.key").alias("key"))
+        .agg(F.array_sort(F.collect_list(F.col("list_element.at"))).alias("taken"))
+    )
+    held = _read_state(spark, checkpoint, "held").select(
+        F.col("key.key").alias("key"), F.inline(F.arrays_zip("user_map_value.at", "user_map_value.id", "user_map_value.failed"))
+    )
+    start = F.lit(None).cast("bigint")
+    rows = held.toDF("key", "at", "id", "failed").withColumn("taken", F.lit(None).cast("array<bigint>")).unionByName(
+        taken.select("key", start.alias("at"), start.alias("id"), F.lit(None).cast("boolean").alias("failed"), "taken")
+    )
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.col("taken").isNull(), "at", "id")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, own = object(), None
         for batch in batches:
-            rows = []
-            for key, taken, at, ids, failed in zip(*(batch[name] for name in ("key", *_HELD))):
-                own = RULES[rule](limit, window)
-                own.restore([int(t) for t in taken])
-                for event in sorted(zip(at, ids, failed)):
-                    rows.append((key, int(event[0]), int(event[1]), *own.decide(int(event[0]), bool(event[2]))))
-            yield pd.DataFrame(rows, columns=_NAMES)
+            out = []
+            for key, at, id_, failed, times in zip(*(batch[name] for name in ("key", "at", "id", "failed", "taken"))):
+                if key != current:
+                    current, own = key, RULES[rule](limit, window)
+                if times is not None:
+                    own.restore([int(t) for t in times])
+                else:
+                    out.append((key, int(at), int(id_), *own.decide(int(at), bool(failed))))
+            yield pd.DataFrame(out, columns=_NAMES)
 
-    return left.mapInPandas(decide, _OUT)
+    exact = ordered.select(
+        "key", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("id", F.lit(0)).alias("id"), F.coalesce("failed", F.lit(False)).alias("failed"), "taken"
+    )
+    return exact.mapInPandas(decide, _OUT)
 
 
 def _as_admission(decided: DataFrame, key: str, ts: str, id_: str) -> DataFrame:

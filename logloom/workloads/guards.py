@@ -86,6 +86,17 @@ def admission_replay(spark: SparkSession, folder: str) -> DataFrame:
     return replayed.select("event_id", "allowed", "retry_after", "remaining")
 
 
+@workload(
+    "admission_saturated",
+    _ADMISSION_SQL.replace("user_id", "event_type").replace("172800000000", "7200000000"),
+)
+def admission_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    """At most three admitted events of each type in any two hours: few keys without any pause, run in blocks."""
+    events = table(spark, folder, "events")
+    replayed = replay_admission(events, "event_type", "ts", "event_id", limit=3, window_seconds=7200, block_events=1000)
+    return replayed.select("event_id", "allowed", "retry_after", "remaining")
+
+
 _LOCKOUT_SQL = """
     WITH RECURSIVE e AS (
       SELECT event_id, user_id, epoch_us(ts) AS t_us, event_type = 'error' AS failed,
@@ -112,9 +123,16 @@ def lockout_replay(spark: SparkSession, folder: str) -> DataFrame:
     return replayed.select("event_id", "locked", "failures", "locks")
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def _event_stream(spark: SparkSession, folder: str, files: int = 2) -> DataFrame:
+    """The events as files of consecutive times, one per trigger."""
+    events = table(spark, folder, "events")
+    place = scratch_folder(spark)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = (value or 0 for value in events.agg(F.min(at), F.max(at)).first())
+    part = F.floor((at - first) * files / (last - first + 1))
+    for number in range(files):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
 
 
 def _run_to_end(decided: DataFrame, held: Callable[[str], DataFrame]) -> DataFrame:
@@ -134,7 +152,7 @@ def _run_to_end(decided: DataFrame, held: Callable[[str], DataFrame]) -> DataFra
 
 @workload("admission_stream", _ADMISSION_SQL)
 def admission_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same rule on a stream of the events file; decisions come once the watermark has passed."""
+    """The same rule on a stream of event files; decisions come once the watermark has passed."""
     keys = ("user_id", "ts", "event_id")
     rule = {"limit": 3, "window_seconds": 2 * 86400}
     decided = stream_admission(_event_stream(spark, folder), *keys, **rule, lateness="0 seconds")

@@ -16,7 +16,7 @@ from logloom.plans import reports as R
 from logloom.plans import retention as K
 from logloom.plans.control import AUDIT_EVENTS, COMPLETED, FAILED, PENDING, WITH_ERRORS, Warehouse, utc_now
 from logloom.plans.preview import describe, preview_files
-from logloom.streaming.guards import stream_admission, stream_lockout
+from logloom.streaming.guards import late_events, stream_admission, stream_lockout
 from logloom.streaming.ingest import start_ingest
 from logloom.streaming.progress import ProgressFeed, progress_table, run_progress, with_rates
 from tests.conftest import dicts
@@ -334,14 +334,18 @@ def test_continuous_ingest(spark, warehouse, put, tmp_path):
 
 
 def test_stream_guards_equal_the_replays(spark, tmp_path):
+    """Many files and triggers, a third of all rows on one key, and rows that come too late."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(999)).otherwise(F.col("user_id"))
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")
+        "event_id", user.alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")
     )
     last = spark.createDataFrame([(-1, -1, moment(28) + dt.timedelta(days=90), True)], events.schema)
+    late = spark.createDataFrame([(-2 - at, 999, moment(2), True) for at in range(7)], events.schema)
     folder = str(tmp_path / "events")
-    for part in range(3):
-        first, until = moment(1 + part * 10), moment(11 + part * 10)
+    for part in range(4):
+        first, until = moment(1 + part * 8), moment(9 + part * 8) if part < 3 else moment(28) + dt.timedelta(days=9)
         chunk = events.filter((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(until)))
+        chunk = chunk.unionByName(late) if part == 3 else chunk
         chunk.coalesce(1).write.mode("append").parquet(folder)
     last.coalesce(1).write.mode("append").parquet(folder)
 
@@ -349,6 +353,7 @@ def test_stream_guards_equal_the_replays(spark, tmp_path):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").start()
         query.processAllAvailable()
+        assert late_events(query) == 7
         query.stop()
         return spark.table(name).filter("event_id >= 0")
 
