@@ -10,8 +10,6 @@ is spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,88 +84,6 @@ def merge_by_flag(lines: DataFrame, is_start: Column, max_lines: int | None, sep
     return _assemble(_opened(flagged.join(carried, BLOCK_KEY)), max_lines, separator)
 
 
-def merge_by_nesting(
-    lines: DataFrame,
-    quotes: Column,
-    if_outside: Column,
-    if_inside: Column,
-    start_depth: int,
-    separator: str,
-    rewrite: Callable[[Column, Column, Column], Column] = lambda value, depth, change: value,
-    max_lines: int | None = None,
-) -> DataFrame:
-    """Merge lines whose starts depend on all text before them.
-
-    A line starts a record when an even number of quote marks precedes it and the nesting is
-    at ``start_depth``.  ``if_outside`` and ``if_inside`` give the line's own change of depth
-    should it begin outside or inside a quotation.  Blocks are first summed for both cases;
-    which case holds follows from the totals of the earlier blocks.  ``rewrite`` may change a
-    line's text knowing its depth and change.  Records longer than ``max_lines + 1`` lines
-    are cut, as in :func:`merge_lines`.
-    """
-    measured = with_blocks(
-        lines.withColumn("quotes", quotes).withColumn("if_out", if_outside).withColumn("if_in", if_inside)
-    )
-    before_row = Window.partitionBy(*BLOCK_KEY).orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = measured.withColumn("parity", F.pmod(F.coalesce(F.sum("quotes").over(before_row), F.lit(0)), F.lit(2)))
-    even = F.col("parity") == 0
-    # change of depth if the block begins outside (straight) or inside (flipped) a quotation
-    local = local.withColumn("straight", F.when(even, F.col("if_out")).otherwise(F.col("if_in"))).withColumn(
-        "flipped", F.when(even, F.col("if_in")).otherwise(F.col("if_out"))
-    )
-    local = local.withColumn("straight_before", F.coalesce(F.sum("straight").over(before_row), F.lit(0))).withColumn(
-        "flipped_before", F.coalesce(F.sum("flipped").over(before_row), F.lit(0))
-    )
-    # a line can only be a start under the one case in which it lies outside quotations
-    rise = F.when(even, F.col("straight_before")).otherwise(F.col("flipped_before"))
-    by_case = local.groupBy(*BLOCK_KEY, "parity", rise.alias("rise")).agg(
-        F.sum("quotes").alias("quotes"),
-        F.sum("straight").alias("straight"),
-        F.sum("flipped").alias("flipped"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.min("line_id").alias("first_id"),
-        F.max("line_id").alias("last_id"),
-    )
-    # one entry per case and depth met in the block
-    blocks = by_case.groupBy(*BLOCK_KEY).agg(
-        *[F.sum(name).alias(name) for name in ("quotes", "straight", "flipped", "n_lines")],
-        F.min("first_id").alias("first_id"),
-        F.collect_list(F.struct("parity", "rise", "last_id")).alias("cases"),
-    )
-
-    def total_before(value: Column) -> Column:
-        return F.coalesce(F.sum(value).over(earlier_blocks()), F.lit(0))
-
-    entered = (
-        blocks.withColumn("before", total_before(F.col("n_lines")))
-        .withColumn("block_parity", F.pmod(total_before(F.col("quotes")), F.lit(2)))
-        .withColumn("block_change", F.when(F.col("block_parity") == 0, F.col("straight")).otherwise(F.col("flipped")))
-        .withColumn("block_depth", total_before(F.col("block_change")))
-    )
-    starting = F.filter(
-        "cases",
-        lambda case: (case["parity"] == F.col("block_parity")) & (case["rise"] + F.col("block_depth") == start_depth),
-    )
-    last_start = F.col("before") + F.get(starting, F.lit(0))["last_id"] - F.col("first_id")
-    states = (
-        entered.withColumn("last_start", last_start)
-        .withColumn("open_start", F.max("last_start").over(earlier_blocks()))
-        .select(*BLOCK_KEY, "first_id", "before", "block_parity", "block_depth", "open_start")
-    )
-    outside_at_block = F.col("block_parity") == 0
-    placed = (
-        local.join(states, BLOCK_KEY)
-        .withColumn("change", F.when(outside_at_block, F.col("straight")).otherwise(F.col("flipped")))
-        .withColumn(
-            "depth",
-            F.col("block_depth") + F.when(outside_at_block, F.col("straight_before")).otherwise(F.col("flipped_before")),
-        )
-        .withColumn("is_start", (F.col("depth") == start_depth) & (F.col("parity") == F.col("block_parity")))
-        .withColumn("value", rewrite(F.col("value"), F.col("depth"), F.col("change")))
-    )
-    return _assemble(_opened(placed), max_lines, separator)
-
-
 def merge_lines(
     lines: DataFrame,
     start_pattern: str | CompiledPattern,

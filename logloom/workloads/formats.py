@@ -123,7 +123,12 @@ def json_array_elements(spark: SparkSession, folder: str) -> DataFrame:
     arrays = documents.select(
         "doc_id", F.concat(F.lit(" ["), first, F.lit(", "), second, F.lit(",\n"), third, F.lit("]\n")).alias("body")
     )
-    elements = split_elements(lines_from_column(arrays, "body", "doc_id", ","))
+    name = F.col("doc_id").cast("string")
+    start = F.lit(0).cast("bigint")
+    texts = arrays.select(
+        name.alias("source_path"), name.alias("source_file"), start.alias("split_start"), start.alias("line_id"), F.col("body").alias("value")
+    )
+    elements = split_elements(texts, whole=True)
     parsed = elements.withColumn("r", F.from_json("value", "text string, lang string, n_chars bigint, pair array<int>"))
     position = F.when(F.col("r.text").isNotNull(), 1).when(F.col("r.lang").isNotNull(), 2).otherwise(3)
     return parsed.select(

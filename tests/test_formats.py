@@ -11,6 +11,7 @@ from logloom.functions.regexes import compile_pattern
 from logloom.sources import delimited, lines as lines_module
 from logloom.sources import lines as lines_module
 from logloom.sources.lines import check_total_size, raw_sample, read_lines
+from logloom.sources import json_arrays
 from logloom.sources.records import data_columns, parse_lines, read_logs
 from tests.conftest import dicts
 
@@ -39,13 +40,43 @@ def test_empty_json_array(spark, put, text):
     assert frame.count() == 0
 
 
-def test_json_array_structure_in_strings_and_blocks(spark, put, monkeypatch):
-    monkeypatch.setattr(lines_module, "BLOCK_LINES", 4)
-    items = [{"i": i, "s": 'a,b]}"{[\\' * (i % 3), "n": {"k": [1, {"z": [i]}], "e": {}}} for i in range(60)]
-    path = put("nested.json", "  " + json.dumps(items, separators=(",", ":")) + "\n")
-    frame = read_logs(spark, path, "json_array").orderBy("i")
-    got = [(row["i"], row["s"], json.loads(row["n"].toJson())) for row in frame.collect()]
-    assert got == [(item["i"], item["s"], item["n"]) for item in items]
+@pytest.mark.parametrize(("split_bytes", "buffer"), [("400", 1 << 20), ("2k", 16)])
+def test_json_array_over_splits(spark, put, monkeypatch, split_bytes, buffer):
+    """Splits end anywhere: in strings, after backslashes, in long elements, in white space."""
+    monkeypatch.setattr(json_arrays, "BUFFER_BYTES", buffer)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        items = [{"i": i, "s": 'a,b]}"{[\\' * (i % 3), "n": {"k": [1, {"z": [i]}], "e": {}}} for i in range(60)]
+        items[30]["s"] = '",]\\",' * 300
+        text = "\ufeff  " + json.dumps(items, separators=(",", ":")) + "\n" + " " * 400
+        elements = json_arrays.read_array_elements(spark, put("nested.json", text)).orderBy("split_start", "line_id")
+        assert [json.loads(row["value"]) for row in elements.collect()] == items
+        rows = read_logs(spark, put("n2/nested.json", text), "json_array").orderBy("i").collect()
+        assert [(row["i"], row["s"], json.loads(row["n"].toJson())) for row in rows] == [
+            (item["i"], item["s"], item["n"]) for item in items
+        ]
+        plain = json.dumps([1, "x,y", None, [2, [3, "]"]], {}], indent=1) + "[7, 8]"
+        elements = json_arrays.read_array_elements(spark, put("plain.json", plain)).orderBy("split_start", "line_id")
+        assert [json.loads(row["value"]) for row in elements.collect()] == [1, "x,y", None, [2, [3, "]"]], {}, 7, 8]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_broken_json_arrays(spark, put, monkeypatch):
+    """Text outside of an array, an array that never closes, and an element beyond the limit are bad records."""
+    monkeypatch.setattr(json_arrays, "BUFFER_BYTES", 50)
+    monkeypatch.setattr(json_arrays, "MAX_ELEMENT_BYTES", 300)
+
+    def outcome(name, text):
+        rows = read_logs(spark, put(name, text), "json_array").collect()
+        return sorted(row["a"] for row in rows if row["a"] is not None), sum(row["a"] is None for row in rows)
+
+    good = [{"a": at} for at in range(20)]
+    assert outcome("tail.json", json.dumps(good) + " rest") == (list(range(20)), 1)
+    unclosed = json.dumps(good)[:-1] + ', {"a": 99, "b": ["x", '
+    assert outcome("open.json", unclosed) == (list(range(20)), 1)
+    long_one = [*good, {"a": 50, "b": "y," * 400}, {"a": 51}]
+    assert outcome("long.json", json.dumps(long_one)) == ([*range(20), 51], 1)
 
 
 def test_ndjson_with_blank_and_bad_lines(spark, put):
