@@ -230,8 +230,11 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, **
     documents loses all its lines except in the document with the largest id that holds it. A null
     or empty text is one empty line and stays as it is, a null as null. Rows count as documents
     even if they repeat an id; rows of the largest id all keep the line. A null id is the smallest.
-    Input columns of the two result names are replaced.
+    Input columns of the two result names are replaced. Counts are kept in 16 bits, so `min_docs`
+    can't be over 65535.
     """
+    if min_docs > np.iinfo(np.uint16).max:
+        raise ValueError("min_docs must be at most 65535")
     others = [name for name in documents.columns if name not in ("n_lines", "n_dropped")]
     base = documents.select(*[F.col(f"`{name}`") for name in others])
     drops = stored(repeated_lines(base, min_chars, min_docs, **sizes)).select(

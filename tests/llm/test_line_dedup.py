@@ -73,3 +73,8 @@ def test_keys_that_agree_in_64_bits():
         {"high": [7, 7, 7, 8], "low": [1, 2, 1, 3], "own": [1, 1, 50, 1], "text_hash": [0] * 4, "line": [0, 1, 2, 3]}
     )
     assert prober(5)(index, probes)["line"].tolist() == [0]
+
+
+def test_counts_have_a_limit(documents_of):
+    with pytest.raises(ValueError):
+        dedup_lines(documents_of([(1, "x")]), min_docs=65536)
