@@ -11,6 +11,7 @@ from logloom.plans.control import Warehouse
 from logloom.plans.ingest import ingest, read_dead_letters, read_target
 from logloom.plans.preview import preview_files
 from logloom.session import scratch_folder
+from logloom.sources.lines import raw_sample
 from logloom.sources.records import read_logs
 from logloom.streaming.ingest import start_ingest
 from logloom.streaming.progress import progress_table
@@ -39,6 +40,63 @@ def csv_files(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("id", "lang", F.md5("text").alias("text_md5"), "size")
 
 
+@workload(
+    "mixed_tsv_files",
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(NULL AS VARCHAR) AS size FROM customer
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, CAST(p_size AS VARCHAR) FROM part
+    """,
+)
+def mixed_tsv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with tabs and files with runs of blanks between their cells, in one read."""
+    place = scratch_folder(spark)
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    customers.write.options(header=True, sep="\t").csv(f"{place}/tabs")
+    parts = table(spark, folder, "part").select(F.concat_ws("   ", "p_size", "p_partkey").alias("size    id"))
+    parts.write.options(header=True).csv(f"{place}/blanks")
+    return read_logs(spark, [f"{place}/tabs", f"{place}/blanks"], "tsv").select("id", "name", "size")
+
+
+def _order_log(spark: SparkSession, folder: str) -> str:
+    """Orders as one log file in the order of their keys."""
+    line = F.concat(F.lit("key="), "o_orderkey", F.lit(' status="'), "o_orderstatus", F.lit('" ok'))
+    place = scratch_folder(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", line.alias("value"))
+    orders.coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(place)
+    return place
+
+
+@workload(
+    "raw_line_sample",
+    """
+    SELECT 'key=' || o_orderkey || ' status="' || o_orderstatus || '" ok' AS value FROM orders ORDER BY o_orderkey LIMIT 10
+    """,
+)
+def raw_line_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten lines of a log file, as a preview shows them."""
+    return raw_sample(spark, _order_log(spark, folder))
+
+
+@workload(
+    "reparsed_preview",
+    """
+    WITH shown AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
+    SELECT 'raw' AS fmt, 'key=' || o_orderkey || ' status="' || o_orderstatus || '" ok' AS raw_message,
+           CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS status FROM shown
+    UNION ALL SELECT 'logfmt', NULL, CAST(o_orderkey AS VARCHAR), o_orderstatus FROM shown
+    """,
+)
+def reparsed_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """The same file previewed as raw lines and then, with other fields, as logfmt."""
+    place = _order_log(spark, folder)
+    shown = None
+    for fmt in ("raw", "logfmt"):
+        own = preview_files(spark, place, fmt)
+        part = own.records.select(F.lit(fmt).alias("fmt"), *[name for name, _ in own.fields])
+        shown = part if shown is None else shown.unionByName(part, allowMissingColumns=True)
+    return shown
+
+
 def _event_files(spark: SparkSession, folder: str) -> str:
     """Events as JSON lines, some of them cut short."""
     events = spread_table(spark, folder, "events", "event_id")
@@ -77,8 +135,8 @@ def ingested_events(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'one' AS run_id, 'completed_with_errors' AS status, count(*) AS total,
            count(*) FILTER (event_id % 97 <> 0) AS accepted, count(*) FILTER (event_id % 97 = 0) AS rejected,
            count(*) FILTER (event_id % 97 = 0) AS dead_letters,
-           md5(string_agg(CASE WHEN event_id % 97 = 0 THEN '{"event_id": ' || event_id || ', "user' END, '|'
-               ORDER BY '{"event_id": ' || event_id || ', "user')) AS dead_md5, TRUE AS tracked
+           CAST(sum(CAST('0x' || substr(md5('{"event_id": ' || event_id || ', "user'), 1, 15) AS BIGINT)::HUGEINT)
+               FILTER (event_id % 97 = 0) AS VARCHAR) AS dead_sum, TRUE AS tracked
     FROM events
     """,
 )
@@ -88,11 +146,9 @@ def ingest_run(spark: SparkSession, folder: str) -> DataFrame:
     warehouse = Warehouse(spark, f"{place}/warehouse")
     ingest(warehouse, f"{place}/landing", "events", fmt="ndjson", run_id="one")
     dead = read_dead_letters(warehouse, "events", "one")
-    # the few rejected texts are the answer here, in a fixed order
-    letters = dead.agg(
-        F.count(F.lit(1)).alias("dead_letters"),
-        F.md5(F.array_join(F.array_sort(F.collect_list("record")), "|")).alias("dead_md5"),
-    )
+    # any number of rejected texts in any order: a sum of 60 bits of each one's hash
+    print_ = F.conv(F.substring(F.md5("record"), 1, 15), 16, 10).cast("decimal(20,0)")
+    letters = dead.agg(F.count(F.lit(1)).alias("dead_letters"), F.sum(print_).cast("string").alias("dead_sum"))
     runs = warehouse.manifest().select(
         F.col("id").alias("run_id"),
         "status",
