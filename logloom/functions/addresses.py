@@ -144,6 +144,41 @@ def allowlist_ranges(text: Column) -> Column:
     return F.filter(ranges, lambda r: r.isNotNull())
 
 
+def digit_rules(ranges: Column) -> Column:
+    """The networks of an allowlist as (width, head, digits) rules.
+
+    A network is fixed by its leading hexadecimal digits up to the one its prefix ends in: an
+    address is inside when it begins with ``head`` and its next digit's bit is set in ``digits``.
+    So membership is an equality on (width, head), whatever the number of networks.
+    """
+
+    def rule(r: Column) -> Column:
+        low, high = r["low"], r["high"]
+        width = F.length(low)
+        # the low and high ends agree up to the digit that the prefix ends in
+        agreed = F.array_position(
+            F.transform(F.sequence(F.lit(1), width), lambda at: low.substr(at, F.lit(1)) == high.substr(at, F.lit(1))),
+            F.lit(False),
+        ).cast("int")
+        at = F.when(agreed == 0, width).otherwise(agreed)
+        # a prefix that ends after a whole digit leaves the next one free: all its 16 bits are set
+        first = _digit_value(low, at)
+        count = _digit_value(high, at) - first + 1
+        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1), count) - 1, first)
+        return F.struct(width.alias("width"), low.substr(F.lit(1), at - 1).alias("head"), bits.alias("digits"))
+
+    return F.transform(ranges, rule)
+
+
+def _digit_value(address: Column, at: Column) -> Column:
+    return F.instr(F.lit(_HEX_DIGITS), address.substr(at, F.lit(1))) - 1
+
+
+def digit_bit(address: Column, head: Column) -> Column:
+    """Bit of the digit that follows a head."""
+    return F.call_function("shiftleft", F.lit(1), _digit_value(address, F.length(head) + 1))
+
+
 def in_ranges(address: Column, zone: Column, ranges: Column) -> Column:
     def hit(r: Column) -> Column:
         same_width = F.length(r["low"]) == F.length(address)

@@ -15,6 +15,10 @@ from logloom.functions.regexes import CompiledPattern
 from logloom.session import quoted
 
 RAW_FIELD = "raw_message"
+# Up to so many patterns are counted by running each on every line.
+FEW_PATTERNS = 16
+# Patterns travel to every task with the function that counts them.
+MAX_PATTERN_CHARS = 32 * 1024 * 1024
 
 
 def matches(line: Column, pattern: CompiledPattern) -> Column:
@@ -78,13 +82,22 @@ def extract_fields(
 
 
 def pattern_coverage(
-    lines: DataFrame, patterns: dict[str, CompiledPattern], value: str = "value"
+    lines: DataFrame, patterns: dict[str, CompiledPattern], value: str = "value", engine: str = "auto"
 ) -> DataFrame:
     """Lines, matches and match rate of every pattern.
 
-    All patterns are counted in one pass with map-side partial sums.
+    All patterns are counted in one pass with map-side partial sums: a few of them in the JVM, each
+    on every line (``engine='jvm'``); more than ``FEW_PATTERNS`` by an automaton over the texts their
+    matches must hold, which names the patterns a line may match at all (``engine='automaton'``).
     """
-    line = quoted(value)
+    many = len(patterns) > FEW_PATTERNS if engine == "auto" else engine == "automaton"
+    counts = _counts_by_automaton if many else _counts_by_pattern
+    return counts(lines, patterns, quoted(value)).withColumn(
+        "match_rate", F.when(F.col("lines") > 0, F.col("matches") / F.col("lines"))
+    )
+
+
+def _counts_by_pattern(lines: DataFrame, patterns: dict[str, CompiledPattern], line: Column) -> DataFrame:
     flagged = lines.select(
         line.alias("_line"),
         *[matches(line, pattern).alias(f"_hit{at}") for at, pattern in enumerate(patterns.values())],
@@ -97,9 +110,59 @@ def pattern_coverage(
         F.struct(F.lit(name).alias("pattern"), F.col("_lines").alias("lines"), F.col(f"_n{at}").alias("matches"))
         for at, name in enumerate(patterns)
     ]
-    return totals.select(F.inline(F.array(*rows))).withColumn(
-        "match_rate", F.when(F.col("lines") > 0, F.col("matches") / F.col("lines"))
-    )
+    return totals.select(F.inline(F.array(*rows)))
+
+
+def _counts_by_automaton(lines: DataFrame, patterns: dict[str, CompiledPattern], line: Column) -> DataFrame:
+    """One row of counts per pattern and task, summed by Spark.
+
+    The automaton is built once per task from the required texts; a pattern's regex is compiled when
+    a line first needs it. Patterns without a required text are tried on every line.
+    """
+    size = sum(len(pattern.python_regex) for pattern in patterns.values())
+    if size > MAX_PATTERN_CHARS:
+        raise ValueError(f"{size} characters of patterns are too many to send to every task")
+    regexes = [pattern.python_regex for pattern in patterns.values()]
+    holders: dict[str, list[int]] = {}
+    for at, pattern in enumerate(patterns.values()):
+        holders.setdefault(pattern.required_text, []).append(at)
+    always = holders.pop("", [])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, numbers in holders.items():
+            automaton.add_word(text, numbers)
+        if holders:
+            automaton.make_automaton()
+        compiled: dict[int, re.Pattern] = {}
+        found, seen = [0] * len(regexes), 0
+        for batch in batches:
+            seen += len(batch)
+            for text in batch["value"]:
+                if text is None:
+                    continue
+                candidates = set(always)
+                if holders:
+                    for _, numbers in automaton.iter(text):
+                        candidates.update(numbers)
+                for at in candidates:
+                    regex = compiled.get(at)
+                    if regex is None:
+                        regex = compiled[at] = re.compile(regexes[at])
+                    found[at] += regex.match(text) is not None
+        hit = [at for at, n in enumerate(found) if n]
+        yield pd.DataFrame({"at": [-1, *hit], "n": [seen, *[found[at] for at in hit]]})
+
+    partial = lines.select(line.alias("value")).mapInPandas(count, "at int, n bigint")
+    totals = partial.groupBy("at").agg(F.sum("n").alias("n"))
+    names = lines.sparkSession.createDataFrame(list(enumerate(patterns)), "at int, pattern string")
+    n_lines = totals.filter("at = -1").select(F.col("n").alias("lines"))
+    by_pattern = names.join(totals, "at", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # one row, so the cross join adds a constant; without any task there is no row at all
+    counted = by_pattern.join(F.broadcast(n_lines.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))))
+    return counted.select("pattern", "lines", F.col("n").alias("matches"))
 
 
 def sample_misses(
@@ -115,23 +178,32 @@ def match_spans(lines: DataFrame, pattern: CompiledPattern, value: str = "value"
     """Adds ``match_start``/``match_end`` and ``<field>_start``/``<field>_end``, 0-based.
 
     The search is not anchored. A field's span is where its text first occurs at or after
-    the match start; fields that took no part have null spans.
+    the match start; fields that took no part have null spans. One regex run per line gives the
+    text before the match, the match and all fields; the two groups this adds in front move the
+    numbers by which a pattern refers back to its own.
     """
     line = quoted(value)
-    start = F.regexp_instr(line, F.lit(pattern.unanchored)) - 1
-    located = lines.withColumn("match_start", F.when(start >= 0, start))
-    whole = F.regexp_extract(line, pattern.unanchored, 0)
+    shifted = re.sub(
+        r"\\(?:([1-9][0-9]*)|.)", lambda m: f"\\{int(m[1]) + 2}" if m[1] else m[0], pattern.java_regex, flags=re.S
+    )
+    groups = capture_groups(
+        line, f"(?dU)^((?s:.*?))({shifted})(?s:.*)$", [1, 2, *[number + 2 for _, number in pattern.fields]]
+    )
+    located = with_parsed(lines, "_parts", groups).withColumn(
+        "match_start", F.when(F.size("_parts") > 1, F.length(F.get("_parts", F.lit(1))))
+    )
     begun = F.col("match_start")
+    whole = F.get("_parts", F.lit(2))
     columns = [F.when(begun.isNotNull(), begun + F.length(whole)).alias("match_end")]
-    for name, number in pattern.fields:
-        text = F.regexp_extract(line, pattern.unanchored, number)
+    for at, (name, _) in enumerate(pattern.fields, start=3):
+        text = F.get("_parts", F.lit(at))
         if name not in pattern.always_present:
             text = F.nullif(text, F.lit(""))
         # locate() finds an empty text at position 1 whatever the offset
         position = F.when(text == "", begun).otherwise(_index_from(text, line, begun))
         position = F.when(begun.isNotNull() & text.isNotNull(), position)
         columns += [position.alias(f"{name}_start"), (position + F.length(text)).alias(f"{name}_end")]
-    return located.select("*", *columns)
+    return located.select(*[quoted(c) for c in lines.columns], "match_start", *columns)
 
 
 def _index_from(needle: Column, text: Column, offset: Column) -> Column:

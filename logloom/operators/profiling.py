@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +18,11 @@ from logloom.sources.lines import head_pool, leading_lines
 LOGFMT_TEST_LINES = 20
 LIKENESS = 0.7
 MAX_FIELDS = 1000
-# Columns that all records of a corpus may have together; each record keeps to MAX_FIELDS.
-MAX_COLUMNS = 20_000
+# Columns that all records of a corpus have together; fields beyond share one column, and each
+# record keeps to MAX_FIELDS.
+MAX_COLUMNS = 2_000
+# Name, and mark in a list of fields, of the variant column that holds the fields beyond.
+OTHER_FIELDS, OVERFLOW = "_other_fields", "overflow"
 
 # Hints that a column holds times.
 TIME_WORDS = ("time", "date", "created", "updated", "timestamp", "at", "when", "ts")
@@ -218,13 +223,28 @@ def field_profile(entries: DataFrame) -> DataFrame:
     ).orderBy("first_row", "first_pos", "name")
 
 
-def collect_fields(profile: DataFrame, max_fields: int = MAX_FIELDS) -> list[tuple[str, str, str]]:
-    """(name, type, storage) on the driver, where they become columns; bounded by ``MAX_COLUMNS``."""
-    bound = max(max_fields, MAX_COLUMNS) if max_fields > 0 else 100_000
-    rows = profile.select("name", "type", "storage").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} different fields")
-    return [(row["name"], row["type"], row["storage"]) for row in rows]
+def collect_fields(
+    profile: DataFrame, max_fields: int = MAX_FIELDS, max_columns: int = MAX_COLUMNS
+) -> list[tuple[str, str, str]]:
+    """(name, type, storage) on the driver, where they become columns, in order of appearance.
+
+    With more than ``max_columns`` names (or ``max_fields``, if that is more) the ones filled most
+    often become columns, earlier ones first among equals, and a last entry with the storage
+    ``overflow`` asks the readers for one variant column with all other fields.  The profile counts
+    every name exactly before it is ranked, so the choice does not depend on how the data are split.
+    """
+    bound = max(max_fields, max_columns)
+    order = ("first_row", "first_pos", "name")
+    rows = profile.orderBy(F.desc("filled"), *order).limit(bound + 1).collect()
+    chosen = sorted(rows[:bound], key=lambda row: tuple(row[name] for name in order))
+    fields = [(row["name"], row["type"], row["storage"]) for row in chosen]
+    return fields + [(OTHER_FIELDS, "object", OVERFLOW)] if len(rows) > bound else fields
+
+
+def split_overflow(fields: Sequence[tuple[str, str, str]]) -> tuple[list[tuple[str, str, str]], bool]:
+    """The fields that are columns, and whether the others share one column."""
+    named = [entry for entry in fields if entry[2] != OVERFLOW]
+    return named, len(named) < len(fields)
 
 
 # ---------------------------------------------------------------- field counts

@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.binding import with_parsed
+from logloom.functions.binding import bind, with_parsed
 from logloom.functions.line_formats import SYSLOG_5424_FIELDS, logfmt_pairs, ltsv_pairs, pair_value, pairs_to_map, syslog_record
 from logloom.functions.literals import strip
 from logloom.functions.regexes import CompiledPattern
 from logloom.operators.multiline import merge_lines
 from logloom.operators.patterns import RAW_FIELD, extract_fields
 from logloom.operators.profiling import (
+    MAX_COLUMNS,
     MAX_FIELDS,
+    OTHER_FIELDS,
     collect_fields,
     field_profile,
     map_entries,
+    split_overflow,
     too_many_fields,
 )
 from logloom.session import quoted
@@ -55,6 +58,25 @@ def column_names(fields: Sequence[str]) -> list[str]:
     return names
 
 
+def other_fields(record: Column, fields: Sequence[str]) -> Column:
+    """Variant object of a map's entries that have no column of their own, null when there are none.
+
+    Of a name that a record repeats the last value counts.
+    """
+    others = F.map_filter(record, lambda name, _: ~name.isin(*fields) & (name != ""))
+
+    def last_of_each(found: Column) -> Column:
+        names = F.map_keys(found)
+        from_end = F.reverse(names)
+        last = F.filter(
+            F.map_entries(found), lambda entry, at: F.array_position(from_end, entry["key"]) == F.size(names) - at
+        )
+        unique = F.when(F.size(F.array_distinct(names)) == F.size(names), found).otherwise(F.map_from_entries(last))
+        return F.when(F.size(found) > 0, F.to_variant_object(unique))
+
+    return bind(others, last_of_each)
+
+
 def filled_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(strip(F.col("value")) != "")
 
@@ -77,11 +99,14 @@ def key_value_records(lines: DataFrame, fmt: str, keep_unparsed: bool = False) -
 
 
 def key_value_columns(
-    lines: DataFrame, fmt: str, fields: Sequence[str], keep_unparsed: bool = False
+    lines: DataFrame, fmt: str, fields: Sequence[str], keep_unparsed: bool = False, overflow: bool = False
 ) -> DataFrame:
-    """The same records with known fields, straight to columns."""
+    """The same records with known fields, straight to columns; ``overflow`` adds all others as one."""
     parsed = with_parsed(lines, "_pairs", _PAIR_PARSERS[fmt](F.col("value")))
-    columns = {named: pair_value(F.col("_pairs"), name) for name, named in zip(fields, column_names(fields))}
+    names = column_names([*fields, OTHER_FIELDS])
+    columns = {named: pair_value(F.col("_pairs"), name) for name, named in zip(fields, names)}
+    if overflow:
+        columns[names[-1]] = other_fields(pairs_to_map(F.col("_pairs")), fields)
     if not keep_unparsed:
         parsed = parsed.filter(F.col("_pairs").isNotNull())
     elif RAW_FIELD in columns:
@@ -97,9 +122,14 @@ def json_records(lines: DataFrame) -> DataFrame:
     return parsed.filter(F.col("record").isNotNull()).select(*_provenance(lines), "record")
 
 
-def flatten_map(records: DataFrame, fields: Sequence[str], record: str = "record") -> DataFrame:
+def flatten_map(
+    records: DataFrame, fields: Sequence[str], record: str = "record", overflow: bool = False
+) -> DataFrame:
     kept = [quoted(name) for name in records.columns if name != record and name not in fields]
-    values = [F.try_element_at(record, F.lit(name)).alias(named) for name, named in zip(fields, column_names(fields))]
+    names = column_names([*fields, OTHER_FIELDS])
+    values = [F.try_element_at(record, F.lit(name)).alias(named) for name, named in zip(fields, names)]
+    if overflow:
+        values.append(other_fields(F.col(record), fields).alias(names[-1]))
     return records.select(*kept, *values)
 
 
@@ -112,8 +142,10 @@ def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MA
     """JSON object texts to typed columns plus an error column.
 
     Values are read as variants first, so a value that does not fit its column is reported
-    as an error of that record instead of spoiling its neighbours.
+    as an error of that record instead of spoiling its neighbours.  Fields beyond the columns
+    (see ``collect_fields``) are read once more into one variant.
     """
+    fields, overflow = split_overflow(fields)
     names = [name for name, _, _ in fields]
     text = strip(F.col("value"))
     schema = ", ".join(f"`{name.replace('`', '``')}` VARIANT" for name in [*names, "_bad"]).replace(
@@ -138,6 +170,9 @@ def json_columns(lines: DataFrame, fields: Sequence[Field], max_fields: int = MA
             columns.append(cast.alias(named))
         else:
             columns.append(value.alias(named))
+    if overflow:
+        whole = F.from_json(F.when(F.col("_is_object"), text), "map<string,variant>")
+        columns.append(other_fields(whole, names).alias(column_names([*names, OTHER_FIELDS])[-1]))
     error = F.coalesce(
         F.when(~F.col("_is_object"), "record is not an object"),
         F.when(F.col("_row")["bad"].isNotNull(), "malformed JSON"),
@@ -162,12 +197,14 @@ def parse_lines(
     max_fields: int = MAX_FIELDS,
     keep_unparsed: bool = False,
     sample: int | None = None,
+    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """Records of a lines table: provenance columns, then one column per field.
 
     ``fields`` saves the pass that finds the keys of key/value and JSON records; ``sample``
     limits that pass to the first records found.  Merged lines without any pair are kept
-    whole, as are others with ``keep_unparsed``.
+    whole, as are others with ``keep_unparsed``.  With more than ``max_columns`` different names
+    the rarer ones share the column ``_other_fields``.
     """
     if fmt not in LINE_FORMATS and fmt != "tsv":
         raise ValueError(f"not a line format: {fmt}")
@@ -186,19 +223,21 @@ def parse_lines(
         return extract_fields(kept, pattern).drop("value")
     if fmt == "ndjson":
         if fields is None:
-            fields = collect_fields(field_profile(map_entries(json_records(lines))), max_fields)
+            fields = collect_fields(field_profile(map_entries(json_records(lines))), max_fields, max_columns)
         return json_columns(lines, fields, max_fields)
     if fmt == "tsv":
         records = spaced_records(lines)
         if fields is None:
-            fields = collect_fields(field_profile(map_entries(records)), max_fields)
-        return flatten_map(records, [name for name, _, _ in fields])
+            fields = collect_fields(field_profile(map_entries(records)), max_fields, max_columns)
+        named, overflow = split_overflow(fields)
+        return flatten_map(records, [name for name, _, _ in named], overflow=overflow)
     whole = merged or keep_unparsed
     if fields is None:
         records = key_value_records(lines, fmt, keep_unparsed=whole)
         records = records.limit(sample) if sample else records
-        fields = collect_fields(field_profile(map_entries(records)), max_fields)
-    return key_value_columns(lines, fmt, [name for name, _, _ in fields], keep_unparsed=whole)
+        fields = collect_fields(field_profile(map_entries(records)), max_fields, max_columns)
+    named, overflow = split_overflow(fields)
+    return key_value_columns(lines, fmt, [name for name, _, _ in named], keep_unparsed=whole, overflow=overflow)
 
 
 def read_logs(
@@ -213,6 +252,7 @@ def read_logs(
     max_fields: int = MAX_FIELDS,
     check_tabular: bool = False,
     unique_names: bool = True,
+    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """Records of one or many files of a common format; ``_source_file`` holds the base name."""
     if fmt not in FORMATS:
@@ -226,13 +266,25 @@ def read_logs(
         table, lines = read_tsv(spark, paths, check_tabular)
         if lines is None:
             return tidy(table)
-        records = tidy(parse_lines(lines, fmt, pattern, fields, multiline_start, multiline_max_lines, max_fields))
+        parsed = parse_lines(
+            lines, fmt, pattern, fields, multiline_start, multiline_max_lines, max_fields, max_columns=max_columns
+        )
+        records = tidy(parsed)
         return records if table is None else _united(tidy(table), records)
     if fmt == "json_array":
         lines, line_format = read_array_elements(spark, paths), "ndjson"
     else:
         lines, line_format = read_lines(spark, paths), fmt
-    records = parse_lines(lines, line_format, pattern, fields, multiline_start, multiline_max_lines, max_fields)
+    records = parse_lines(
+        lines,
+        line_format,
+        pattern,
+        fields,
+        multiline_start,
+        multiline_max_lines,
+        max_fields,
+        max_columns=max_columns,
+    )
     return tidy(records)
 
 

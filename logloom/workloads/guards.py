@@ -51,6 +51,37 @@ def address_allowlist(spark: SparkSession, folder: str) -> DataFrame:
     return check_allowlists(access, keys, "key").select("event_id", "allowed")
 
 
+@workload(
+    "long_allowlists",
+    """
+    SELECT event_id, c_custkey IS NOT NULL AND key = place // 300 AND CASE c_custkey % 3 WHEN 0 THEN TRUE
+             WHEN 1 THEN host BETWEEN 64 AND 79 ELSE host = 9 END AS allowed
+    FROM (SELECT event_id, event_id % 3000 AS place, event_id % 3000 // 300 + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS key,
+                 CASE WHEN event_id % 5 = 0 THEN 9 ELSE event_id * 31 % 256 END AS host FROM events)
+    LEFT JOIN customer ON c_custkey = place
+    """,
+)
+def long_allowlists(spark: SparkSession, folder: str) -> DataFrame:
+    """Access log of events against lists of 300 networks and addresses, one per 300 customers."""
+    place = F.col("event_id") % 3000
+    last = F.when(F.col("event_id") % 5 == 0, 9).otherwise(F.col("event_id") * 31 % 256)
+    access = spread_table(spark, folder, "events", "event_id").select(
+        "event_id",
+        (F.floor(place / 300) + F.when(F.col("event_id") % 4 == 0, 1).otherwise(0)).alias("key"),
+        F.concat_ws(".", F.lit("10"), F.floor(place / 256), place % 256, last).alias("ip"),
+    )
+    customer = F.col("c_custkey")
+    base = F.concat_ws(".", F.lit("10"), F.floor(customer / 256), customer % 256)
+    ending = F.element_at(F.array(F.lit(".0/24"), F.lit(".77/28"), F.lit(".9")), (customer % 3 + 1).cast("int"))
+    # 300 customers a list
+    keys = (
+        table(spark, folder, "customer")
+        .groupBy(F.floor(customer / 300).alias("key"))
+        .agg(F.array_join(F.collect_list(F.concat(base, ending)), ",").alias("allowed_ips"))
+    )
+    return check_allowlists(access, keys, "key").select("event_id", "allowed")
+
+
 @workload(
     "trailing_failures",
     """

@@ -125,6 +125,29 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_coverage(lines, {name: compile_pattern(text) for name, text in COVERAGE.items()})
 
 
+@workload(
+    "pattern_coverage_many",
+    """
+    WITH b AS (SELECT unnest(range(1, 26)) AS brand), z AS (SELECT unnest(range(1, 41)) AS size),
+    n AS (SELECT p_brand, p_size, count(*) AS matches FROM part GROUP BY ALL), t AS (SELECT count(*) AS lines FROM part)
+    SELECT brand || '/' || size AS pattern, lines, coalesce(matches, 0) AS matches, CAST(coalesce(matches, 0) AS DOUBLE) / lines AS match_rate
+    FROM b CROSS JOIN z CROSS JOIN t LEFT JOIN n ON p_brand = 'Brand#' || brand AND p_size = size
+    UNION ALL SELECT 'any', lines, lines, 1.0 FROM t
+    """,
+)
+def coverage_of_many(spark: SparkSession, folder: str) -> DataFrame:
+    """A thousand patterns over the lines of a parts list, and one that has no literal text."""
+    parts = table(spark, folder, "part")
+    text = F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("size "), "p_size", F.lit(";")))
+    patterns = {
+        f"{brand}/{size}": compile_pattern(f"%{{DATA:name}} Brand#{brand} size {size};")
+        for brand in range(1, 26)
+        for size in range(1, 41)
+    }
+    patterns["any"] = compile_pattern("%{WORD}")
+    return pattern_coverage(as_lines(parts, text, "p_partkey"), patterns)
+
+
 @workload(
     "pattern_misses",
     r"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators import profiling as P
 from logloom.sources.delimited import tabular_check
 from logloom.sources.lines import leading_lines, lines_from_column
-from logloom.sources.records import json_columns, json_records
+from logloom.sources.records import json_columns, json_records, parse_lines
 from logloom.workloads import spread_table, table, workload
 from logloom.workloads.formats import EVENT_FIELDS, as_lines, event_json_lines
 
@@ -208,3 +208,30 @@ def record_counts(spark: SparkSession, folder: str) -> DataFrame:
     broken = F.when(F.col("line_id") % 50 == 0, F.concat(F.col("value"), F.lit("}{"))).otherwise(F.col("value"))
     records = json_columns(lines.withColumn("value", broken), EVENT_FIELDS)
     return records.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@workload(
+    "wide_records",
+    """
+    WITH n AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_line FROM orders GROUP BY 1),
+    r AS (SELECT o_custkey, row_number() OVER (ORDER BY n DESC, first_line) AS place FROM n)
+    SELECT o_orderkey AS line, o_orderstatus AS status, CASE WHEN place <= 86 THEN CAST(o_orderkey * 3 AS VARCHAR) END AS listed,
+           CASE WHEN place > 86 THEN '{"c' || o_custkey || '":"' || o_orderkey * 3 || '"}' END AS others
+    FROM orders JOIN r USING (o_custkey)
+    """,
+)
+def wide_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a field name per customer: 100 columns, all other fields in one."""
+    orders = table(spark, folder, "orders")
+    text = F.concat(
+        F.lit("order:"), "o_orderkey", F.lit("\tstatus:"), "o_orderstatus", F.lit("\tc"), "o_custkey", F.lit(":"),
+        F.col("o_orderkey") * 3, F.lit("\tm"), F.month("o_orderdate"), F.lit(":1"),
+    )
+    found = parse_lines(as_lines(orders, text, "o_orderkey"), "ltsv", max_fields=100, max_columns=100)
+    listed = [F.col(name) for name in found.columns if name[0] == "c"]
+    return found.select(
+        F.col("line_id").alias("line"),
+        "status",
+        F.coalesce(*listed).alias("listed"),
+        F.to_json(P.OTHER_FIELDS).alias("others"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import random
 import re
 
 import pytest
@@ -222,6 +223,39 @@ def test_match_spans_search_is_not_anchored(spark):
     assert spans[1]["match_start"] is None
 
 
+@pytest.mark.parametrize(
+    "regex",
+    [r"b(?P<x>\w)(?P<y>!)?", r"(?P<x>a+)(?P<y>b*)$", r"^(?P<x>.)", r"(?P<x>\w)(?P=x)(?P<y>.)", r"(?P<x>q|\n)", r"(?i)(?P<x>É)\b"],
+)
+def test_spans_of_all_fields_equal_a_plain_search(spark, regex):
+    texts = ["", "abc! b!", "aab", "xx\nyy", "é 😀 bb!", "a\x01bc!", "line\nbé", "aaa\x01bbb", "zé", None]
+    pattern = compile_pattern(regex, "regex")
+    frame = spark.createDataFrame([(at, text) for at, text in enumerate(texts)], "at int, value string")
+    for row in match_spans(frame, pattern).collect():
+        found = re.search(pattern.python_regex, row["value"]) if row["value"] is not None else None
+        assert (row["match_start"], row["match_end"]) == (found.span() if found else (None, None)), row
+        for name in pattern.field_names:
+            text = found[name] if found else None
+            if not text:
+                continue
+            start = row["value"].index(text, found.start())
+            assert (row[f"{name}_start"], row[f"{name}_end"]) == (start, start + len(text)), row
+
+
+def test_many_patterns_count_as_each_alone(spark):
+    chance = random.Random(3)
+    words = ["alpha", "alphabet", "beta", "bet", "gamma", "al", "ham", "x"]
+    texts = [" ".join(chance.choices(words, k=chance.randrange(5))) for _ in range(400)] + [None, "", "é alpha\nbeta"]
+    patterns = {f"{a}{n}": compile_pattern(f"%{{DATA}}{a}{n}", "grok") for a in words for n in ("", "\\b", "?", " b", "(?:x|y)?")}
+    patterns["any"] = compile_pattern("%{WORD}")
+    frame = spark.createDataFrame([(text,) for text in texts], "value string")
+    wide, narrow = (pattern_coverage(frame, patterns, engine=engine).collect() for engine in ("automaton", "jvm"))
+    assert sorted(map(tuple, wide)) == sorted(map(tuple, narrow))
+    assert len(patterns) > 16 and any(row["matches"] for row in wide)
+    empty = pattern_coverage(frame.limit(0), patterns).collect()
+    assert {tuple(row)[1:] for row in empty} == {(0, 0, None)} and len(empty) == len(patterns)
+
+
 def test_coverage_and_misses(spark):
     frame = spark.createDataFrame([("1 a",), ("2 b",), ("x",), (None,)], "value string")
     patterns = {"number": compile_pattern("%{INT:n}"), "any": compile_pattern("%{GREEDYDATA:g}")}
@@ -266,9 +300,55 @@ def test_allowlists_agree_with_the_address_library(spark):
     access = spark.createDataFrame(
         [(key, address) for key in range(len(ALLOWLISTS) + 1) for address in ADDRESSES], "key int, ip string"
     )
-    for row in check_allowlists(access, keys, "key").collect():
-        known = row["key"] < len(ALLOWLISTS)
-        assert row["allowed"] == (known and python_allowed(row["ip"], ALLOWLISTS[row["key"]])), row
+    for listed_ranges in (64, 1, 0):  # lists longer than this are joined entry by entry
+        rows = check_allowlists(access, keys, "key", listed_ranges=listed_ranges).collect()
+        assert len(rows) == (len(ALLOWLISTS) + 1) * len(ADDRESSES)
+        for row in rows:
+            known = row["key"] < len(ALLOWLISTS)
+            assert row["allowed"] == (known and python_allowed(row["ip"], ALLOWLISTS[row["key"]])), row
+
+
+def test_an_allowlist_of_a_hundred_thousand_entries(spark):
+    """One key holds nearly all accesses and a list of networks of every length."""
+    chance = random.Random(7)
+    entries = [f"{chance.randrange(11, 200)}.{chance.randrange(256)}.{chance.randrange(256)}.{chance.randrange(256)}/{chance.randrange(18, 33)}" for _ in range(60_000)]
+    entries += [f"{chance.randrange(11, 200)}.{chance.randrange(256)}.0.9" for _ in range(20_000)]
+    entries += [f"2001:db8:{chance.randrange(65536):x}:{chance.randrange(65536):x}::/{chance.randrange(40, 129)}" for _ in range(20_000)]
+    addresses = [entry.split("/")[0] for entry in entries[::40]]
+    addresses += [f"{chance.randrange(11, 200)}.{chance.randrange(256)}.{chance.randrange(256)}.1" for _ in range(1500)] + ["2001:db8::5%x", "bad"]
+    keys = spark.createDataFrame([(1, ",".join(entries)), (2, "10.0.0.1"), (3, "")], "key int, allowed_ips string")
+    access = spark.createDataFrame(
+        [(1, a) for a in addresses] + [(1, addresses[0])] * 3 + [(2, "10.0.0.1"), (2, "10.0.0.2"), (3, "bad"), (4, "10.0.0.1")],
+        "key int, ip string",
+    )
+    networks = {}
+    singles = set()
+    for entry in entries:
+        if "/" in entry:
+            net = ipaddress.ip_network(entry, strict=False)
+            networks.setdefault((net.version, net.prefixlen), set()).add(int(net.network_address))
+        else:
+            singles.add(ipaddress.ip_address(entry))
+
+    def expected(key, text):
+        if key != 1:
+            return (key, text) in ((2, "10.0.0.1"), (3, "bad"))
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        bits = 32 if address.version == 4 else 128
+        inside = any(
+            (int(address) >> (bits - length) << (bits - length)) in starts
+            for (version, length), starts in networks.items() if version == address.version
+        )
+        return inside or address in singles
+
+    rows = check_allowlists(access, keys, "key").collect()
+    assert len(rows) == access.count()
+    for row in rows:
+        assert row["allowed"] == expected(row["key"], row["ip"]), row
+    assert 1000 < sum(row["allowed"] for row in rows) < len(rows)
 
 
 def test_marks_inside_pairs_are_kept(spark):

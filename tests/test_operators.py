@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 from bisect import bisect_right
 from collections import defaultdict
@@ -20,7 +21,7 @@ from logloom.operators.replay import recent_counts, replay_admission, replay_loc
 from logloom.sources import lines as lines_module
 from logloom.sources.delimited import tabular_check
 from logloom.sources.lines import leading_lines, lines_from_column, read_lines
-from logloom.sources.records import json_records
+from logloom.sources.records import json_records, parse_lines
 from tests.conftest import dicts
 
 # ---------------------------------------------------------------- multi-line
@@ -154,13 +155,54 @@ def test_typed_columns_profile(spark):
     ]
 
 
-def test_column_budget_is_an_error(spark, monkeypatch):
-    """More names over all records than the limit of one record are fine up to the column budget."""
-    frame = spark.createDataFrame([tuple(range(5))], [f"c{i}" for i in range(5)])
-    assert len(P.collect_fields(P.field_profile(P.column_entries(frame)), 4)) == 5
-    monkeypatch.setattr(P, "MAX_COLUMNS", 4)
-    with pytest.raises(ValueError, match="more than 4"):
-        P.collect_fields(P.field_profile(P.column_entries(frame)), 4)
+def test_fields_beyond_the_columns_are_marked(spark):
+    """The names filled most often become columns, in order of appearance."""
+    frame = spark.createDataFrame([(None, 1, 2), (3, 4, None)], "a int, b int, c int")
+    profile = P.field_profile(P.column_entries(frame))
+    assert [name for name, _, _ in P.collect_fields(profile, 1, 3)] == ["a", "b", "c"]
+    fields = P.collect_fields(profile, 1, 2)
+    assert [name for name, _, _ in fields] == ["a", "b", P.OTHER_FIELDS]
+    assert P.split_overflow(fields) == (fields[:2], True)
+
+
+WIDE = [
+    ("ndjson", ['{"a": 1, "x": {"y": [1]}, "_other_fields": 5}', '{"a": 2, "z": null, "q": "t"}', '{"a": 3, "w": 1, "w": 2}', "no"]),
+    ("ltsv", ["a:1\tx:7\t_other_fields:5", "a:2\tz:\tq:t", "a:3\tw:1\tw:2"]),
+    ("logfmt", ["a=1 x=7 _other_fields=5", "a=2 z= q=t", "a=3 w=1 w=2"]),
+]
+
+
+@pytest.mark.parametrize(("fmt", "texts"), WIDE)
+def test_rare_fields_share_a_column(spark, fmt, texts):
+    lines = spark.createDataFrame(
+        [("f", "f", 0, at, text) for at, text in enumerate(texts)],
+        "source_path string, source_file string, split_start bigint, line_id bigint, value string",
+    )
+    found = parse_lines(lines, fmt, max_fields=0, max_columns=1)
+    rows = {row["line_id"]: row for row in found.withColumn("_other_fields", F.to_json("_other_fields")).collect()}
+    assert [str(rows[at]["a"]) for at in range(3)] == ["1", "2", "3"]
+    others = [json.loads(rows[at]["_other_fields"]) for at in range(3)]
+    text = fmt != "ndjson"
+    assert others[0] == ({"x": "7", "_other_fields": "5"} if text else {"x": {"y": [1]}, "_other_fields": 5})
+    assert others[1]["q"] == "t" and set(others[1]) <= {"z", "q"}
+    assert others[2] == {"w": "2" if text else 2}
+    clash = parse_lines(lines, fmt, fields=[("_other_fields", "string", "string"), ("_other_fields", "object", "overflow")])
+    assert {"_other_fields", "_other_fields_2"} <= set(clash.columns)
+
+
+def test_a_hundred_thousand_names_lose_nothing(spark):
+    lines = spark.range(100_000).select(
+        F.lit("f").alias("source_path"), F.lit("f").alias("source_file"), F.lit(0).cast("bigint").alias("split_start"),
+        F.col("id").alias("line_id"), F.concat(F.lit('{"id": '), "id", F.lit(', "n'), "id", F.lit('": '), "id", F.lit("}")).alias("value"),
+    )
+    found = parse_lines(lines, "ndjson", max_columns=50, max_fields=10)
+    assert len(found.columns) == 4 + 50 + 1 + 2
+    own = F.coalesce(
+        F.expr("try_variant_get(_other_fields, concat('$.n', id), 'bigint')"),
+        *[F.col(name) for name in found.columns if name.startswith("n")],
+    )
+    sums = found.agg(F.sum("id"), F.sum(own), F.count("_error")).first()
+    assert tuple(sums) == (sum(range(100_000)), sum(range(100_000)), 0)
 
 
 @pytest.mark.parametrize(
