@@ -3,6 +3,12 @@
 All three are append-only logs on shared storage.  A state change appends a row and readers
 take the latest one, so nothing is ever rewritten in place and a lost executor cannot leave
 a half-updated table.
+
+Every append leaves a file.  When there are many, they are merged: a folder with all rows so far
+gets, as its last file, the list of the log files it covers.  Readers take the newest folder that
+has its list, and the files the list does not name.  A writer that dies before the list is
+complete leaves a folder nobody reads.  Covered files and older folders are only deleted by the
+next merge, so a read under way keeps its files.
 """
 
 from __future__ import annotations
@@ -30,6 +36,12 @@ AUDIT_SCHEMA = """
     target_id string, details string, ip_address string, created_at timestamp
 """
 TRACKED_SCHEMA = "target string, created_by string, action string, recorded_at timestamp"
+CONTROL_SCHEMAS = {"ingest_manifest": MANIFEST_SCHEMA, "audit_log": AUDIT_SCHEMA, "tracked_targets": TRACKED_SCHEMA}
+
+# A merged folder's list of the log files it covers, and the line that says the list is whole.
+_COVERED, _END = "_covered", "end"
+_MERGED_FILE_BYTES = 128 * 1024 * 1024
+_LOCK_SECONDS = 3600
 
 # Life cycle of an ingest run.
 PENDING, IN_PROGRESS, COMPLETED = "pending", "in_progress", "completed"
@@ -66,6 +78,9 @@ class Warehouse:
     root: str
     prefix: str = "logs-"
     strict: bool = True
+    # log files that may gather before they are merged, and the most of them when the merged part is large
+    merge_files: int = 64
+    merge_files_at_most: int = 512
     # runs whose cancellation has been asked for, by run id
     cancel_requests: set[str] = field(default_factory=set, compare=False, repr=False)
 
@@ -118,15 +133,121 @@ class Warehouse:
 
     # ------------------------------------------------------------ logs
 
+    def _merged(self, table: str) -> tuple[str | None, set[str]]:
+        """The newest complete merge of a log, and the names of the log files it covers."""
+        system, folder = self._file_system(self._control(f"{table}_merged"))
+        if not system.exists(folder):
+            return None, set()
+        names = sorted((status.getPath().getName() for status in system.listStatus(folder)), reverse=True)
+        for name in names:
+            path = f"{self._control(f'{table}_merged')}/{name}"
+            covered = self._read_text(f"{path}/{_COVERED}")
+            if covered.endswith(_END):
+                return path, set(covered.splitlines()[:-1])
+        return None, set()
+
+    def _log_files(self, table: str) -> dict[str, int]:
+        """Sizes of a log's files by name."""
+        system, folder = self._file_system(self._control(table))
+        if not system.exists(folder):
+            return {}
+        found = {status.getPath().getName(): status.getLen() for status in system.listStatus(folder)}
+        return {name: size for name, size in found.items() if name[0] not in "._"}
+
+    def _read_text(self, path: str) -> str:
+        system, location = self._file_system(path)
+        if not system.exists(location):
+            return ""
+        stream = system.open(location)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write_text(self, path: str, text: str) -> None:
+        system, location = self._file_system(path)
+        stream = system.create(location, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def _read(self, table: str, schema: str) -> DataFrame:
-        path = self._control(table)
-        if not self.exists(path):
+        merged, covered = self._merged(table)
+        paths = [f"{self._control(table)}/{name}" for name in self._log_files(table) if name not in covered]
+        paths += [merged] if merged else []
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
     def _append(self, table: str, rows: DataFrame, few: bool = False) -> None:
         """Append rows; ``few`` of them, built on the driver, go to one file."""
         (rows.coalesce(1) if few else rows).write.mode("append").parquet(self._control(table))
+        self._merge_long_log(table)
+
+    def _merge_long_log(self, table: str) -> None:
+        """Merge a log once its files are many, and large enough against the part already merged.
+
+        The second condition lets the merged part grow by a quarter each time, so rows are written
+        again a logarithmic number of times; ``merge_files_at_most`` bounds the files all the same.
+        """
+        files = self._log_files(table)
+        if len(files) < self.merge_files:
+            return
+        merged, covered = self._merged(table)
+        fresh = {name: size for name, size in files.items() if name not in covered}
+        if len(fresh) < self.merge_files:
+            return
+        if merged and len(fresh) < self.merge_files_at_most:
+            system, location = self._file_system(merged)
+            if 4 * sum(fresh.values()) < system.getContentSummary(location).getLength():
+                return
+        self.merge_log(table)
+
+    def merge_log(self, table: str) -> bool:
+        """Merge all rows of a log into one folder; False when another writer is doing so."""
+        lock = self._control(f"{table}_merging")
+        if not self._take_lock(lock):
+            return False
+        try:
+            merged, covered = self._merged(table)
+            files = self._log_files(table)
+            covered &= files.keys()
+            names = [name for name in files if name not in covered]
+            paths = [f"{self._control(table)}/{name}" for name in names] + ([merged] if merged else [])
+            number = int(merged.rsplit("/", 1)[-1].split("-")[0]) + 1 if merged else 1
+            folder = f"{self._control(f'{table}_merged')}/{number:09d}-{uuid.uuid4().hex}"
+            schema = CONTROL_SCHEMAS[table]
+            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+            size = sum(self._size(path) for path in paths)
+            rows.coalesce(1 + size // _MERGED_FILE_BYTES).write.parquet(folder)
+            # what the previous merge covers is in this one too, and stays named as it may not be deleted yet
+            self._write_text(f"{folder}/{_COVERED}", "\n".join([*sorted(covered), *names, _END]))
+            for name in covered:
+                self.delete(f"{self._control(table)}/{name}")
+            self._drop_old_merges(table, keep={path.rsplit("/", 1)[-1] for path in (folder, merged) if path})
+        finally:
+            self.delete(lock)
+        return True
+
+    def _size(self, path: str) -> int:
+        system, location = self._file_system(path)
+        return system.getContentSummary(location).getLength()
+
+    def _drop_old_merges(self, table: str, keep: set[str]) -> None:
+        system, folder = self._file_system(self._control(f"{table}_merged"))
+        for status in system.listStatus(folder):
+            if status.getPath().getName() not in keep:
+                system.delete(status.getPath(), True)
+
+    def _take_lock(self, path: str) -> bool:
+        """Create a file that only one writer can create; one left by a dead writer is taken over."""
+        system, location = self._file_system(path)
+        if system.exists(location):
+            age = dt.datetime.now().timestamp() - system.getFileStatus(location).getModificationTime() / 1000
+            if age < _LOCK_SECONDS or not system.delete(location, False):
+                return False
+        return bool(system.createNewFile(location))
 
     def manifest_log(self) -> DataFrame:
         return self._read("ingest_manifest", MANIFEST_SCHEMA)

@@ -273,6 +273,7 @@ def ingest_records(
     warehouse.record_run(state)
     warehouse.audit("ingestion_started", user, target_type="index", target_id=full_name, details={"run_id": run_id})
     spark.addTag(run_id)
+    spark.sparkContext.addJobTag(run_id)  # by this one the status tracker finds the jobs
     try:
         known = known_schema(warehouse, full_name)
         outcomes = split_outcomes(records, mapping, rules, known)
@@ -297,6 +298,7 @@ def ingest_records(
         raise
     finally:
         spark.removeTag(run_id)
+        spark.sparkContext.removeJobTag(run_id)
         warehouse.cancel_requests.discard(run_id)
     if needs_tracking:
         warehouse.track(full_name, user)

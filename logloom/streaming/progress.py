@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import time
 from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql.streaming.listener import (
 )
 from pyspark.sql.streaming.query import StreamingQuery
 
+from logloom.plans.control import Warehouse
+
 PROGRESS_SCHEMA = (
     "query string, batch_id bigint, at string, input_rows bigint, rows_per_second double, duration_ms bigint"
 )
@@ -54,6 +58,37 @@ def run_progress(runs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+LIVE_SCHEMA = "id string, unit string, processed bigint, failed bigint, total bigint, elapsed_seconds double"
+
+
+def live_progress(warehouse: Warehouse, run_id: str, total_records: int | None = None) -> DataFrame:
+    """One row with the figures of a run under way, from any thread of the driver that runs it.
+
+    The status tracker knows the tasks of the run's jobs by the run's tag: processed and total are
+    tasks, of the stages submitted so far, and cost the job nothing.  With ``total_records`` (from a
+    preview, say) they are records in proportion.  A run that is not running has its manifest row's
+    figures, see ``run_progress``; a run that has not begun has zeros.
+    """
+    spark = warehouse.spark
+    tracker = spark.sparkContext.statusTracker()
+    jobs = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(run_id)
+    infos = [info for info in (tracker.getJobInfo(job) for job in jobs) if info is not None]
+    stages = {stage for info in infos for stage in info.stageIds}
+    figures = [stage for stage in (tracker.getStageInfo(stage) for stage in sorted(stages)) if stage is not None]
+    done = sum(stage.numCompletedTasks for stage in figures)
+    failed = sum(stage.numFailedTasks for stage in figures)
+    total = sum(stage.numTasks for stage in figures)
+    row = warehouse.manifest().filter(F.col("id") == run_id).select("started_at", "completed_at").first()
+    elapsed = 0.0
+    if row and row["started_at"]:
+        # time stamps come to the driver in its own zone
+        elapsed = ((row["completed_at"] or dt.datetime.now()) - row["started_at"]).total_seconds()
+    unit = "tasks"
+    if total_records is not None:
+        unit, done, total = "records", total_records * done // total if total else 0, total_records
+    return with_rates(spark.createDataFrame([(run_id, unit, done, failed, total, elapsed)], LIVE_SCHEMA))
+
+
 def _row(progress: dict) -> tuple:
     return (
         progress.get("name") or progress["id"],
@@ -72,10 +107,15 @@ def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 
 class ProgressFeed(StreamingQueryListener):
-    """Keeps the progress rows of all queries, every ``flush_rows`` of them as a file under ``path``."""
+    """Keeps the progress rows of all queries as files under ``path``.
+
+    Rows are written once there are ``flush_rows`` of them or the oldest is ``flush_seconds`` old at
+    the next event, and when a query is idle or ends; so a lost driver loses what is younger.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, flush_rows: int = 1000):
-        self._spark, self._path, self._flush_rows = spark, path, flush_rows
+    def __init__(self, spark: SparkSession, path: str, flush_rows: int = 1000, flush_seconds: float = 10.0):
+        self._spark, self._path, self._flush_rows, self._flush_seconds = spark, path, flush_rows, flush_seconds
+        self._oldest = 0.0
         self._rows: list[tuple] = []
         self._lock = Lock()
         self._write([])
@@ -88,15 +128,17 @@ class ProgressFeed(StreamingQueryListener):
 
     def onQueryProgress(self, event: QueryProgressEvent) -> None:
         with self._lock:
+            if not self._rows:
+                self._oldest = time.monotonic()
             self._rows.append(_row(json.loads(event.progress.json)))
-        if len(self._rows) >= self._flush_rows:
+        if len(self._rows) >= self._flush_rows or time.monotonic() - self._oldest >= self._flush_seconds:
             self.flush()
 
     def onQueryIdle(self, event: QueryIdleEvent) -> None:
-        pass
+        self.flush()
 
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
-        pass
+        self.flush()
 
     def flush(self) -> None:
         with self._lock:

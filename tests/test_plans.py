@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-import time
 import json
+import os
+import tempfile
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.regexes import compile_pattern
 from logloom.operators.replay import replay_admission, replay_lockout
+from logloom.plans import delivery as D
 from logloom.plans import ingest as I
 from logloom.plans import reports as R
 from logloom.plans import retention as K
@@ -18,7 +22,7 @@ from logloom.plans.control import AUDIT_EVENTS, COMPLETED, FAILED, PENDING, WITH
 from logloom.plans.preview import describe, preview_files
 from logloom.streaming.guards import late_events, stream_admission, stream_lockout
 from logloom.streaming.ingest import start_ingest
-from logloom.streaming.progress import ProgressFeed, progress_table, run_progress, with_rates
+from logloom.streaming.progress import ProgressFeed, live_progress, progress_table, run_progress, with_rates
 from tests.conftest import dicts
 
 PEOPLE = '{"name": "Alice", "age": 30}\n{"name": "Bob", "age": 25}\n{"name": "Charlie", "age": 35}\n'
@@ -177,6 +181,133 @@ def test_preview_again_under_another_reading(spark, put):
 # ---------------------------------------------------------------- control tables and retention
 
 
+# ---------------------------------------------------------------- delivery to an outside sink
+
+
+class FolderSink:
+    """Keeps one file per record id; busy on the first tries of a batch, refuses odd ages."""
+
+    def __init__(self, folder, busy=1):
+        self.folder, self.busy = folder, busy
+
+    def send(self, batch):
+        tries = os.path.join(self.folder, "tries-" + batch[0][0].replace("/", "-"))
+        with open(tries, "a") as seen:
+            seen.write("x")
+        if os.path.getsize(tries) <= self.busy:
+            raise D.RetryableError("busy")
+        errors = []
+        for key, text in batch:
+            refused = json.loads(text)["age"] % 2 == 1
+            errors.append("odd age" if refused else None)
+            if not refused:
+                with open(os.path.join(self.folder, "record-" + key.replace("/", "-")), "w") as out:
+                    out.write(text)
+        return errors
+
+
+def test_delivery_retries_and_repeats_harmlessly(warehouse, put, tmp_path):
+    people = "".join(json.dumps({"name": f"n{at % 7}", "age": at}) + "\n" for at in range(250)) + "bad\n"
+    run = I.ingest(warehouse, put("people.ndjson", people), "people", fmt="ndjson")
+    folder = str(tmp_path / "sink")
+    os.mkdir(folder)
+    for _ in range(2):
+        sent = D.deliver(warehouse, "people", run.run_id, lambda: FolderSink(folder), batch_records=40, first_pause=0.01)
+        assert sent == D.Delivery(run.run_id, 125, 125)
+    kept = [json.load(open(os.path.join(folder, name))) for name in os.listdir(folder) if name.startswith("record-")]
+    assert sorted(row["age"] for row in kept) == list(range(0, 250, 2))
+    refused = D.read_refused(warehouse, "people", run.run_id).collect()
+    assert sorted(json.loads(row["record"])["age"] for row in refused) == list(range(1, 250, 2))
+    assert {row["error"] for row in refused} == {"odd age"} and len({row["id"] for row in refused}) == 125
+    # a sink that stays busy fails the job
+    other = str(tmp_path / "busy")
+    os.mkdir(other)
+    with pytest.raises(Exception, match="busy"):
+        D.deliver(warehouse, "people", run.run_id, lambda: FolderSink(other, busy=99), first_pause=0.01)
+
+
+def test_batches_are_bounded():
+    rows = [("a", "x" * 10), ("b", "é" * 10), ("c", "y"), ("d", "z" * 500), ("e", ""), ("f", "")]
+    assert [[key for key, _ in batch] for batch in D.batches(iter(rows), 2, 30)] == [["a", "b"], ["c"], ["d"], ["e", "f"]]
+    assert list(D.batches(iter([]))) == []
+    pauses, tries = [], []
+
+    class Busy:
+        def send(self, batch):
+            tries.append(batch)
+            if len(tries) < 3:
+                raise D.RetryableError("busy")
+            return [None] * len(batch)
+
+    assert D.send_with_retries(Busy(), rows, 3, 1.0, pauses.append) == [None] * 6
+    assert pauses == [1.0, 2.0]
+
+
+# ---------------------------------------------------------------- control tables
+
+
+def test_long_logs_are_merged(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"), merge_files=8, merge_files_at_most=16)
+    for at in range(60):
+        warehouse.audit("logout", f"u{at}")
+        assert warehouse.audit_log().count() == at + 1
+        assert len(warehouse._log_files("audit_log")) <= 2 * 16
+    assert sorted(row["actor_id"] for row in warehouse.audit_log().collect()) == sorted(f"u{at}" for at in range(60))
+    merges = tmp_path / "w" / "_control" / "audit_log_merged"
+    assert 1 <= len(list(merges.iterdir())) <= 2
+
+
+def test_a_merge_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    warehouse = Warehouse(spark, str(tmp_path / "w"), merge_files=1000)
+    for at in range(5):
+        warehouse.track(f"t{at}")
+    reading = warehouse.tracked_targets()
+    monkeypatch.setattr(Warehouse, "_write_text", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        warehouse.merge_log("tracked_targets")
+    monkeypatch.undo()
+    assert warehouse.tracked_targets().count() == 5
+    assert warehouse.merge_log("tracked_targets")
+    warehouse.untrack("t1")
+    assert warehouse.tracked_targets().count() == 4 and reading.count() == 5
+    # another writer holds the lock
+    assert warehouse._take_lock(warehouse._control("tracked_targets_merging"))
+    assert not warehouse.merge_log("tracked_targets")
+    assert warehouse.tracked_targets().count() == 4
+
+
+def test_live_progress_of_a_running_ingest(spark, warehouse):
+    """Partly done while some tasks still run; the figures come from another thread."""
+    gate = tempfile.mktemp()
+
+    def wait(parts):
+        for part in parts:
+            if part["id"].iloc[0] >= 50:
+                while not os.path.exists(gate):
+                    time.sleep(0.05)
+            yield part
+
+    records = spark.range(0, 100, 1, 10).mapInPandas(wait, "id bigint")
+    result = []
+    job = threading.Thread(target=lambda: result.append(I.ingest_records(warehouse, records, "slow", run_id="r-live")))
+    job.start()
+    try:
+        for _ in range(200):
+            row = live_progress(warehouse, "r-live", total_records=100).first()
+            if 0 < row["processed"]:
+                break
+            time.sleep(0.1)
+        assert row["unit"] == "records" and 0 < row["processed"] < row["total"] == 100
+        assert row["elapsed_seconds"] > 0 and row["records_per_second"] > 0 and row["estimated_remaining_seconds"] > 0
+        tasks = live_progress(warehouse, "r-live").first()
+        assert tasks["unit"] == "tasks" and 0 < tasks["processed"] < tasks["total"]
+    finally:
+        open(gate, "w").close()
+        job.join()
+    assert result[0].processed == 100
+    assert live_progress(warehouse, "unknown").first()["total"] == 0
+
+
 def test_pending_runs_can_be_discarded(warehouse):
     for run, status in (("a", PENDING), ("b", COMPLETED)):
         warehouse.record_run({"id": run, "status": status, "step": 0})
