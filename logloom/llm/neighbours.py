@@ -1,15 +1,16 @@
-"""Nearest neighbours by cosine: vantage-point trees per shard, searched by blocks of queries."""
+"""Nearest neighbours by cosine: vantage-point trees per shard, through which queries stream."""
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.llm.common import stored
+from logloom.llm.common import probe_shards, stored
 
 LEAF_ROWS = 256
 
@@ -28,24 +29,10 @@ class VantageTree:
         self.nodes: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
         self._grow(0, len(ids))
         self.ids, self.vectors = ids[self.order], vectors[self.order]
-        self._measure()
-
-    def _measure(self) -> None:
         self.norms = np.linalg.norm(self.vectors, axis=1)
         self.units = self.vectors / self.norms[:, None]
         self.slack = chord_slack(self.vectors.shape[1])
 
-    def pack(self) -> bytes:
-        """Ids, vectors in tree order, and nodes; norms and unit vectors are made anew."""
-        return pickle.dumps((self.ids, self.vectors, self.nodes), 5)
-
-    @classmethod
-    def unpack(cls, blob: bytes) -> VantageTree:
-        tree = cls.__new__(cls)
-        tree.ids, tree.vectors, tree.nodes = pickle.loads(blob)
-        tree._measure()
-        return tree
-
     def _grow(self, start: int, end: int) -> None:
         spans = [(start, end)]
         while spans:
@@ -155,21 +142,29 @@ def usable(vector: str) -> Column:
     return column.isNotNull() & ~bad & F.exists(column, lambda x: x != 0)
 
 
+def by_width(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(components, ids, vectors as a matrix) of each length of vector among the rows."""
+    sizes = rows["width"].to_numpy()
+    for size in np.unique(sizes).tolist():
+        some = rows.filter(pa.array(sizes == size))
+        flat = some["vector"].combine_chunks() if isinstance(some, pa.Table) else some["vector"]
+        yield size, some["vec_id"].to_numpy(), flat.flatten().to_numpy().reshape(-1, size)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 5,
     factor: float = 1.0,
     shard_rows: int = 16_384,
-    block_rows: int = 2_048,
     id_column: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine of every query row.
 
     Rows are dealt by hash to shards of about `shard_rows`, each indexed by a vantage-point tree.
-    Queries meet every shard in blocks of `block_rows`; each block brings k rows per query back,
-    and the best k of them are ranked, ties to the smaller id. Larger `factor`s prune more and may
+    Queries stream through every shard's tree, which is built once, where it is searched; each
+    shard gives k rows per query, and the best k of them are ranked, ties to the smaller id. Larger `factor`s prune more and may
     miss neighbours; factor 1 is exact. Null, zero and non-finite vectors and null ids take no
     part, nor vectors of another length than the query's. Rows with the query's own id are not
     candidates; other repeated ids are candidates each. A repeated query id is searched once, with
@@ -183,8 +178,7 @@ def nearest(
         .select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "q")
     )
     queries = good.where("q").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n_rows, n_queries = good.count(), good.where("q").count()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // block_rows))
+    shards = max(1, -(-good.count() // shard_rows))
     width = F.size("vector")
     # repeated ids must not meet in one shard, so the row's place is dealt and not its id
     dealt = good.select(
@@ -194,39 +188,27 @@ def nearest(
         width.alias("width"),
     )
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", kind="stable")
-        tree = VantageTree(group["vec_id"].to_numpy(np.int64), np.stack(group["vector"].to_numpy()))
-        return pd.DataFrame(
-            {"shard": [group["shard"].iloc[0]], "width": [group["width"].iloc[0]], "tree": [tree.pack()]}
-        )
-
-    trees = stored(dealt.groupBy("shard", "width").applyInPandas(build, "shard int, width int, tree binary"))
-    asked = queries.select(
-        F.col("vec_id").alias("query_id"),
-        "vector",
-        width.alias("width"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
-    ).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(tree_rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(tree_rows) or not len(block):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tree = VantageTree.unpack(tree_rows["tree"].iloc[0])
-        ids = block["query_id"].to_numpy(np.int64)
-        rows, scores = tree.search(ids, np.stack(block["vector"].to_numpy()), k, factor)
-        hit = rows >= 0
-        return pd.DataFrame(
-            {"query_id": np.repeat(ids, k)[hit.ravel()], "vec_id": tree.ids[rows[hit]], "score": scores[hit]}
-        )
-
-    keys = ["shard", "width", "block"]
-    found = (
-        trees.groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInPandas(search, "query_id long, vec_id long, score double")
-    )
+    def build(parts: list[pa.RecordBatch]) -> dict[int, VantageTree]:
+        rows = pa.Table.from_batches(parts)
+        return {
+            size: VantageTree(ids[order], stack[order])
+            for size, ids, stack in by_width(rows)
+            for order in [np.argsort(ids, kind="stable")]
+        }
+
+    def probe(trees: dict[int, VantageTree], part: pa.RecordBatch) -> dict[str, object]:
+        found = []
+        for size, ids, stack in by_width(part):
+            if size in trees:
+                rows, scores = trees[size].search(ids, stack, k, factor)
+                hit = rows >= 0
+                found.append((np.repeat(ids, k)[hit.ravel()], trees[size].ids[rows[hit]], scores[hit]))
+        columns = zip(*found, strict=True) if found else ((np.zeros(0),),) * 3
+        return dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, columns), strict=True))
+
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = queries.select("vec_id", "vector", every_shard.alias("shard"), width.alias("width"))
+    found = probe_shards(dealt, asked, shards, build, probe, "query_id long, vec_id long, score double")
 
     # the window's limit is applied in every task before the shuffle, so k rows per query travel
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

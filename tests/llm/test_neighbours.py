@@ -51,7 +51,7 @@ def ask(spark, rows, **options):
     return found
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 200, "block_rows": 13}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 200}])
 def test_exact_at_factor_one(spark, monkeypatch, sizes):
     import logloom.llm.neighbours as neighbours
 
