@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.llm.common import broadcast_checked, stored
+from logloom.session import scratch_folder
 
 MESSAGE_COLUMNS = """conv_id long, turn long, role string, text string,
     tool_calls array<struct<id: string, name: string, arguments: string, after: array<string>>>,
     tool_call_id string"""
 SCHEMA_COLUMNS = "tool string, parameter string, type string, required boolean"
-BLOCK_TURNS = 1024
+# Levels and distances beyond this only arise on cycles, where they double each round.
+FAR = 1 << 60
 
 
 def find_calls(messages: DataFrame) -> DataFrame:
@@ -31,29 +33,59 @@ def find_results(messages: DataFrame) -> DataFrame:
     )
 
 
+def _redirected(waiting: DataFrame, through: DataFrame) -> DataFrame:
+    """`waiting` with each edge to a `need` of `through` replaced by what is known of that need.
+
+    The need's level is the larger of `reach` and, unless `to` is null, the level of `to` plus
+    `further`. Edges of one call to the same need become one, the longest.
+    """
+    edges = waiting.select("conv_id", "id", "base", F.explode("edges").alias("edge")).select(
+        "conv_id", "id", "base", "edge.*"
+    )
+    met = F.col("reach").isNotNull()
+    far = F.least(F.col("far") + F.when(met, F.col("further")).otherwise(0), F.lit(FAR))
+    base = F.greatest("base", F.when(met, F.least(F.col("reach") + F.col("far"), F.lit(FAR))))
+    need = F.when(met, F.col("to")).otherwise(F.col("need"))
+    moved = edges.join(through, ["conv_id", "need"], "left").select(
+        "conv_id", "id", base.alias("base"), need.alias("need"), far.alias("far")
+    )
+    longest = moved.groupBy("conv_id", "id", "need").agg(F.max("base").alias("base"), F.max("far").alias("far"))
+    edge = F.when(F.col("need").isNotNull(), F.struct("need", "far"))
+    return longest.groupBy("conv_id", "id").agg(F.max("base").alias("base"), F.collect_list(edge).alias("edges"))
+
+
 def topological_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 without needs, else one more than the highest level needed.
 
-    `needs` has (conv_id, id, need), both ends being nodes. Each round takes all calls of the
-    corpus whose needs are met, so there are as many rounds as levels, whatever the number of
-    conversations. Calls on or behind a cycle get no row.
+    `needs` has (conv_id, id, need), both ends being nodes. A call's level is the largest of `base`
+    and, over its edges, the needed call's level plus `far`. Each round puts in the levels found
+    last and then doubles chains: an edge to a call that waits for one call only goes on to that
+    call. A chain of n calls so takes about log2(n) rounds, whatever side needs it has that are
+    known; only calls that wait for two unknown ones at each step take a round a level. Calls on or
+    behind a cycle get no row.
     """
-    left = stored(needs.distinct())
     keys = ["conv_id", "id"]
-    waiting = stored(left.select(*keys).distinct())
-    newly = stored(nodes.join(waiting, keys, "left_anti").select(*keys, F.lit(0).alias("level")))
-    levels, round_ = newly, 0
-    while True:
-        met = newly.select("conv_id", F.col("id").alias("need"))
-        left = stored(left.join(met, ["conv_id", "need"], "left_anti"))
-        round_ += 1
-        newly = stored(
-            waiting.join(left.select(*keys), keys, "left_anti").select(*keys, F.lit(round_).alias("level"))
+    folder = scratch_folder(nodes.sparkSession)
+    edge = F.struct("need", F.lit(1).cast("long").alias("far"))
+    waiting = stored(needs.groupBy(*keys).agg(F.lit(0).cast("long").alias("base"), F.collect_set(edge).alias("edges")))
+    newly = stored(nodes.join(waiting, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level")))
+    while not newly.isEmpty():
+        newly.write.mode("append").parquet(folder)
+        known = newly.select("conv_id", F.col("id").alias("need"), F.col("level").alias("reach"))
+        none = (F.lit(None).cast("string").alias("to"), F.lit(None).cast("long").alias("further"))
+        told = stored(_redirected(waiting, known.select("*", *none)))
+        newly = told.where(F.size("edges") == 0).select(*keys, F.col("base").alias("level"))
+        rest = told.where(F.size("edges") > 0)
+        single = rest.where(F.size("edges") == 1).select(
+            "conv_id",
+            F.col("id").alias("need"),
+            F.col("base").alias("reach"),
+            F.col("edges")[0]["need"].alias("to"),
+            F.col("edges")[0]["far"].alias("further"),
         )
-        if newly.isEmpty():
-            return levels
-        levels = levels.unionByName(newly)
-        waiting = stored(waiting.join(newly.select(*keys), keys, "left_anti"))
+        waiting = stored(_redirected(rest, single))
+    newly.limit(0).write.mode("append").parquet(folder)
+    return nodes.sparkSession.read.schema(newly.schema).parquet(folder).select(*keys, F.col("level").cast("int"))
 
 
 def kind_of(schema: Column) -> Column:
@@ -119,12 +151,13 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds `position` from 0 in each conversation: by level, turn and id, rows without level last.
 
-    Rows are ranked in blocks of turns and shifted by the sizes of the blocks before, so one very
-    long conversation is spread over many tasks.
+    Rows are dealt to ranges of that order and ranked in each, then shifted by the sizes of the
+    ranges before, so one very long conversation is spread over many tasks, with turns or without.
     """
-    block = F.floor(F.coalesce("sort_turn", F.lit(-1)) / BLOCK_TURNS)
-    cut = rows.withColumn("last", F.col("level").isNull().cast("int")).withColumn("block", block)
-    cut = stored(cut.withColumn("rank_level", F.coalesce("level", F.lit(0))))
+    cut = rows.withColumn("last", F.col("level").isNull().cast("int"))
+    cut = cut.withColumn("rank_level", F.coalesce("level", F.lit(0)))
+    ordered = stored(cut).repartitionByRange("conv_key", "last", "rank_level", "sort_turn", "id")
+    cut = stored(ordered.withColumn("block", F.spark_partition_id()))
     keys = ["conv_key", "last", "rank_level", "block"]
     before = Window.partitionBy("conv_key").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

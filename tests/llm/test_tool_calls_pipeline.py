@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from logloom.llm.common import stored
 from logloom.llm.queries import TOXIC_FROM
-from logloom.llm.tool_calls import MESSAGE_COLUMNS, SCHEMA_COLUMNS, link_tool_calls
+from logloom.llm.tool_calls import MESSAGE_COLUMNS, SCHEMA_COLUMNS, link_tool_calls, topological_levels
 from logloom.llm.toxicity import score_toxicity, train_toxicity
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_near_copies import kept_by_brute_force
@@ -107,6 +108,46 @@ def test_long_conversation_and_none(linked):
     assert linked([]) == []
 
 
+def test_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    """2,000 calls that each need the one before, some an early one or the start too."""
+    import logloom.llm.tool_calls as tool_calls
+
+    written = []
+    monkeypatch.setattr(tool_calls, "stored", lambda df: written.append(1) or stored(df))
+    length = 2000
+    edges = [("a", f"i{at}", f"i{at - 1}") for at in range(1, length)]
+    edges += [("a", f"i{at}", "i0") for at in range(2, length, 7)]
+    edges += [("b", "x", "y"), ("b", "y", "x"), ("b", "z", "x"), ("b", "self", "self"), ("b", "v", "free")]
+    names = {(conv, name) for conv, id_, need in edges for name in (id_, need)}
+    nodes = spark.createDataFrame(sorted(names), "conv_id string, id string")
+    needs = spark.createDataFrame(edges, "conv_id string, id string, need string")
+    got = {(row.conv_id, row.id): row.level for row in topological_levels(nodes, needs).collect()}
+    want = {("a", f"i{at}"): at for at in range(length)} | {("b", "free"): 0, ("b", "v"): 1}
+    assert got == want
+    assert len(written) <= 2 + 2 * 13
+
+
+def test_levels_of_random_graphs(spark):
+    state = random.Random(4)
+    edges, want = [], {}
+    for graph in range(30):
+        levels = []
+        for at in range(25):
+            needed = state.sample(range(at), min(at, state.choice([0, 1, 1, 1, 2, 3])))
+            edges += [(str(graph), str(at), str(other)) for other in needed]
+            levels.append(1 + max((levels[other] for other in needed), default=-1))
+        want |= {(str(graph), str(at)): level for at, level in enumerate(levels)}
+    nodes = spark.createDataFrame(sorted(want), "conv_id string, id string")
+    needs = spark.createDataFrame(edges + edges[:9], "conv_id string, id string, need string")
+    assert {(row.conv_id, row.id): row.level for row in topological_levels(nodes, needs).collect()} == want
+
+
+def test_order_without_turns(linked):
+    """A conversation whose turns are all null is ordered by identifier, in as many ranges as there are."""
+    rows = linked([call(1, None, one(f"c{at:04d}")) for at in range(3000)])
+    assert [(row.position, row.call_id) for row in rows] == [(at, f"c{at:04d}") for at in range(3000)]
+
+
 def corpus():
     state = random.Random(11)
     words = ["".join(state.choices("abcdefghijklm", k=state.randint(2, 8))) for _ in range(3000)]
