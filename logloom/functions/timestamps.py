@@ -46,17 +46,17 @@ class Layout:
 
 _TIME = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
 _CLOCK = "H:mm[:ss]"
-_MONTH = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+MONTH = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
 # The text is cleaned before these apply: weekday and fraction dropped, month names cut to
 # three letters, white space collapsed.  First parsable layout wins, so month-first comes
 # before day-first for slashed dates.
 DEFAULT_LAYOUTS: tuple[Layout, ...] = (
-    Layout(rf"^[0-9]{{1,2}} {_MONTH} [0-9]{{4}}(?: {_TIME})?$", f"d MMM yyyy[ {_CLOCK}]"),
-    Layout(rf"^[0-9]{{1,2}} {_MONTH} [0-9]{{4}} {_TIME} [+-][0-9]{{4}}$", f"d MMM yyyy {_CLOCK} xx"),
-    Layout(rf"^[0-9]{{1,2}}-{_MONTH}-[0-9]{{4}}(?: {_TIME})?$", f"d-MMM-yyyy[ {_CLOCK}]"),
-    Layout(rf"^{_MONTH} [0-9]{{1,2}},? [0-9]{{4}}(?: {_TIME})?$", f"MMM d[,] yyyy[ {_CLOCK}]"),
-    Layout(rf"^{_MONTH} [0-9]{{1,2}} {_TIME} [0-9]{{4}}$", f"MMM d {_CLOCK} yyyy"),
+    Layout(rf"^[0-9]{{1,2}} {MONTH} [0-9]{{4}}(?: {_TIME})?$", f"d MMM yyyy[ {_CLOCK}]"),
+    Layout(rf"^[0-9]{{1,2}} {MONTH} [0-9]{{4}} {_TIME} [+-][0-9]{{4}}$", f"d MMM yyyy {_CLOCK} xx"),
+    Layout(rf"^[0-9]{{1,2}}-{MONTH}-[0-9]{{4}}(?: {_TIME})?$", f"d-MMM-yyyy[ {_CLOCK}]"),
+    Layout(rf"^{MONTH} [0-9]{{1,2}},? [0-9]{{4}}(?: {_TIME})?$", f"MMM d[,] yyyy[ {_CLOCK}]"),
+    Layout(rf"^{MONTH} [0-9]{{1,2}} {_TIME} [0-9]{{4}}$", f"MMM d {_CLOCK} yyyy"),
     Layout(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
     Layout(rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_TIME}$", f"M/d/yyyy {_CLOCK}"),
     Layout(rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_TIME} (?i:am|pm)$", "M/d/yyyy h:mm[:ss] a"),
@@ -65,7 +65,7 @@ DEFAULT_LAYOUTS: tuple[Layout, ...] = (
     Layout(rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(?: {_TIME})?$", f"yyyy-M-d[ {_CLOCK}]"),
     Layout(r"^[0-9]{8}T[0-9]{6}$", "yyyyMMdd'T'HHmmss"),
 )
-YEARLESS_LAYOUT = Layout(rf"^{_MONTH} [0-9]{{1,2}} {_TIME}$", f"yyyy MMM d {_CLOCK}")
+YEARLESS_LAYOUT = Layout(rf"^{MONTH} [0-9]{{1,2}} {_TIME}$", f"yyyy MMM d {_CLOCK}")
 
 
 def from_epoch(value: Column) -> Column:
@@ -96,7 +96,7 @@ def _from_iso(text: Column) -> Column:
     return F.concat(date, F.lit("T"), clock, zone).try_cast("timestamp")
 
 
-def _cleaned(text: Column) -> Column:
+def clean_time_text(text: Column) -> Column:
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(
         text, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:[a-z]*day|s|nes|rs|ur)?,? ", ""
@@ -113,7 +113,7 @@ def _cleaned(text: Column) -> Column:
 
 
 def _from_layouts(cleaned: Column, layouts: tuple[Layout, ...], default_year: int | None) -> Column:
-    branches = [
+    branches = [F.lit(None).cast("timestamp")] + [
         F.when(cleaned.rlike(layout.gate), F.try_to_timestamp(cleaned, F.lit(layout.pattern)))
         for layout in layouts
     ]
@@ -131,7 +131,7 @@ def from_text(
     default_year: int | None = None,
 ) -> Column:
     text = strip(text)
-    other = bind(_cleaned(text), lambda cleaned: _from_layouts(cleaned, layouts, default_year))
+    other = bind(clean_time_text(text), lambda cleaned: _from_layouts(cleaned, layouts, default_year))
     return (
         F.when(text == "", F.lit(None).cast("timestamp"))
         .when(text.rlike(STRICT_ISO), text.try_cast("timestamp"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.regexes import CompiledPattern, compile_pattern
+from logloom.functions.timestamps import DEFAULT_LAYOUTS, Layout
 from logloom.operators.mapping import DEFAULT_FILENAME_FIELD, map_fields
 from logloom.operators.profiling import MAX_FIELDS, detect_formats, format_agreement
 from logloom.plans.control import CANCELLED, COMMITTED, COMPLETED, FAILED, IN_PROGRESS, WITH_ERRORS, Warehouse, utc_now
@@ -49,6 +50,7 @@ class FieldPlan:
     field_types: Mapping[str, str] = field(default_factory=dict)
     filename_field: str | None = None
     default_year: int | None = None
+    layouts: tuple[Layout, ...] = DEFAULT_LAYOUTS
 
 
 @dataclass(frozen=True)
@@ -166,6 +168,7 @@ def split_outcomes(
         mapping.filename_field,
         F.col(SOURCE),
         passthrough=(SOURCE, ERROR, RECORD, ORIGINAL),
+        layouts=mapping.layouts,
         default_year=mapping.default_year,
     )
     kept = [name for name in mapped.columns if name not in (SOURCE, ERROR, RECORD, ORIGINAL)]
@@ -364,8 +367,12 @@ def ingest(
     run_id: str | None = None,
     user: str | None = None,
     default_year: int | None = None,
+    layouts: tuple[Layout, ...] = DEFAULT_LAYOUTS,
 ) -> IngestResult:
-    """Ingest files into a target; the format is detected unless given."""
+    """Ingest files into a target; the format is detected unless given.
+
+    ``layouts`` are those of the timestamp field, for example what ``column_layouts`` finds in it.
+    """
     problem = check_target_name(target, warehouse.prefix)
     if problem:
         raise TargetError(problem)
@@ -391,6 +398,7 @@ def ingest(
         field_types or {},
         filename_field if include_filename else None,
         default_year,
+        layouts,
     )
     details = {
         "filenames": [path.rstrip("/").rsplit("/", 1)[-1] for path in files],

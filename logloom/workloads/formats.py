@@ -10,6 +10,7 @@ from logloom.functions.coercion import coerce
 from logloom.functions.control import filename_display, filename_list, list_column, mapping_column
 from logloom.functions.timestamps import format_utc, parse_timestamp
 from logloom.operators.mapping import map_fields
+from logloom.operators.time_layouts import column_layouts, time_orders, time_shapes
 from logloom.sources.delimited import parse_records, spaced_records
 from logloom.sources.json_arrays import split_elements
 from logloom.sources.lines import lines_from_column
@@ -336,6 +337,69 @@ def normalised_times(spark: SparkSession, folder: str) -> DataFrame:
     return rendered.select("event_id", (F.col("event_id") % 9).alias("layout"), format_utc(parsed).alias("utc"))
 
 
+def _dated_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates as text: one column per habit, one that never tells, one of two habits."""
+    orders = spread_table(spark, folder, "orders", "o_orderkey").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    early = F.make_date(F.year("at"), F.month("at"), (F.day("at") - 1) % 12 + 1)
+    us, eu = F.date_format("at", "MM/dd/yyyy"), F.date_format("at", "dd/MM/yyyy")
+    return orders.select(
+        "o_orderkey",
+        us.alias("us"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.date_format("at", "d.M.yyyy H:mm")).otherwise(eu).alias("eu"),
+        F.date_format(early, "dd-MM-yyyy").alias("unsure"),
+        F.when(F.col("o_orderkey") % 3 == 0, eu).otherwise(us).alias("mixed"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.date_format("at", "H:mm, d MMM yyyy")).otherwise("soon").alias("named"),
+    )
+
+
+DATED = ("us", "eu", "unsure", "mixed", "named")
+
+
+@workload(
+    "time_orders",
+    """
+    WITH d AS (SELECT o_orderkey AS k, day(o_orderdate) AS day FROM orders),
+    v AS (
+        SELECT 'us' AS "column", 1 AS times, 1 AS numeric_dates, day > 12 AS m, FALSE AS d FROM d
+        UNION ALL SELECT 'eu', 1, 1, FALSE, day > 12 FROM d
+        UNION ALL SELECT 'unsure', 1, 1, FALSE, FALSE FROM d
+        UNION ALL SELECT 'mixed', 1, 1, day > 12 AND k % 3 <> 0, day > 12 AND k % 3 = 0 FROM d
+        UNION ALL SELECT 'named', CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, 0, FALSE, FALSE FROM d
+    )
+    SELECT *, CASE WHEN day_votes > month_votes THEN 'day' ELSE 'month' END AS date_order,
+           numeric_dates = 0 OR month_votes <> day_votes AS decided
+    FROM (SELECT "column", count(*) AS filled, CAST(sum(times) AS BIGINT) AS times,
+                 CAST(sum(numeric_dates) AS BIGINT) AS numeric_dates,
+                 count(*) FILTER (WHERE m) AS month_votes, count(*) FILTER (WHERE d) AS day_votes
+          FROM v GROUP BY "column")
+    """,
+)
+def date_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of day and month comes first in each column, and where nothing tells."""
+    return time_orders(time_shapes(_dated_columns(spark, folder), DATED))
+
+
+@workload(
+    "column_dates",
+    """
+    WITH d AS (SELECT o_orderkey, o_orderdate AS placed, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS utc FROM orders)
+    SELECT o_orderkey, utc AS us, utc AS eu,
+           strftime(make_date(year(placed), (day(placed) - 1) % 12 + 1, month(placed)), '%Y-%m-%dT00:00:00Z') AS unsure,
+           CASE WHEN o_orderkey % 3 <> 0 THEN utc
+                WHEN day(placed) <= 12 THEN strftime(make_date(year(placed), day(placed), month(placed)), '%Y-%m-%dT00:00:00Z') END AS mixed,
+           CASE WHEN o_orderkey % 2 = 0 THEN utc END AS named
+    FROM d
+    """,
+)
+def column_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """The same columns normalised, each by its own layouts and one order."""
+    rendered = _dated_columns(spark, folder)
+    times = column_layouts(rendered, DATED)
+    kind = rendered.schema["us"].dataType
+    read = [format_utc(parse_timestamp(F.col(name), kind, times[name].layouts)).alias(name) for name in DATED]
+    return rendered.select("o_orderkey", *read)
+
+
 @workload(
     "coerced_values",
     """

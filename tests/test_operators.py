@@ -13,11 +13,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logloom.functions.timestamps import clean_time_text, format_utc, from_text, parse_timestamp
 from logloom.operators import profiling as P
 from logloom.operators.mapping import map_fields
 from logloom.operators.multiline import merge_lines
 from logloom.operators import replay
 from logloom.operators.replay import recent_counts, replay_admission, replay_lockout, trailing_counts
+from logloom.operators.time_layouts import column_layouts, layout_of, shape_of
 from logloom.sources import lines as lines_module
 from logloom.sources.delimited import tabular_check
 from logloom.sources.lines import leading_lines, lines_from_column, read_lines
@@ -436,3 +438,62 @@ def test_trailing_and_recent_counts(spark, history):
     assert {row["k"]: row["recent"] for row in recent.collect()} == {
         key: len(values) - bisect_right(values, cutoff) for key, values in times.items()
     }
+
+
+# ---------------------------------------------------------------- layouts of time columns
+
+
+def _read_by_column(spark, values, **options):
+    frame = spark.createDataFrame([(value,) for value in values], "at string")
+    times = column_layouts(frame, ["at"], **options)["at"]
+    parsed = format_utc(parse_timestamp(F.col("at"), frame.schema["at"].dataType, times.layouts))
+    return times, [row.utc for row in frame.select(parsed.alias("utc")).collect()]
+
+
+@pytest.mark.parametrize(
+    ("values", "order", "decided", "read"),
+    [
+        (["01/02/2024", "13/02/2024", None, ""], "day", True, ["2024-02-01T00:00:00Z", "2024-02-13T00:00:00Z", None, None]),
+        (["01/02/2024", "02/13/2024"], "month", True, ["2024-01-02T00:00:00Z", "2024-02-13T00:00:00Z"]),
+        (["1.2.24", "31.12.24 7:05"], "day", True, ["2024-02-01T00:00:00Z", "2024-12-31T07:05:00Z"]),
+        (["01-02-2024", "never"], "month", False, ["2024-01-02T00:00:00Z", None]),
+        (["13/02/2024", "02/13/2024"], "month", False, [None, "2024-02-13T00:00:00Z"]),
+        (["13/02/2024", "02/13/2024", "14.02.2024"], "day", True, ["2024-02-13T00:00:00Z", None, "2024-02-14T00:00:00Z"]),
+        (
+            ["10:15:30, 5 March 2024", "March 5, 2024 3:04 PM", "2024/3/5 1:02", "5-Mar-24", "2024-Mar-5"],
+            "month",
+            True,
+            ["2024-03-05T10:15:30Z", "2024-03-05T15:04:00Z", "2024-03-05T01:02:00Z"] + ["2024-03-05T00:00:00Z"] * 2,
+        ),
+        (
+            ["2024-01-15T00:00:00Z", "1705276800", "5 Mar 2024 10:00:00 +0200"],
+            "month",
+            True,
+            ["2024-01-15T00:00:00Z", "2024-01-15T00:00:00Z", "2024-03-05T08:00:00Z"],
+        ),
+        ([None], "month", True, [None]),
+    ],
+)
+def test_layouts_of_a_column(spark, values, order, decided, read):
+    times, got = _read_by_column(spark, values)
+    assert (times.order, times.decided, got) == (order, decided, read)
+
+
+def test_default_order_of_an_undecided_column(spark):
+    times, got = _read_by_column(spark, ["01/02/2024"], default_order="day")
+    assert (times.order, times.decided, got) == ("day", False, ["2024-02-01T00:00:00Z"])
+
+
+def test_every_shape_has_a_working_layout(spark):
+    """Each shape of the grammar: its layout reads a value of that shape."""
+    dates = ["N/N/Y", "N.N.N", "N N Y", "N B Y", "N-B-N", "NBY", "B N, Y", "B N Y", "Y-N-N", "Y/B/N"]
+    clocks = ["", ", N:N:N", "tN:N", " N:NP", " N:N:N Z"]
+    shapes = [date + clock for date in dates for clock in clocks] + ["N:N " + date for date in dates]
+    sample = {"N": "07", "Y": "2024", "B": "Jul", "P": "am", "Z": "+0000", "t": "T"}
+    rows = [(shape, "".join(sample.get(char, char) for char in shape)) for shape in shapes]
+    read = [from_text(F.lit(value), (layout_of(shape, "day"),)).cast("date").cast("string") for shape, value in rows]
+    days = spark.range(1).select(F.array(*read).alias("days")).first().days
+    want = ["2024-07-07" if "Y" in shape else "2007-07-07" for shape in shapes]
+    assert dict(zip(shapes, days, strict=True)) == dict(zip(shapes, want, strict=True))
+    found = spark.createDataFrame(rows, "shape string, at string").select("shape", shape_of(clean_time_text(F.col("at"))).alias("got"))
+    assert {row.shape: row.got for row in found.collect()} == dict(zip(shapes, shapes, strict=True))
