@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from logloom.llm.mixing import mix, mixed_documents, word_count
@@ -40,6 +43,27 @@ def test_weights_decide_shares_and_seed_the_place(spark):
             with_shards(keys, "key", weights)
 
 
+def placed_by_hand(key, weights, seed):
+    """The shard of largest -weight / ln(u), with the hash chained over key, seed and shard by the xxhash library."""
+
+    def score(shard):
+        state = 42
+        for part in (struct.pack("<q", key), struct.pack("<i", seed), struct.pack("<i", shard)):
+            state = xxhash.xxh64_intdigest(part, seed=state)
+        return weights[shard] / -math.log(((state >> 11) + 0.5) / 2**53)
+
+    return max(range(len(weights)), key=score)
+
+
+@pytest.mark.parametrize(("weights", "seed"), [([1.0] * 8, 0), ([0.5, 2.0, 1.0], 7)])
+def test_places_equal_an_independent_computation(spark, weights, seed):
+    keys = [0, 1, -1, 2**62, -(2**63), *range(1000, 3000)]
+    frame = spark.createDataFrame([(key,) for key in keys], "key long")
+    for row in with_shards(frame, "key", weights, 1.0, seed).collect():
+        assert row.shard == placed_by_hand(row.key, weights, seed)
+        assert row.grown_shard == placed_by_hand(row.key, [*weights, 1.0], seed)
+
+
 def test_written_shards(spark, documents_of, tmp_path):
     frame = documents_of([(at, f"t{at}") for at in range(50)])
     write_shards(frame, "doc_id", [1.0, 1.0, 1.0], str(tmp_path / "shards"))
