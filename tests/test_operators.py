@@ -484,6 +484,17 @@ def test_default_order_of_an_undecided_column(spark):
     assert (times.order, times.decided, got) == ("day", False, ["2024-02-01T00:00:00Z"])
 
 
+def test_mapping_with_the_layouts_of_a_column(spark):
+    frame = spark.createDataFrame([("01/02/2024", 1), ("13/02/2024", 2), ("x", 3)], "seen string, n int")
+    times = column_layouts(frame, ["seen"])["seen"]
+    rows = map_fields(frame, timestamp_field="seen", layouts=times.layouts).orderBy("n").collect()
+    assert [(row["@timestamp"], row.seen) for row in rows] == [
+        ("2024-02-01T00:00:00Z", "2024-02-01T00:00:00Z"), ("2024-02-13T00:00:00Z", "2024-02-13T00:00:00Z"), (None, "x")
+    ]
+    empty = column_layouts(frame.limit(0), ["seen"])["seen"]
+    assert (empty.layouts, empty.decided) == ((), True)
+
+
 def test_every_shape_has_a_working_layout(spark):
     """Each shape of the grammar: its layout reads a value of that shape."""
     dates = ["N/N/Y", "N.N.N", "N N Y", "N B Y", "N-B-N", "NBY", "B N, Y", "B N Y", "Y-N-N", "Y/B/N"]
