@@ -99,7 +99,7 @@ def test_arguments_against_schemas(linked):
 
 
 def test_long_conversation_and_none(linked):
-    """Positions run on over blocks of turns, and a chain of needs is followed to its end."""
+    """Positions run on over ranges of a long conversation; no messages give no rows."""
     messages = [call(1, turn, one(f"id{turn}")) for turn in range(0, 5000, 7)]
     random.Random(1).shuffle(messages)
     rows = linked(messages)
