@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingle similarity of 0.8 or more) stays."""
+    """One document of each group of near copies stays: SimHash groups and min-wise keys give the
+    candidates, a five-word shingle similarity of 0.8 or more decides."""
     return keep_one(docs)
 
 

@@ -1,4 +1,4 @@
-"""One row of each group of near copies: candidates by min-wise prints, each link confirmed exactly."""
+"""One row of each group of near copies: candidates by SimHash and min-wise prints, each link confirmed exactly."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import SEED, broadcast_checked, map_slices, shingles, stored
 from logloom.llm.components import connected_components
+from logloom.llm.simhash import hashes_of, majority_bits, rooted_prints
 
 WIDTH = 5
+#: bits in which two SimHash fingerprints of a group may differ
+RADIUS = 4
 #: a pair with similarity s shares none of the keys with probability (1 - s**BAND_ROWS) ** BANDS: 0.00022 at 0.8
 BANDS, BAND_ROWS = 16, 4
 BLOCK = 4096
@@ -22,8 +25,7 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dt
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
-    pieces = set(shingles(text, width))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(piece, SEED) for piece in pieces), np.uint64, len(pieces)))
+    return np.unique(hashes_of(shingles(text, width)))
 
 
 def set_key(values: np.ndarray) -> int:
@@ -149,20 +151,22 @@ def _cross_parts(members: DataFrame, buckets: DataFrame, links: DataFrame, block
 
 
 def printed_sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, node, n, bands) for every row: its shingle set's key, size and band keys."""
+    """(doc_id, row_hash, fp, node, n, bands) for every row: SimHash fingerprint, shingle set's key, size and band keys."""
 
     def handle(batch: pa.RecordBatch) -> dict[str, object]:
-        sets = [shingle_set(text) for text in batch.column(2).to_pylist()]
+        hashes = [hashes_of(shingles(text, WIDTH)) for text in batch.column(2).to_pylist()]
+        sets = [np.unique(one) for one in hashes]
         return {
             "doc_id": batch.column(0),
             "row_hash": batch.column(1),
+            "fp": np.array([majority_bits(one) for one in hashes], dtype=np.uint64).view(np.int64),
             "node": np.array([set_key(one) for one in sets], dtype=np.uint64).view(np.int64),
             "n": np.array([len(one) for one in sets], dtype=np.int64),
             "bands": [band_keys(one).view(np.int64) for one in sets],
         }
 
     narrow = documents.select("doc_id", row_hash(documents).alias("row_hash"), "text")
-    return map_slices(narrow, handle, "doc_id long, row_hash long, node long, n long, bands array<long>")
+    return map_slices(narrow, handle, "doc_id long, row_hash long, fp long, node long, n long, bands array<long>")
 
 
 def row_hash(documents: DataFrame) -> Column:
@@ -188,10 +192,22 @@ def _sets_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_slices(texts, handle, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _simhash_entries(printed: DataFrame) -> DataFrame:
+    """(node, n, t, key) with the SimHash group of each node as its key.
+
+    Groups are what fingerprints within RADIUS bits connect. A node has a key for each fingerprint
+    of its texts, which may hold the same shingles in other numbers.
+    """
+    prints = stored(printed.where("n > 0").select("node", "n", "fp").distinct())
+    rooted = rooted_prints(prints.select("fp").distinct(), RADIUS, BLOCK)
+    return prints.join(rooted, "fp").select("node", "n", F.lit(BANDS).alias("t"), F.col("root").alias("key")).distinct()
+
+
 def near_copy_links(documents: DataFrame, printed: DataFrame, block_rows: int = 256) -> DataFrame:
     """Links (a, b) between keys of shingle sets that connect all pairs of candidates with similarity >= 0.8.
 
-    Sets with a band key in common are candidates. First each bucket's members are compared in
+    Sets of one SimHash group or with a band key in common are candidates, and either makes a
+    bucket. First each bucket's members are compared in
     blocks of about `block_rows`, its smallest member in all of them, which decides every bucket
     of one block. Where a larger bucket is not one group by then, its blocks are compared in
     pairs, but for those inside its largest group. No bucket is dropped or cut.
@@ -201,7 +217,8 @@ def near_copy_links(documents: DataFrame, printed: DataFrame, block_rows: int =
         .groupBy("node")
         .agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("t", "key"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("t", "key"))
+    entries = banded.unionByName(stored(_simhash_entries(printed)))
     found = (
         entries.groupBy("t", "key")
         .agg(
@@ -234,9 +251,10 @@ def keep_one(documents: DataFrame, block_rows: int = 256) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, null ids last.
 
     Near copies have five-word shingle sets with a Jaccard similarity of at least 0.8, and groups
-    are what such pairs connect. Each link is confirmed on the whole sets. Candidates are sets that
-    share one of BANDS keys, so a pair at 0.8 is not seen with probability 0.00022, a closer one
-    with less. Of several rows with the smallest id the one with the smallest row hash stays, and
+    are what such pairs connect. Each link is confirmed on the whole sets. Candidates are the groups
+    of op1's SimHash links over fingerprints of these shingles and, as at 0.8 some 10 of 64 bits differ, sets that
+    share one of BANDS min-wise keys, so a pair at 0.8 is not seen with probability 0.00022, a
+    closer one with less. Of several rows with the smallest id the one with the smallest row hash stays, and
     one of rows that are equal throughout. All texts without words are one group. Columns are those
     of `documents`.
     """

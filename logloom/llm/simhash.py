@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import BROADCAST_ROWS, SEED, map_slices, shingles, stored
 from logloom.llm.components import connected_components
-from logloom.llm.near_copies import keep_one
 
 __all__ = ["keep_one", "fingerprint", "near_links", "simhash_groups"]
 
@@ -20,20 +19,24 @@ BITS = 64
 BLOCK = 4096
 
 
-def majority_bits(pieces: list[bytes], seed: int = SEED) -> int:
-    """The 64 bits that are set in over half of the pieces' hashes; 0 without pieces."""
+def hashes_of(pieces: list[bytes], seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each piece, repeats included."""
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(piece, seed) for piece in pieces), np.uint64, len(pieces))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; 0 without any."""
     counts = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(pieces), BLOCK):
-        block = pieces[start : start + BLOCK]
-        hashes = np.fromiter((digest(piece, seed) for piece in block), np.uint64, len(block))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for start in range(0, len(hashes), BLOCK):
+        block = hashes[start : start + BLOCK]
+        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(pieces), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
-    return majority_bits(shingles(text, width))
+    return majority_bits(hashes_of(shingles(text, width)))
 
 
 def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
@@ -189,3 +192,10 @@ def simhash_groups(documents: DataFrame, width: int = 4, radius: int = 4, bucket
     return printed.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(documents: DataFrame, block_rows: int = 256) -> DataFrame:
+    """One row of each group of near copies, see :func:`logloom.llm.near_copies.keep_one`."""
+    from logloom.llm.near_copies import keep_one as keep  # which takes its groups from here
+
+    return keep(documents, block_rows)

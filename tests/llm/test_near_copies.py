@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from logloom.llm.near_copies import BAND_ROWS, BANDS, band_keys, keep_one, shingle_set
+from logloom.llm.near_copies import BAND_ROWS, BANDS, band_keys, keep_one, near_copy_links, printed_sets, shingle_set
+from logloom.llm.simhash import fingerprint
 
 WORDS = [f"word{at}" for at in range(3000)]
 
@@ -81,3 +83,29 @@ def test_pairs_at_the_threshold_are_candidates():
         pairs += 1
         missed += not (band_keys(shingle_set(text)) == band_keys(shingle_set(other))).any()
     assert missed <= 3
+
+
+def test_simhash_groups_are_candidates(documents_of):
+    """Without min-wise keys the pairs within four bits are still compared, and only those at 0.8 link."""
+    random.seed(9)
+    rows = []
+    for base in range(40):
+        words = random.sample(WORDS, 150)
+        # one more shingle among 1,900 moves few bits or none
+        rows += [(10 * base, " ".join(words * 13)), (10 * base + 1, " ".join(words * 13 + ["more"]))]
+    documents = documents_of(rows)
+    printed = printed_sets(documents).withColumn("bands", F.array().cast("array<long>"))
+    prints = {row.doc_id: row for row in printed.collect()}
+    assert all(row.fp % 2**64 == fingerprint(text, 5) for (doc_id, text) in rows for row in [prints[doc_id]])
+    near = {(at, at + 1) for at in range(0, 400, 10) if ((prints[at].fp ^ prints[at + 1].fp) % 2**64).bit_count() <= 4}
+    assert len(near) >= 30
+    found = {tuple(sorted(row)) for row in near_copy_links(documents, printed).collect()}
+    assert found == {tuple(sorted((prints[a].node, prints[b].node))) for a, b in near}
+
+
+def test_simhash_groups_are_confirmed(documents_of):
+    """Two texts with one fingerprint and too few shingles in common stay apart."""
+    rows = [(1, "one two three four five six seven eight"), (2, "nine ten eleven twelve more words of it")]
+    documents = documents_of(rows)
+    printed = printed_sets(documents).withColumn("bands", F.array().cast("array<long>")).withColumn("fp", F.lit(7).cast("long"))
+    assert near_copy_links(documents, printed).count() == 0
