@@ -1,16 +1,20 @@
 """Admission and lockout on event streams.
 
 Events of a key are held back until the watermark has passed their slot, a fraction of the rule's
-window, and are then decided in event-time order.  State per key is a list of the counted times
-(never more than the limit), a map of held events by slot, and one timer, at the end of the first
-slot held; what a trigger reads and writes is the slots it touches, however long the key's history
-is.  Later events are dropped by the watermark and counted, see :func:`late_events`.  A last timer
-clears the counted times once the window has left them, in event time; a TTL would go by the clock
-of the machines and forget counted times when an old log is replayed.
+window, and are then decided in event-time order.  Every call to the state is a message to another
+process, so keys are dealt to BUCKETS groups that share a state and a timer: a trigger adds the events
+of a bucket as entries of up to ENTRY_EVENTS under the first of their slots, and the number of calls
+grows with the buckets it touches, not with their keys or the time it spans.  Beside the held events
+the state of a bucket is the list of counted times (never more than the limit) of each key that has
+some in the window.  What a trigger reads and writes is the entries and the counted times of the buckets
+it touches, however long the history is.  Later events are dropped by the watermark and counted, see
+:func:`late_events`.  Counted times are cleared once the window has left them, at the latest by a last
+timer, in event time; a TTL would go by the clock of the machines and forget counted times when an
+old log is replayed.
 
 A stream that has come to its end still holds the events that its watermark has not passed;
 :func:`held_admission` and :func:`held_lockout` decide those from the query's last state.
-Bound the rows of a trigger at the source (``maxFilesPerTrigger``): a key's rows of one trigger
+Bound the rows of a trigger at the source (``maxFilesPerTrigger``): a bucket's rows of one trigger
 pass one task.
 """
 
@@ -34,14 +38,16 @@ from logloom.operators.replay import (
 
 _OUT = "key string, at bigint, id bigint, ok boolean, first int, second int"
 _NAMES = ["key", "at", "id", "ok", "first", "second"]
-_EVENTS = "at array<bigint>, id array<bigint>, failed array<boolean>"
+_EVENTS = "key array<string>, at array<bigint>, id array<bigint>, failed array<boolean>"
+# Groups of keys and events of one entry of the state; a query keeps those it was started with.
+BUCKETS, ENTRY_EVENTS = 1024, 16384
 # Slots of a window in which events are held together.
 SLOTS = 4
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class GuardProcessor(StatefulProcessor):
-    """One rule over the events of each key, in event-time order."""
+    """One rule over the events of the keys of each bucket, in event-time order."""
 
     def __init__(self, rule: str, limit: int, window: int) -> None:
         self.rule, self.limit, self.window = rule, limit, window
@@ -49,24 +55,34 @@ class GuardProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.taken = handle.getListState("taken", "at bigint")
-        self.held = handle.getMapState("held", "slot bigint", _EVENTS)
+        self.taken = handle.getValueState("taken", "key array<string>, at array<array<bigint>>")
+        self.held = handle.getMapState("held", "slot bigint, part bigint", _EVENTS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slots: dict[int, tuple[list, list, list]] = {}
+        part = self._next_part(self.held.keys())
+        first = None
         for batch in rows:
-            for at, id_, failed in zip(batch["at"].tolist(), batch["id"].tolist(), batch["failed"].tolist()):
-                own = slots.setdefault(at // (self.slot_ms * 1000), ([], [], []))
-                for part, value in zip(own, (at, id_, bool(failed))):
-                    part.append(value)
-        known = {slot for (slot,) in self.held.keys()}
-        for slot, own in slots.items():
-            if slot in known:
-                own = tuple([*old, *new] for old, new in zip(self.held.getValue((slot,)), own))
-            self.held.updateValue((slot,), own)
-        self._wake((min(slots) + 1) * self.slot_ms)
+            for start in range(0, len(batch), ENTRY_EVENTS):
+                some = batch.iloc[start : start + ENTRY_EVENTS]
+                failed = some["failed"].astype(bool)
+                slot = self._hold(part, *(one.tolist() for one in (some["key"], some["at"], some["id"], failed)))
+                first, part = slot if first is None else min(first, slot), part + 1
+        if first is not None:
+            self._wake((first + 1) * self.slot_ms)
         return iter(())
 
+    def _next_part(self, entries) -> int:
+        return max((part for _, part in entries), default=-1) + 1
+
+    def _slot(self, at: int) -> int:
+        return at // (self.slot_ms * 1000)
+
+    def _hold(self, part: int, keys: list, at: list, ids: list, failed: list) -> int:
+        """Add events to the state as one entry, under the first of their slots, which is returned."""
+        slot = self._slot(min(at))
+        self.held.updateValue((slot, part), (keys, at, ids, failed))
+        return slot
+
     def _wake(self, at_ms: int) -> None:
         """Keep one timer, at the earliest moment asked for."""
         timers = list(self.handle.listTimers())
@@ -75,38 +91,60 @@ class GuardProcessor(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(at_ms)
 
-    def _due(self, watermark_ms: int) -> tuple[list[tuple], int | None]:
-        """Events of all slots that the watermark has passed, taken out of the state, and the next slot."""
-        slots = sorted(slot for (slot,) in self.held.keys())
-        due = [slot for slot in slots if (slot + 1) * self.slot_ms <= watermark_ms]
-        if len(due) == len(slots):
+    def _due(self, first: int) -> tuple[dict[str | None, list[tuple]], int | None]:
+        """Events by key of all slots before `first`, taken out of the state, and the next slot held.
+
+        An entry may reach into slots that aren't due. What it holds of those is then kept slot by
+        slot, so that a wide entry is not written again for each of them.
+        """
+        entries = list(self.held.keys())
+        due = [entry for entry in entries if entry[0] < first]
+        if len(due) == len(entries):
             found = [events for _, events in self.held.iterator()]
             self.held.clear()
         else:
-            found = [self.held.getValue((slot,)) for slot in due]
-            for slot in due:
-                self.held.removeKey((slot,))
-        later = slots[len(due)] if len(due) < len(slots) else None
-        return sorted(event for events in found for event in zip(*events)), later
+            found = [self.held.getValue(entry) for entry in due]
+            for entry in due:
+                self.held.removeKey(entry)
+        ripe: dict[str | None, list[tuple]] = {}
+        early: dict[int, list[tuple]] = {}
+        for key, at, id_, failed in (event for events in found for event in zip(*events)):
+            slot = self._slot(at)
+            if slot < first:
+                ripe.setdefault(key, []).append((at, id_, failed))
+            else:
+                early.setdefault(slot, []).append((key, at, id_, failed))
+        part = self._next_part(entries)
+        for events in early.values():
+            for start in range(0, len(events), ENTRY_EVENTS):
+                self._hold(part, *(list(one) for one in zip(*events[start : start + ENTRY_EVENTS])))
+                part += 1
+        return ripe, min([*early, *(slot for slot, _ in entries if slot >= first)], default=None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark_ms = timerValues.getCurrentWatermarkInMs()
-        events, later = self._due(watermark_ms)
-        rule = RULES[self.rule](self.limit, self.window)
-        rule.restore([int(row[0]) for row in self.taken.get()])
-        rows = [(key[0], int(at), int(id_), *rule.decide(int(at), bool(failed))) for at, id_, failed in events]
+        first = watermark_ms // self.slot_ms
+        ripe, later = self._due(first)
+        taken = dict(zip(*(self.taken.get() or ([], []))))
+        rows = []
+        for own, events in ripe.items():
+            rule = RULES[self.rule](self.limit, self.window)
+            rule.restore([int(at) for at in taken.get(own, [])])
+            rows += [(own, int(at), int(id_), *rule.decide(int(at), bool(failed))) for at, id_, failed in sorted(events)]
+            taken[own] = list(rule.dump())
         # events of the slot that the watermark is in may still come or be held
-        horizon = watermark_ms // self.slot_ms * self.slot_ms * 1000
-        left = [at for at in rule.dump() if at + self.window > horizon]
-        if left:
-            self.taken.put([(at,) for at in left])
-        else:
+        horizon = first * self.slot_ms * 1000
+        live = {own: [at for at in times if at + self.window > horizon] for own, times in taken.items()}
+        live = {own: times for own, times in live.items() if times}
+        if live:
+            self.taken.update((list(live), list(live.values())))
+        elif taken:
             self.taken.clear()
         if later is not None:
             self.handle.registerTimer((later + 1) * self.slot_ms)
-        elif left:
+        elif live:
             # wake once more when the window has left them all
-            self.handle.registerTimer((left[-1] + self.window) // 1000 + 1)
+            self.handle.registerTimer((max(times[-1] for times in live.values()) + self.window) // 1000 + 1)
         if rows:
             yield pd.DataFrame(rows, columns=_NAMES)
 
@@ -128,7 +166,8 @@ def _decided(
     )
     return (
         ready.withWatermark("ts", lateness)
-        .groupBy("key")
+        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+        .groupBy("bucket")
         .transformWithStateInPandas(GuardProcessor(rule, limit, window), _OUT, "append", "eventTime")
     )
 
@@ -146,14 +185,10 @@ def _read_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
 
 def _held(spark: SparkSession, checkpoint: str, rule: str, limit: int, window: int) -> DataFrame:
     """Decisions for the events that the last state of a finished query still holds."""
-    taken = (
-        _read_state(spark, checkpoint, "taken")
-        .groupBy(F.col("key.key").alias("key"))
-        .agg(F.array_sort(F.collect_list(F.col("list_element.at"))).alias("taken"))
-    )
-    held = _read_state(spark, checkpoint, "held").select(
-        F.col("key.key").alias("key"), F.inline(F.arrays_zip("user_map_value.at", "user_map_value.id", "user_map_value.failed"))
-    )
+    taken = _read_state(spark, checkpoint, "taken").select(F.inline(F.arrays_zip("value.key", "value.at")))
+    taken = taken.toDF("key", "taken")
+    events = [f"user_map_value.{name}" for name in ("key", "at", "id", "failed")]
+    held = _read_state(spark, checkpoint, "held").select(F.inline(F.arrays_zip(*events)))
     start = F.lit(None).cast("bigint")
     rows = held.toDF("key", "at", "id", "failed").withColumn("taken", F.lit(None).cast("array<bigint>")).unionByName(
         taken.select("key", start.alias("at"), start.alias("id"), F.lit(None).cast("boolean").alias("failed"), "taken")

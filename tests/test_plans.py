@@ -5,22 +5,24 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import random
 import tempfile
 import threading
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.regexes import compile_pattern
-from logloom.operators.replay import replay_admission, replay_lockout
+from logloom.operators.replay import RULES, replay_admission, replay_lockout
 from logloom.plans import delivery as D
 from logloom.plans import ingest as I
 from logloom.plans import reports as R
 from logloom.plans import retention as K
 from logloom.plans.control import AUDIT_EVENTS, COMPLETED, FAILED, PENDING, WITH_ERRORS, Warehouse, utc_now
 from logloom.plans.preview import describe, preview_files
-from logloom.streaming.guards import late_events, stream_admission, stream_lockout
+from logloom.streaming.guards import GuardProcessor, late_events, stream_admission, stream_lockout
 from logloom.streaming.ingest import start_ingest
 from logloom.streaming.progress import ProgressFeed, live_progress, progress_table, run_progress, with_rates
 from tests.conftest import dicts
@@ -499,6 +501,91 @@ def test_stream_guards_equal_the_replays(spark, tmp_path):
     assert live.count() == 1000 and live.exceptAll(batch).count() == 0
 
 
+class CountedState:
+    """The states of one bucket in memory, with the number of calls to them."""
+
+    def __init__(self, handle=None):
+        self.calls, self.value, self.map, self.timers, self.handle = 0, None, {}, set(), handle or self
+
+    def getValueState(self, *_):
+        return CountedState(self)
+
+    getMapState = getListState = getValueState
+
+    def _counted(self, result=None):
+        self.handle.calls += 1
+        return result
+
+    def get(self):
+        return self._counted(self.value)
+
+    def update(self, value):
+        self._counted()
+        self.value = value
+
+    def keys(self):
+        return self._counted(iter([*self.map]))
+
+    def iterator(self):
+        return self._counted(iter([*self.map.items()]))
+
+    def getValue(self, key):
+        return self._counted(self.map[key])
+
+    def updateValue(self, key, value):
+        self._counted()
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self._counted()
+        del self.map[key]
+
+    def clear(self):
+        self._counted()
+        self.map, self.value = {}, None
+
+    def listTimers(self):
+        return self._counted(iter([*self.timers]))
+
+    def registerTimer(self, at):
+        self._counted()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._counted()
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_stream_guard_calls_the_state_by_bucket():
+    """Many keys and many slots of a trigger cost a few calls; partly passed entries lose nothing."""
+    state, choice = CountedState(), random.Random(3)
+    guard = GuardProcessor("admission", 2, 60_000_000)
+    guard.init(state)
+    keys = [None, *(f"k{at}" for at in range(99))]
+    events = [(choice.choice(keys), choice.randrange(3600) * 1_000_000, at) for at in range(20_000)]
+    got, last = [], 0
+    for until in (1800, 2400, 2407, 2408, 3600):
+        batch = pd.DataFrame([event for event in events if last <= event[1] // 1_000_000 < until], columns=["key", "at", "id"])
+        before = state.calls
+        list(guard.handleInputRows((1,), iter([batch.assign(failed=False)]), state))
+        last, state.watermark = until, until * 1000
+        expired = [at for at in state.timers if at <= state.watermark]
+        for at in expired:
+            got += [row for part in guard.handleExpiredTimer((1,), state, None) for row in part.itertuples(index=False)]
+            state.timers.discard(at)
+        assert state.calls - before < 40 and len(state.timers) == 1
+    state.watermark = 10**7
+    got += [row for part in guard.handleExpiredTimer((1,), state, None) for row in part.itertuples(index=False)]
+    rules, want = {}, []
+    for key, at, id_ in sorted(events, key=lambda event: event[1:]):
+        rule = rules.setdefault(key, RULES["admission"](2, 60_000_000))
+        want.append((key, at, id_, *rule.decide(at, False)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and not guard.held.map
+
+
 def test_progress_feed_keeps_every_row(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.range(40).repartition(4).write.parquet(folder)
