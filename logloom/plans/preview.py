@@ -20,7 +20,7 @@ from logloom.operators.profiling import (
     map_entries,
     timestamp_candidates,
 )
-from logloom.sources.lines import as_paths, leading_lines, raw_sample, read_lines
+from logloom.sources.lines import as_paths, leading_files, leading_lines, lines_in_order, raw_sample, read_lines
 from logloom.sources.records import (
     LINE_FORMATS,
     MULTILINE_FORMATS,
@@ -60,15 +60,33 @@ def _first_records(
     multiline_max_lines: int,
     max_fields: int,
 ) -> DataFrame:
-    """First records of one file; reading stops once there are enough of them."""
+    """First records of one file or folder; reading stops once there are enough of them."""
     if fmt not in LINE_FORMATS:
         return read_logs(spark, path, fmt, pattern, max_fields=max_fields, check_tabular=True).limit(count)
-    lines = read_lines(spark, path, in_order=True)
+    for files, all_files in leading_files(spark, path):
+        lines = lines_in_order(spark, files)
+        found = _records_of(spark, lines, fmt, count, pattern, multiline_start, multiline_max_lines, max_fields)
+        if all_files or found.count() >= count:
+            break
+    return found
+
+
+def _records_of(
+    spark: SparkSession,
+    lines: DataFrame,
+    fmt: str,
+    count: int,
+    pattern: CompiledPattern | None,
+    multiline_start: str | None,
+    multiline_max_lines: int,
+    max_fields: int,
+) -> DataFrame:
+    """First records of lines that come in order."""
     if multiline_start and fmt in MULTILINE_FORMATS:
         # no record is longer than max_lines + 1 lines, so these hold the first records whole
         head = leading_lines(lines, count * (multiline_max_lines + 1) + 1).drop("line_no")
         merged = merge_lines(head, multiline_start, multiline_max_lines).drop("n_lines")
-        merged = merged.orderBy("line_id").limit(count)
+        merged = merged.orderBy("source_path", "split_start", "line_id").limit(count)
         return tidy(parse_lines(merged, fmt, pattern, max_fields=max_fields, keep_unparsed=True))
     if fmt == "ndjson":
         sample = spark.createDataFrame(filled_lines(lines).take(count), lines.schema)

@@ -6,13 +6,16 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.functions.regexes import compile_pattern
+from logloom.plans.preview import preview_files
 from logloom.sources import delimited, lines as lines_module
 from logloom.sources import lines as lines_module
 from logloom.sources.lines import check_total_size, raw_sample, read_lines
 from logloom.sources import json_arrays
 from logloom.sources.records import data_columns, parse_lines, read_logs
+from logloom.workloads.files import _order_log
 from tests.conftest import dicts
 
 PEOPLE = [
@@ -344,3 +347,38 @@ def test_accepted_suffixes():
     lines_module.check_suffixes(["/in/a.LOG", "/in/b.ndjson", "/in/folder", "/in/*.gz"])
     with pytest.raises(ValueError, match="b.exe"):
         lines_module.check_suffixes("/in/b.exe")
+
+
+@pytest.mark.parametrize("fmt", ["raw", "logfmt"])
+def test_first_lines_of_a_log_in_several_files(spark, put, tmp_path, fmt):
+    """Files count by name, not by size, and the second one goes on where the first one ends."""
+    put("log/a [1].log", "".join(f"k={at}\n" for at in range(7)))
+    put("log/b.log", "")
+    put("log/c {x}.log", "".join(f"k={at}\n" for at in range(7, 40)))
+    for number in range(20):
+        put(f"log/d{number:02d}.log", "".join(f"k={at} more=yes\n" for at in range(100 + 30 * number, 130 + 30 * number)))
+    folder = str(tmp_path / "log")
+    place = [*range(40), *range(100, 700)]
+    sample = raw_sample(spark, folder).collect()
+    assert [row["value"] for row in sample] == [f"k={at}" for at in range(10)]
+    shown = preview_files(spark, folder, fmt).records.collect()
+    values = [row["raw_message"].split()[0] if fmt == "raw" else f"k={row['k']}" for row in shown]
+    assert values == [f"k={at}" for at in place[:100]]
+    few = preview_files(spark, str(tmp_path / "log" / "b.log"), "raw").records
+    assert few.count() == 0 and raw_sample(spark, folder, 1000).count() == len(place)
+
+
+def test_order_log_is_sorted_in_many_tasks(spark, tmp_path):
+    """The log of the previews is no single task's work, and its files follow each other."""
+    rows = spark.range(4000).select((F.lit(4000) - F.col("id")).alias("o_orderkey"), F.lit("O").alias("o_orderstatus"))
+    rows.repartition(5).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        place = _order_log(spark, str(tmp_path))
+        files = sorted(spark.read.text(place).inputFiles())
+        assert len(files) > 1
+        assert [row["value"].split()[0] for row in raw_sample(spark, place).collect()] == [f"key={at}" for at in range(1, 11)]
+        shown = preview_files(spark, place, "raw").records.collect()
+        assert [row["raw_message"].split()[0] for row in shown] == [f"key={at}" for at in range(1, 101)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
