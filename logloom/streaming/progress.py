@@ -110,14 +110,16 @@ class ProgressFeed(StreamingQueryListener):
     """Keeps the progress rows of all queries as files under ``path``.
 
     Rows are written once there are ``flush_rows`` of them or the oldest is ``flush_seconds`` old at
-    the next event, and when a query is idle or ends; so a lost driver loses what is younger.
+    the next event, and when a query is idle or ends; so a lost driver loses what is younger. Events
+    and ``table`` come on threads of their own; writes wait for each other, as two appends to one
+    folder share the committer's temporary folder and the first to end deletes it.
     """
 
     def __init__(self, spark: SparkSession, path: str, flush_rows: int = 1000, flush_seconds: float = 10.0):
         self._spark, self._path, self._flush_rows, self._flush_seconds = spark, path, flush_rows, flush_seconds
         self._oldest = 0.0
         self._rows: list[tuple] = []
-        self._lock = Lock()
+        self._lock, self._writing = Lock(), Lock()
         self._write([])
 
     def _write(self, rows: list[tuple]) -> None:
@@ -141,10 +143,11 @@ class ProgressFeed(StreamingQueryListener):
         self.flush()
 
     def flush(self) -> None:
-        with self._lock:
-            rows, self._rows = self._rows, []
-        if rows:
-            self._write(rows)
+        with self._writing:
+            with self._lock:
+                rows, self._rows = self._rows, []
+            if rows:
+                self._write(rows)
 
     def table(self) -> DataFrame:
         self.flush()

@@ -602,3 +602,28 @@ def test_progress_feed_keeps_every_row(spark, tmp_path):
         time.sleep(0.5)
     spark.streams.removeListener(feed)
     assert sum(row["input_rows"] for row in rows) == 40 and {row["query"] for row in rows} == {"fed"} and len(rows) >= 4
+
+
+def test_progress_feed_writes_one_at_a_time(spark, tmp_path):
+    feed = ProgressFeed(spark, str(tmp_path / "progress"))
+    running, most, written = [], [], []
+
+    def write(rows):
+        running.append(rows)
+        most.append(len(running))
+        time.sleep(0.2)
+        written.extend(rows)
+        running.remove(rows)
+
+    def add(at):
+        with feed._lock:
+            feed._rows.append(at)
+        feed.flush()
+
+    feed._write = write
+    threads = [threading.Thread(target=add, args=(at,)) for at in range(4)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert max(most) == 1 and sorted(written) == [0, 1, 2, 3]
